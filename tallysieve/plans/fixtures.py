@@ -243,3 +243,40 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("fp_size", F.size("fp_bits"))
         .withColumn("fp_words", FP.pack_words("fp_bits", 1))
     )
+
+
+def mining_sides(evidence_table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sensitive anchors and retained binders with parts and fingerprints."""
+    prepared = with_parts(evidence_table.where(C.competition_sensitive() | C.competition_retained()))
+    ready = with_code_fingerprint(prepared)
+    return ready.where(C.competition_sensitive()), ready.where(C.competition_retained())
+
+
+def hits_and_comparators(evidence_table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rechecked strict hits, and all other entities with counter evidence."""
+    is_hit = C.strict_hit() & (F.col("control_evidence") < 0.1 * F.col("count_target"))
+    ready = with_code_fingerprint(with_parts(evidence_table.where(is_hit | C.counter_evidence())))
+    return ready.where(is_hit), ready.where(C.counter_evidence() & ~is_hit)
+
+
+def entity_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split of every observed entity, blind panels included."""
+    collapsed = E.dedup_evidence(evidence_raw(spark, sf_dir), carry=["partkey"]).select("entity_key", "partkey")
+    return collapsed.join(groups(spark, sf_dir), "partkey", "left").select(
+        "entity_key",
+        F.coalesce("group_key", F.lit("")).alias("group_key"),
+        E.group_split(E.split_key(F.coalesce("group_key", F.lit("")), "entity_key")).alias("split"),
+    )
+
+
+def reference_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents outside and inside the good-quality sample, as query and reference sides."""
+    docs = documents_fp(spark, sf_dir)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("entity_id"))
+    side = lambda df, p: df.select(
+        *[F.col(c).alias(f"{p}{c}") for c in ("entity_id", "group_key", "fp_bits", "fp_size", "fp_words")]
+    )
+    return (
+        side(docs.join(good, "entity_id", "left_anti"), "query_"),
+        side(docs.join(good, "entity_id", "left_semi"), "ref_"),
+    )

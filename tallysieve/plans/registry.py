@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None):
 def load() -> tuple[dict[str, Builder], dict[str, str]]:
     from tallysieve.plans import (  # noqa: F401  (import registers the queries)
         queries_evidence,
+        queries_pairs,
     )
 
     return dict(QUERIES), dict(ORACLE)
