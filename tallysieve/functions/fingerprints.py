@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallysieve.functions.columns import as_col
 
@@ -23,28 +24,32 @@ def token_bits(tokens: Column, width: int = WIDTH) -> Column:
 
 
 def pack_words(bits: Column | str, words: int = WORDS) -> Column:
-    """Distinct set-bit positions -> array<bigint> of 64-bit words."""
-    bits = as_col(bits)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(words - 1)),
-        lambda w: F.aggregate(
-            bits,
-            F.lit(0).cast("bigint"),
-            lambda acc, b: F.when(
-                F.shiftright(b, 6) == w,
-                acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b % 64)),
-            ).otherwise(acc),
+    """Set-bit positions -> array<bigint> of 64-bit words.
+
+    `bits` is named outside the inner lambda: an optimizer that inlines the expression
+    behind it would otherwise evaluate it once per word.
+    """
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(
+        as_col(bits),
+        F.array_repeat(F.lit(0).cast("bigint"), words),
+        lambda acc, b: F.transform(
+            acc,
+            lambda x, i: F.when(
+                i == F.shiftright(b, 6), x.bitwiseOR(F.call_function("shiftleft", one, b % 64))
+            ).otherwise(x),
         ),
     )
 
 
-def common_bits(a: Column | str, b: Column | str, words: int = WORDS) -> Column:
-    """Shared set bits, unrolled so that the whole sum is generated code."""
-    a, b = as_col(a), as_col(b)
-    total = F.bit_count(a.getItem(0).bitwiseAND(b.getItem(0)))
-    for w in range(1, words):
-        total = total + F.bit_count(a.getItem(w).bitwiseAND(b.getItem(w)))
-    return total
+def common_bits(a: Column | str, b: Column | str) -> Column:
+    """Shared set bits of two packed fingerprints.
+
+    A fold, not an unrolled sum: thousands of generated operations per row would pass
+    the size limit of the JIT compiler and run interpreted.
+    """
+    shared = F.zip_with(as_col(a), as_col(b), lambda x, y: F.bit_count(x.bitwiseAND(y)))
+    return F.aggregate(shared, F.lit(0), lambda acc, n: acc + n)
 
 
 def tanimoto_from_common(common: Column, size_a: Column, size_b: Column) -> Column:
@@ -52,8 +57,13 @@ def tanimoto_from_common(common: Column, size_a: Column, size_b: Column) -> Colu
     return F.when(union > 0, common / union).otherwise(F.lit(0.0))
 
 
-def tanimoto(a: Column | str, b: Column | str, size_a: Column, size_b: Column, words: int = WORDS) -> Column:
-    return tanimoto_from_common(common_bits(a, b, words), size_a, size_b)
+def tanimoto(a: Column | str, b: Column | str, size_a: Column, size_b: Column) -> Column:
+    """common / (size_a + size_b - common), with the common bits folded only once."""
+    union = lambda n: size_a + size_b - n
+    ratio = F.transform(
+        F.array(common_bits(a, b)), lambda n: F.when(union(n) > 0, n / union(n)).otherwise(F.lit(0.0))
+    )
+    return F.element_at(ratio, 1)
 
 
 def tanimoto_bits(a: Column | str, b: Column | str) -> Column:
@@ -62,7 +72,7 @@ def tanimoto_bits(a: Column | str, b: Column | str) -> Column:
     return tanimoto_from_common(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def unpack_bytes(packed: pd.Series) -> pd.Series:
     """Bytes with little bit order -> sorted set-bit positions (ingest of packed archives)."""
     return packed.map(

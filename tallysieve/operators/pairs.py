@@ -298,8 +298,7 @@ def neighbor_pairs(
     minimum_tanimoto: float = 0.6,
     neighbors: int = 32,
     pairs_per_anchor: int = 2,
-    words: int = FP.WORDS,
-    block: str = "library",
+    block: str | None = "library",
 ) -> DataFrame:
     """Embedding neighbours of each anchor that pass both similarity gates and are dominated."""
     anchors = pool.where("pool_role = 'anchor'")
@@ -313,7 +312,7 @@ def neighbor_pairs(
         side(others, "negative_", "ref_key"), "ref_key"
     )
     similarity = FP.tanimoto(
-        "positive_fp_words", "negative_fp_words", F.col("positive_fp_size"), F.col("negative_fp_size"), words
+        "positive_fp_words", "negative_fp_words", F.col("positive_fp_size"), F.col("negative_fp_size")
     )
     best = Window.partitionBy("query_key").orderBy(F.desc("cosine"), "ref_key")
     return (

@@ -1,27 +1,34 @@
-"""Similarity search: exact thresholded Tanimoto joins, exact nearest neighbours.
+"""Similarity search: exact thresholded joins and exact nearest neighbours.
 
-No operator here enumerates all pairs of a group. Tanimoto joins generate candidates
-from rare shared bits (prefix filter) and verify them; cosine search prunes cells of
-vectors by the triangle inequality and compares the rest in bounded tiles.
+No operator here emits all pairs of a group. Two exact ways to the partners of a row:
+
+* `tanimoto_join`: prefix filter. Partners at a threshold must share one of a row's
+  rarest bits, so an equi-join on those bits finds all candidates. For sparse
+  fingerprints, and where residual conditions cut further.
+* `_metric_tiles`: cells around pivots. Jaccard and Euclidean distance obey the triangle
+  inequality, so whole cells out of reach are skipped; the rest is compared as matrix
+  products in tiles of bounded size, each returning only its best rows. For dense
+  fingerprints and embeddings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallysieve.functions import fingerprints as FP
 from tallysieve.operators.ordering import exact_quantiles
 from tallysieve.operators.skew import MIN_ROWS, SHARE, split_hot_join, split_hot_lookup
-from tallysieve.session import ensure_checkpoint_dir
+from tallysieve.session import ensure_checkpoint_dir, materialise
 
 TILE_ROWS = 2048
-PIVOTS = 32
+MAX_PIVOTS = 64
 
 
 # --- Tanimoto --------------------------------------------------------------
@@ -64,7 +71,6 @@ def tanimoto_join(
     block: str | None = None,
     condition: Column | None = None,
     key: str = "entity_key",
-    words: int = FP.WORDS,
     share: int = SHARE,
     min_rows: int = MIN_ROWS,
 ) -> DataFrame:
@@ -87,7 +93,7 @@ def tanimoto_join(
     lp = lp.withColumn("_token", F.explode("_lprefix"))
     rp = rp.withColumn("_token", F.explode("_rprefix"))
     ls, rs = F.col(f"{L}fp_size"), F.col(f"{R}fp_size")
-    similarity = FP.tanimoto(f"{L}fp_words", f"{R}fp_words", ls, rs, words)
+    similarity = FP.tanimoto(f"{L}fp_words", f"{R}fp_words", ls, rs)
     match = (ls >= rs * threshold - 1e-9) & (rs >= ls * threshold - 1e-9)
     if condition is not None:
         match = match & condition
@@ -97,58 +103,6 @@ def tanimoto_join(
     return joined.withColumn("similarity", similarity).drop("_lprefix", "_rprefix")
 
 
-def nearest_tanimoto(
-    query: DataFrame,
-    reference: DataFrame,
-    query_prefix: str = "query_",
-    reference_prefix: str = "ref_",
-    k: int = 1,
-    ladder: Sequence[float] = (0.6, 0.3, 0.1, 0.0001),
-    key: str = "entity_key",
-    words: int = FP.WORDS,
-) -> DataFrame:
-    """The k most similar references per query, ties to the smaller reference key.
-
-    Works down a ladder of thresholds: a query with k partners at one step is finished,
-    since anything later is less similar; only the rest goes on to a wider search. The
-    last step admits every reference that shares a bit. References sharing no bit have
-    similarity 0; with k = 1 the smallest reference key stands for them.
-    """
-    Q, R = query_prefix, reference_prefix
-    best = Window.partitionBy(f"{Q}{key}").orderBy(F.desc("similarity"), f"{R}{key}")
-    spark = query.sparkSession
-    ensure_checkpoint_dir(spark)
-    found, todo = [], query
-    for step, threshold in enumerate(ladder):
-        near = (
-            tanimoto_join(todo, reference, threshold, Q, R, key=key, words=words)
-            .select(f"{Q}{key}", f"{R}{key}", "similarity")
-            .withColumn("rank", F.row_number().over(best))
-            .where(F.col("rank") <= k)
-        )
-        if step + 1 < len(ladder):
-            # each step is used three times below; the checkpoint cuts its lineage
-            near = near.checkpoint()
-            done = near.where(F.col("rank") == k).select(f"{Q}{key}")
-            found.append(near.join(done, f"{Q}{key}", "left_semi"))
-            todo = todo.join(done, f"{Q}{key}", "left_anti")
-            if todo.isEmpty():
-                break
-        else:
-            found.append(near)
-    result = found[0]
-    for part in found[1:]:
-        result = result.unionByName(part)
-    if k > 1:
-        return result
-    smallest = reference.agg(F.min(f"{R}{key}")).scalar()
-    return query.select(f"{Q}{key}").join(result, f"{Q}{key}", "left").select(
-        f"{Q}{key}",
-        F.coalesce(f"{R}{key}", smallest).alias(f"{R}{key}"),
-        F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
-    )
-
-
 def similarity_summary(df: DataFrame, column: str = "similarity", by: Sequence[str] = ()) -> DataFrame:
     """Mean, quantiles and shares below 0.4, at least 0.6, at least 0.8."""
     v = F.col(column)
@@ -190,17 +144,8 @@ def distinct_fingerprints(df: DataFrame, key: str = "entity_id") -> DataFrame:
     return df.groupBy("fp_bits", "fp_size", "fp_words").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
 
 
-def similar_pairs(distinct: DataFrame, threshold: float, key: str = "entity_id", words: int = FP.WORDS) -> DataFrame:
-    """Self-join of collapsed fingerprints: (a, b, similarity) with a < b."""
-    side = lambda p: distinct.select(*[F.col(c).alias(f"{p}{c}") for c in (key, "copies", "fp_bits", "fp_size", "fp_words")])
-    pairs = tanimoto_join(
-        side("a_"), side("b_"), threshold, "a_", "b_", condition=F.col(f"a_{key}") < F.col(f"b_{key}"), key=key, words=words
-    )
-    return pairs.select(f"a_{key}", f"b_{key}", "a_copies", "b_copies", "similarity")
-
-
 def series_components(
-    df: DataFrame, threshold: float, key: str = "entity_id", words: int = FP.WORDS, max_rounds: int = 50
+    df: DataFrame, threshold: float, key: str = "entity_id", max_rounds: int = 50
 ) -> DataFrame:
     """Series = connected components of similar fingerprints, labelled by their smallest key.
 
@@ -209,8 +154,9 @@ def series_components(
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    distinct = distinct_fingerprints(df, key).checkpoint()
-    edges = similar_pairs(distinct, threshold, key, words).select(F.col(f"a_{key}").alias("v"), F.col(f"b_{key}").alias("u"))
+    df = materialise(df.select(key, "fp_bits", "fp_size", "fp_words"))
+    distinct = materialise(distinct_fingerprints(df, key))
+    edges = similar_pairs(distinct, threshold, key).select(F.col(f"a_{key}").alias("v"), F.col(f"b_{key}").alias("u"))
     edges = edges.checkpoint()
     signature = None
     for _ in range(max_rounds):
@@ -249,138 +195,270 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-# --- cosine ----------------------------------------------------------------
-
+# --- cells and tiles -------------------------------------------------------
 
-def norm_deviation(df: DataFrame, column: str = "embedding") -> Column:
-    """|L2 norm - 1| of an embedding."""
-    return F.abs(F.sqrt(F.aggregate(F.col(column), F.lit(0.0), lambda a, x: a + x * x)) - 1)
-
-
-def normalised(column: str = "embedding") -> Column:
-    norm = F.sqrt(F.aggregate(F.col(column), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(F.col(column), lambda x: x.cast("double") / F.nullif(norm, F.lit(0.0)))
 
+def _centers(reference: DataFrame, tile_rows: int) -> np.ndarray:
+    """Pivot vectors: those of lowest key hash, at most MAX_PIVOTS (a fixed-size driver array)."""
+    pivots = min(MAX_PIVOTS, max(1, reference.count() // tile_rows))
+    rows = reference.orderBy(F.xxhash64("r_id"), "r_id").limit(pivots).select("r_vec").collect()
+    return np.array([row[0] for row in rows])
 
-def _choose_pivots(vectors: DataFrame, count: int, key: str) -> np.ndarray:
-    """`count` vectors of lowest key hash: a fixed-size driver array."""
-    rows = vectors.orderBy(F.xxhash64(key), key).limit(count).select("embedding").collect()
-    return np.array([r[0] for r in rows], dtype="float64")
 
-
-def cosine_knn(
+def _metric_tiles(
     query: DataFrame,
     reference: DataFrame,
-    k: int,
-    block: str = "library",
-    key: str = "entity_id",
-    minimum: float = -1.0,
-    pivots: int = PIVOTS,
-    tile_rows: int = TILE_ROWS,
+    distances: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    limit: float,
+    k: int | None,
+    tile_rows: int,
+    size_bound: bool = False,
 ) -> DataFrame:
-    """The k references of highest cosine per query inside its block; unit vectors, exact.
+    """Candidate search by cells, comparison by tiles.
 
-    References form cells around pivot vectors. A query's k-th distance is bounded by
-    the cells nearest to it, and a cell whose triangle-inequality bound lies beyond
-    that distance (or below the `minimum` cosine) is skipped. Kept cells meet the
-    query in tiles of at most `tile_rows` references; each tile returns its k best.
-    Result: query key, reference key, cosine, rank.
+    `query` has q_id, q_block, q_vec, q_size and `reference` r_id, r_block, r_vec, r_size;
+    rows meet only inside a block. `limit` caps the distance; with `k` the distance is
+    also capped, per query, by the nearest cells that together hold k rows.
+    `size_bound` adds the Jaccard bound 1 - min/max of the set sizes.
     """
-    centers = _choose_pivots(reference, pivots, key)
-    limit = float(np.sqrt(max(0.0, 2 - 2 * minimum))) + 1e-9
+    centers = _centers(reference, tile_rows)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def to_pivots(batch: pd.Series) -> pd.Series:
-        x = np.stack(batch.to_numpy()).astype("float64")
-        d2 = (x * x).sum(1)[:, None] + (centers * centers).sum(1)[None] - 2 * x @ centers.T
-        return pd.Series(list(np.sqrt(np.maximum(d2, 0))))
+        return pd.Series(list(distances(np.stack(batch.to_numpy()), centers)))
 
+    band = F.floor(F.log2(F.greatest("r_size", F.lit(1)))).cast("int") if size_bound else F.lit(0)
     located = (
-        reference.select(key, block, "embedding", to_pivots("embedding").alias("d"))
+        reference.withColumn("d", to_pivots("r_vec"))
         .withColumn("radius", F.array_min("d"))
-        .withColumn("cell", F.array_position("d", F.col("radius")).cast("int") - 1)
+        .withColumn("r_cell", F.concat_ws("/", (F.array_position("d", F.col("radius")) - 1).cast("int"), band))
+        .withColumn("pivot", F.array_position("d", F.col("radius")).cast("int"))
         .drop("d")
     )
-    cells = located.groupBy(block, "cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius"))
-    tiles = cells.withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int"))
-    per_block = tiles.groupBy(block).agg(F.collect_list(F.struct("cell", "n", "radius", "tiles")).alias("cells"))
-
-    # upper bound of the k-th distance: nearest cells (by far edge) until they hold k rows
-    edges = F.array_sort(
-        F.transform("cells", lambda c: F.struct((F.element_at("d", c["cell"] + 1) + c["radius"]).alias("far"), c["n"].alias("n")))
+    cells = (
+        located.groupBy("r_block", "r_cell", "pivot")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("radius").alias("radius"),
+            F.min("r_size").alias("least"),
+            F.max("r_size").alias("most"),
+        )
+        .withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int"))
+    )
+    queries = query.groupBy("q_block").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("chunks"))
+    per_block = cells.groupBy(F.col("r_block").alias("q_block")).agg(
+        F.collect_list(F.struct("r_cell", "pivot", "n", "radius", "least", "most", "tiles")).alias("cells")
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(limit).alias("bound"))
-    reach = F.aggregate(
-        edges,
-        start,
-        lambda acc, e: F.struct(
-            (acc["seen"] + e["n"]).alias("seen"),
-            F.when((acc["seen"] < k) & (acc["seen"] + e["n"] >= k), F.least(acc["bound"], e["far"] + 1e-9))
-            .otherwise(acc["bound"])
-            .alias("bound"),
-        ),
-    )["bound"]
+
+    away = lambda c: F.element_at("d", c["pivot"])
+    reach = F.lit(float(limit))
+    if k is not None:
+        by_edge = F.sort_array(F.transform("cells", lambda c: F.struct((away(c) + c["radius"]).alias("far"), c["n"])))
+        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(float(limit)).alias("bound"))
+        reach = F.aggregate(
+            by_edge,
+            start,
+            lambda acc, e: F.struct(
+                (acc["seen"] + e["n"]).alias("seen"),
+                F.when((acc["seen"] < k) & (acc["seen"] + e["n"] >= k), F.least(acc["bound"], e["far"]))
+                .otherwise(acc["bound"])
+                .alias("bound"),
+            ),
+        )["bound"]
+
+    def near(c: Column) -> Column:
+        ok = away(c) - c["radius"] <= F.col("reach") + 1e-9
+        if size_bound:
+            small, large = F.least(F.col("q_size"), c["most"]), F.greatest(F.col("q_size"), c["least"])
+            ok = ok & (1 - small / F.greatest(large, F.lit(1)) <= F.col("reach") + 1e-9)
+        return ok
+
     asked = (
-        query.select(key, block, "embedding", to_pivots("embedding").alias("d"))
-        .join(per_block, block)
+        query.withColumn("d", to_pivots("q_vec"))
+        .join(per_block, "q_block")
+        .join(queries, "q_block")
         .withColumn("reach", reach)
-        .withColumn(
-            "hit",
-            F.explode(F.filter("cells", lambda c: F.element_at("d", c["cell"] + 1) - c["radius"] <= F.col("reach"))),
-        )
-        .select(
-            F.col(key).alias("query_key"),
-            block,
-            "embedding",
-            F.col("hit.cell").alias("cell"),
-            F.explode(F.sequence(F.lit(0), F.col("hit.tiles") - 1)).alias("tile"),
-        )
-        # query chunks keep both sides of a tile bounded
-        .withColumn("chunk", F.pmod(F.xxhash64("query_key"), F.lit(1 << 20)))
+        .withColumn("hit", F.explode(F.filter("cells", near)))
+        .withColumn("q_tile", F.explode(F.sequence(F.lit(0), F.col("hit.tiles") - 1)))
+        .withColumn("q_chunk", F.pmod(F.xxhash64("q_id"), F.col("chunks")).cast("int"))
+        .select("q_id", "q_block", "q_vec", "q_size", F.col("hit.r_cell").alias("q_cell"), "q_tile", "q_chunk")
     )
-    counts = asked.groupBy(block, "cell", "tile").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("chunks"))
-    asked = asked.join(counts, [block, "cell", "tile"]).withColumn("chunk", F.pmod("chunk", F.col("chunks")).cast("int"))
-    asked = asked.drop("chunks")
-    tiled = located.join(tiles.select(block, "cell", "tiles"), [block, "cell"]).withColumn(
-        "tile", F.pmod(F.xxhash64(key), F.col("tiles")).cast("int")
+    wanted = asked.select(
+        F.col("q_block").alias("r_block"),
+        F.col("q_cell").alias("r_cell"),
+        F.col("q_tile").alias("r_tile"),
+        F.col("q_chunk").alias("r_chunk"),
+    ).distinct()
+    offered = (
+        located.join(cells.select("r_block", "r_cell", "tiles"), ["r_block", "r_cell"])
+        .withColumn("r_tile", F.pmod(F.xxhash64("r_id"), F.col("tiles")).cast("int"))
+        .join(wanted, ["r_block", "r_cell", "r_tile"])
+        .select("r_id", "r_block", "r_vec", "r_size", "r_cell", "r_tile", "r_chunk")
     )
-    offered = tiled.join(counts, [block, "cell", "tile"]).select(
-        F.col(key).alias("ref_key"),
-        block,
-        "embedding",
-        "cell",
-        "tile",
-        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_key": [], "ref_key": [], "value": []})
+        return compare(left, right.sort_values("r_id"))
+
+    q_type = query.schema["q_id"].dataType.simpleString()
+    r_type = reference.schema["r_id"].dataType.simpleString()
+    return (
+        asked.groupBy("q_block", "q_cell", "q_tile", "q_chunk")
+        .cogroup(offered.groupBy("r_block", "r_cell", "r_tile", "r_chunk"))
+        .applyInPandas(run, f"query_key {q_type}, ref_key {r_type}, value double")
     )
 
-    # fresh names: both sides may come from one table
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])
-    offered = offered.select(*[F.col(c).alias(f"r_{c}") for c in offered.columns])
+
+def _pairs_frame(left: pd.DataFrame, right: pd.DataFrame, value: np.ndarray, keep: np.ndarray) -> pd.DataFrame:
+    rows, columns = np.nonzero(keep)
+    return pd.DataFrame(
+        {
+            "query_key": left["q_id"].to_numpy()[rows],
+            "ref_key": right["r_id"].to_numpy()[columns],
+            "value": value[rows, columns],
+        }
+    )
+
+
+def _best_columns(value: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the k largest entries per row, ties to the left."""
+    order = np.argsort(-value, axis=1, kind="stable")[:, :k]
+    keep = np.zeros(value.shape, dtype=bool)
+    np.put_along_axis(keep, order, True, axis=1)
+    return keep
+
+
+def _rank(found: DataFrame, k: int, value: str) -> DataFrame:
+    best = Window.partitionBy("query_key").orderBy(F.desc("value"), "ref_key")
+    return (
+        found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumnRenamed("value", value)
+    )
+
+
+def _bit_matrix(words: np.ndarray) -> np.ndarray:
+    packed = np.ascontiguousarray(words.astype("int64")).view(np.uint8)
+    return np.unpackbits(packed, axis=1, bitorder="little").astype("float32")
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Tanimoto similarity of packed word matrices; two empty sets count as 0."""
+    x, y = _bit_matrix(a), _bit_matrix(b)
+    common = (x @ y.T).astype("float64")
+    union = x.sum(1, dtype="float64")[:, None] + y.sum(1, dtype="float64")[None] - common
+    return np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+
+
+def _side(df: DataFrame, to: str, key: str, vector: str, size: str | None, block: str | None) -> DataFrame:
+    return df.select(
+        F.col(key).alias(f"{to}_id"),
+        (F.col(block) if block else F.lit("")).alias(f"{to}_block"),
+        F.col(vector).alias(f"{to}_vec"),
+        (F.col(size) if size else F.lit(1)).alias(f"{to}_size"),
+    )
+
+
+def nearest_tanimoto(
+    query: DataFrame,
+    reference: DataFrame,
+    query_prefix: str = "query_",
+    reference_prefix: str = "ref_",
+    k: int = 1,
+    key: str = "entity_key",
+    block: str | None = None,
+    tile_rows: int = TILE_ROWS,
+) -> DataFrame:
+    """The k most similar references per query, ties to the smaller reference key; exact.
+
+    Result: `<query_prefix><key>`, `<reference_prefix><key>`, similarity, rank.
+    """
+    Q, R = query_prefix, reference_prefix
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_key": [], "ref_key": [], "cosine": []})
-        right = right.sort_values("r_ref_key")
-        cos = np.stack(left["q_embedding"].to_numpy()) @ np.stack(right["r_embedding"].to_numpy()).T
-        cos = np.round(cos, 9)
-        take = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(cos, take, axis=1)
-        keep = value >= minimum
-        rows = np.repeat(np.arange(len(left)), take.shape[1]).reshape(take.shape)
-        return pd.DataFrame(
-            {
-                "query_key": left["q_query_key"].to_numpy()[rows[keep]],
-                "ref_key": right["r_ref_key"].to_numpy()[take[keep]],
-                "cosine": value[keep],
-            }
-        )
+        s = _jaccard(np.stack(left["q_vec"].to_numpy()), np.stack(right["r_vec"].to_numpy()))
+        return _pairs_frame(left, right, s, _best_columns(s, k))
+
+    found = _metric_tiles(
+        _side(query, "q", f"{Q}{key}", f"{Q}fp_words", f"{Q}fp_size", block and f"{Q}{block}"),
+        _side(reference, "r", f"{R}{key}", f"{R}fp_words", f"{R}fp_size", block and f"{R}{block}"),
+        lambda a, b: 1 - _jaccard(a, b),
+        compare,
+        1.0,
+        k,
+        tile_rows,
+        size_bound=True,
+    )
+    return _rank(found, k, "similarity").withColumnsRenamed({"query_key": f"{Q}{key}", "ref_key": f"{R}{key}"})
+
+
+def similar_pairs(
+    distinct: DataFrame, threshold: float, key: str = "entity_id", tile_rows: int = TILE_ROWS
+) -> DataFrame:
+    """Pairs a < b of collapsed fingerprints with Tanimoto >= threshold > 0; exact."""
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        s = _jaccard(np.stack(left["q_vec"].to_numpy()), np.stack(right["r_vec"].to_numpy()))
+        smaller = left["q_id"].to_numpy()[:, None] < right["r_id"].to_numpy()[None]
+        return _pairs_frame(left, right, s, (s >= threshold) & smaller)
+
+    found = _metric_tiles(
+        _side(distinct, "q", key, "fp_words", "fp_size", None),
+        _side(distinct, "r", key, "fp_words", "fp_size", None),
+        lambda a, b: 1 - _jaccard(a, b),
+        compare,
+        1 - threshold,
+        None,
+        tile_rows,
+        size_bound=True,
+    )
+    return found.select(
+        F.col("query_key").alias(f"a_{key}"), F.col("ref_key").alias(f"b_{key}"), F.col("value").alias("similarity")
+    )
+
+
+def norm_deviation(column: str = "embedding") -> Column:
+    """|L2 norm - 1| of an embedding."""
+    return F.abs(F.sqrt(F.aggregate(F.col(column), F.lit(0.0), lambda a, x: a + x * x)) - 1)
+
+
+def normalised(column: str = "embedding") -> Column:
+    norm = F.sqrt(F.aggregate(F.col(column), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.transform(F.col(column), lambda x: x.cast("double") / F.nullif(norm, F.lit(0.0)))
+
+
+def _euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = a.astype("float64"), b.astype("float64")
+    squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
+    return np.sqrt(np.maximum(squared, 0))
 
-    keys = [block, "cell", "tile", "chunk"]
-    id_type = reference.schema[key].dataType.simpleString()
-    near = (
-        asked.groupBy(*[f"q_{c}" for c in keys])
-        .cogroup(offered.groupBy(*[f"r_{c}" for c in keys]))
-        .applyInPandas(compare, f"query_key {id_type}, ref_key {id_type}, cosine double")
+
+def cosine_knn(
+    query: DataFrame,
+    reference: DataFrame,
+    k: int,
+    block: str | None = "library",
+    key: str = "entity_id",
+    minimum: float = -1.0,
+    tile_rows: int = TILE_ROWS,
+) -> DataFrame:
+    """The k references of highest cosine (at least `minimum`) per query; unit vectors, exact.
+
+    Result: query_key, ref_key, cosine, rank; ties go to the smaller key.
+    """
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = np.stack(left["q_vec"].to_numpy()), np.stack(right["r_vec"].to_numpy())
+        cos = np.round(a @ b.T, 9)
+        return _pairs_frame(left, right, cos, _best_columns(cos, k) & (cos >= minimum))
+
+    found = _metric_tiles(
+        _side(query, "q", key, "embedding", None, block),
+        _side(reference, "r", key, "embedding", None, block),
+        _euclid,
+        compare,
+        float(np.sqrt(max(0.0, 2 - 2 * minimum))) + 1e-6,
+        k,
+        tile_rows,
     )
-    best = Window.partitionBy("query_key").orderBy(F.desc("cosine"), "ref_key")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return _rank(found, k, "cosine")

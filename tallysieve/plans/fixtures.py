@@ -16,6 +16,7 @@ from tallysieve.functions import columns as C
 from tallysieve.functions import fingerprints as FP
 from tallysieve.functions.hashing import order_hash
 from tallysieve.operators import evidence as E
+from tallysieve.session import materialise, spread
 
 VALIDATION_SIZE, TEST_SIZE, BLANK_GROUP_SIZE = 1, 2, 47
 ENUMERATED_SUPPLIERS = 8
@@ -169,7 +170,7 @@ def words_of(text):
 
 def documents_fp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole document texts as bit fingerprints of their distinct words."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("entity_id"),
         F.col("source").alias("library"),
         F.col("lang").alias("group_key"),
@@ -248,14 +249,14 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mining_sides(evidence_table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sensitive anchors and retained binders with parts and fingerprints."""
     prepared = with_parts(evidence_table.where(C.competition_sensitive() | C.competition_retained()))
-    ready = with_code_fingerprint(prepared)
+    ready = materialise(with_code_fingerprint(prepared))
     return ready.where(C.competition_sensitive()), ready.where(C.competition_retained())
 
 
 def hits_and_comparators(evidence_table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rechecked strict hits, and all other entities with counter evidence."""
     is_hit = C.strict_hit() & (F.col("control_evidence") < 0.1 * F.col("count_target"))
-    ready = with_code_fingerprint(with_parts(evidence_table.where(is_hit | C.counter_evidence())))
+    ready = materialise(with_code_fingerprint(with_parts(evidence_table.where(is_hit | C.counter_evidence()))))
     return ready.where(is_hit), ready.where(C.counter_evidence() & ~is_hit)
 
 
@@ -271,7 +272,7 @@ def entity_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents outside and inside the good-quality sample, as query and reference sides."""
-    docs = documents_fp(spark, sf_dir)
+    docs = materialise(documents_fp(spark, sf_dir))
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("entity_id"))
     side = lambda df, p: df.select(
         *[F.col(c).alias(f"{p}{c}") for c in ("entity_id", "group_key", "fp_bits", "fp_size", "fp_words")]

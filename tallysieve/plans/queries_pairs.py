@@ -10,6 +10,7 @@ from tallysieve.plans import fixtures as X
 from tallysieve.plans import oracle_base as O
 from tallysieve.plans.queries_evidence import r6, rounded
 from tallysieve.plans.registry import query
+from tallysieve.session import materialise
 
 SENS = ("count_target >= 4 AND control_evidence < 0.1 * count_target AND historic_hits <= 4 "
         "AND count_competitor < 0.1 * count_target")
@@ -20,6 +21,10 @@ HIT = ("count_target > 3 AND (count_competitor = 0 OR count_competitor < 0.1 * c
        "AND control_evidence < 0.1 * count_target")
 
 
+# entities that share one part of this fixture have similarity 0.40, so the gate lies below it
+FALLBACK_SIMILARITY = 0.35
+
+
 def similarity_ctes(pairs: str, members: str) -> str:
     """fp, sizes and sim(pos, neg, similarity) for the (pos, neg) rows of `pairs`."""
     return f"""fp AS ({O.fp_rows(members)}),
@@ -54,7 +59,7 @@ fb AS (SELECT pos AS positive_key, neg AS negative_key, 0.5 * (1 + least(margin
     'same_library_competition' AS pair_type, '' AS shared_part_key, similarity, fold, margin FROM (
   SELECT g.*, similarity, row_number() OVER (PARTITION BY g.neg ORDER BY similarity DESC, fold, margin DESC, g.pos) AS r
   FROM gated g JOIN sim s ON s.pos = g.pos AND s.neg = g.neg
-  WHERE similarity >= 0.5 AND g.neg NOT IN (SELECT negative_key FROM cp)) WHERE r = 1)"""
+  WHERE similarity >= 0.35 AND g.neg NOT IN (SELECT negative_key FROM cp)) WHERE r = 1)"""
 
 
 def matched_ctes(source: str) -> str:
@@ -88,13 +93,20 @@ def competition(spark, sf):
 
 def fallback(spark, sf):
     anchors, binders = X.mining_sides(X.open_evidence(spark, sf))
-    return P.competition_pairs_fallback(anchors, binders, P.competition_pairs(anchors, binders))
+    covered = materialise(P.competition_pairs(anchors, binders))
+    return P.competition_pairs_fallback(anchors, binders, covered, FALLBACK_SIMILARITY)
 
 
 def matched(spark, sf):
     return P.matched_pairs(*X.hits_and_comparators(X.open_evidence(spark, sf)))
 
 
+def _merged(spark, sf):
+    anchors, binders = X.mining_sides(X.open_evidence(spark, sf))
+    first = materialise(P.competition_pairs(anchors, binders))
+    return materialise(P.merge_pairs([first, P.competition_pairs_fallback(anchors, binders, first, FALLBACK_SIMILARITY)]))
+
+
 @query("competition_pairs", f"WITH {O.OPEN}, {competition_ctes()} SELECT {PAIR_SQL} FROM cp")
 def competition_pairs(spark, sf):
     return competition(spark, sf).select(*PAIR_COLUMNS, *rounded("pair_weight", "similarity", "fold", "margin"))
@@ -161,7 +173,7 @@ FROM chosen c JOIN sim s ON s.pos = c.pos AND s.neg = c.neg JOIN keyed a ON a.en
 """)
 def unobserved_pairs(spark, sf):
     evidence = X.evidence(spark, sf)
-    anchors = X.with_code_fingerprint(X.with_parts(evidence.where(C.unobserved_anchor())))
+    anchors = materialise(X.with_code_fingerprint(X.with_parts(evidence.where(C.unobserved_anchor()))))
 
     def add_fingerprint(df):
         fields = C.code_fields("negative_code")
@@ -220,7 +232,7 @@ SELECT query_key AS positive_key, ref_key AS negative_key, round(1 + cosine, 6)
   round(cosine, 6) AS cosine, round(similarity, 6) AS similarity FROM t WHERE r <= 2
 """)
 def neighbor_pairs(spark, sf):
-    return P.neighbor_pairs(X.neighbors(spark, sf), 0.2, 0.35, words=1).select(
+    return P.neighbor_pairs(X.neighbors(spark, sf), 0.2, 0.35).select(
         "positive_key", "negative_key", *rounded("pair_weight", "cosine", "similarity")
     )
 
@@ -268,12 +280,6 @@ merged AS (SELECT positive_key, negative_key, pair_weight, pair_type, shared_par
   UNION ALL SELECT positive_key, negative_key, pair_weight, pair_type, shared_part_key, similarity FROM fb)"""
 
 
-def _merged(spark, sf):
-    anchors, binders = X.mining_sides(X.open_evidence(spark, sf))
-    first = P.competition_pairs(anchors, binders)
-    return P.merge_pairs([first, P.competition_pairs_fallback(anchors, binders, first)])
-
-
 @query("merge_pairs", f"""{MERGED}
 SELECT positive_key, negative_key, pair_type, shared_part_key, {r6('pair_weight', 'similarity')} FROM merged
 """)
@@ -303,26 +309,23 @@ SELECT count(*) AS pairs, round(sum(pair_weight) * sum(pair_weight) / sum(pair_w
 FROM mp
 """)
 def weight_concentration(spark, sf):
-    return E.weight_concentration(matched(spark, sf)).select("pairs", "entities", *rounded("ess", "top_share"))
+    return E.weight_concentration(materialise(matched(spark, sf))).select("pairs", "entities", *rounded("ess", "top_share"))
 
 
 DOC_PAIRS = f"""WITH {O.DOC_FP},
 doc_list AS (SELECT doc_id, list(bit ORDER BY bit) AS bits FROM doc_bits GROUP BY doc_id),
-rep AS (SELECT bits, min(doc_id) AS rep_id, count(*) AS copies, max(len(bits)) AS n FROM doc_list GROUP BY bits),
-rep_bits AS (SELECT rep_id, n, copies, unnest(bits) AS bit FROM rep),
-common AS (SELECT a.rep_id AS a, b.rep_id AS b, max(a.n) AS na, max(b.n) AS nb, max(a.copies) AS ca, max(b.copies) AS cb,
-    count(*) AS k FROM rep_bits a JOIN rep_bits b ON a.bit = b.bit AND a.rep_id < b.rep_id GROUP BY a.rep_id, b.rep_id),
-edge AS (SELECT a, b, ca, cb, k * 1.0 / (na + nb - k) AS similarity FROM common WHERE k * 1.0 / (na + nb - k) >= 0.6)"""
+rep AS (SELECT bits, min(doc_id) AS rep_id, max(len(bits)) AS n FROM doc_list GROUP BY bits),
+rep_bits AS (SELECT rep_id, n, unnest(bits) AS bit FROM rep),
+common AS (SELECT a.rep_id AS a, b.rep_id AS b, max(a.n) AS na, max(b.n) AS nb, count(*) AS k FROM rep_bits a JOIN rep_bits b ON a.bit = b.bit AND a.rep_id < b.rep_id GROUP BY a.rep_id, b.rep_id),
+edge AS (SELECT a, b, k * 1.0 / (na + nb - k) AS similarity FROM common WHERE k * 1.0 / (na + nb - k) >= 0.6)"""
 
 
 @query("tanimoto_join", f"""{DOC_PAIRS}
-SELECT a AS a_entity_id, b AS b_entity_id, ca AS a_copies, cb AS b_copies, round(similarity, 6) AS similarity FROM edge
+SELECT a AS a_entity_id, b AS b_entity_id, round(similarity, 6) AS similarity FROM edge
 """)
 def tanimoto_join(spark, sf):
-    distinct = S.distinct_fingerprints(X.documents_fp(spark, sf))
-    return S.similar_pairs(distinct, 0.6).select(
-        "a_entity_id", "b_entity_id", "a_copies", "b_copies", *rounded("similarity")
-    )
+    distinct = materialise(S.distinct_fingerprints(X.documents_fp(spark, sf)))
+    return S.similar_pairs(distinct, 0.6).select("a_entity_id", "b_entity_id", *rounded("similarity"))
 
 
 @query("series_components", DOC_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tallysieve", cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -40,3 +40,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="spark-checkpoint-")
     context.setCheckpointDir(configured)
     return configured
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an expensive intermediate once to the shared checkpoint folder and read it from there.
+
+    For tables that several branches of one job use: column pruning makes the branches
+    differ, so Spark would compute each from the source again.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition only when the input has fewer splits than the cluster has cores.
+
+    For CPU-heavy row work on a small table kept in a few files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
