@@ -11,6 +11,10 @@ from tallysieve.functions import columns as C
 from tallysieve.functions.hashing import draw_index, order_hash
 from tallysieve.operators.ordering import average_ranks, exact_quantiles, hash_row_number, running_totals
 from tallysieve.operators.skew import split_hot_lookup
+from tallysieve.session import materialise
+
+# logs of counts in exact ratio 2 differ from ln 2 by rounding; such pairs count as apart
+MARGIN_SLACK = 1e-9
 
 
 # --- score metrics ---------------------------------------------------------
@@ -34,47 +38,44 @@ def _with_totals(table: DataFrame, totals: DataFrame, by: Sequence[str]) -> Data
     return table.withColumn("P", totals.select("P").scalar()).withColumn("N", totals.select("N").scalar())
 
 
-def auroc(
-    df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), weight: Column | None = None,
-    **options,
-) -> DataFrame:
-    """Area under the ROC curve with tied scores counted half; null with one class only."""
-    by = list(by)
-    grouped = _by_score(df, label, score, by, weight)
+def _area(grouped: DataFrame, score: str, by: Sequence[str], **options) -> DataFrame:
     totals = grouped.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     ranked = running_totals(grouped, score, {"_neg": "neg"}, by, **options)
     area = F.sum(F.col("pos") * (F.col("_neg") - F.col("neg") / 2))
+    both = F.nullif(F.col("P") * F.col("N"), F.lit(0))
     return (
         _with_totals(ranked, totals, by)
         .groupBy(*by)
         .agg(area.alias("_a"), F.max("P").alias("P"), F.max("N").alias("N"))
-        .select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_a") / F.nullif(F.col("P") * F.col("N"), F.lit(0))).alias("auroc"))
+        .select(*by, (F.col("_a") / both).alias("auroc"))
     )
 
 
-def average_precision(
-    df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), weight: Column | None = None,
-    **options,
-) -> DataFrame:
-    """Sum of precision times recall step over distinct thresholds, highest first."""
-    by = list(by)
-    grouped = _by_score(df, label, score, by, weight)
+def _precision(grouped: DataFrame, score: str, by: Sequence[str], **options) -> DataFrame:
     totals = grouped.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     ranked = running_totals(grouped, score, {"_tp": "pos", "_fp": "neg"}, by, descending=True, **options)
     step = F.sum(F.col("pos") * F.col("_tp") / F.nullif(F.col("_tp") + F.col("_fp"), F.lit(0)))
+    positives = F.when(F.col("N") > 0, F.nullif("P", F.lit(0)))
     return (
         _with_totals(ranked, totals, by)
         .groupBy(*by)
         .agg(step.alias("_s"), F.max("P").alias("P"), F.max("N").alias("N"))
-        .select(
-            *by,
-            F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_s") / F.nullif(F.col("P"), F.lit(0))).alias(
-                "average_precision"
-            ),
-        )
+        .select(*by, (F.col("_s") / positives).alias("average_precision"))
     )
 
 
+def auroc(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), **options) -> DataFrame:
+    """Area under the ROC curve with tied scores counted half; null with one class only."""
+    return _area(_by_score(df, label, score, by), score, list(by), **options)
+
+
+def average_precision(
+    df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), **options
+) -> DataFrame:
+    """Sum of precision times recall step over distinct thresholds, highest first."""
+    return _precision(_by_score(df, label, score, by), score, list(by), **options)
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), **options) -> DataFrame:
     """Pearson correlation of average ranks; null below two rows or for a constant side."""
     by = list(by)
@@ -188,10 +189,8 @@ def bootstrap_metrics(
         .agg(F.count(F.lit(1)).alias("_w"))
     )
     sample = draws.join(slots, [label, "_slot"])
-    weight = F.col("_w")
-    return auroc(sample, label, score, ["replicate"], weight).join(
-        average_precision(sample, label, score, ["replicate"], weight), "replicate"
-    )
+    grouped = materialise(_by_score(sample, label, score, ["replicate"], F.col("_w")))
+    return _area(grouped, score, ["replicate"]).join(_precision(grouped, score, ["replicate"]), "replicate")
 
 
 def bootstrap_ci(
@@ -269,7 +268,7 @@ def ordered_pairs(pairs: DataFrame, margin: float = C.LN2) -> DataFrame:
     """
     delta = F.col("a.proxy") - F.col("b.proxy")
     return (
-        pairs.where((F.abs(delta) >= margin) & (F.col("a.confidence") > 0) & (F.col("b.confidence") > 0))
+        pairs.where((F.abs(delta) >= margin - MARGIN_SLACK) & (F.col("a.confidence") > 0) & (F.col("b.confidence") > 0))
         .withColumn("weight", F.least("a.confidence", "b.confidence"))
         .withColumn("direction", F.signum(delta))
         .withColumn("predicted", (F.col("a.score") - F.col("b.score")) * F.col("direction"))
@@ -291,8 +290,8 @@ def interval_pair_loss(
 ) -> DataFrame:
     """Same, but only for pairs whose proxy intervals are apart by the margin."""
     pairs = batch_pairs(batched, groups, ["lower", "upper", "confidence", "score"])
-    above = F.col("a.lower") - F.col("b.upper") >= margin
-    below = F.col("b.lower") - F.col("a.upper") >= margin
+    above = F.col("a.lower") - F.col("b.upper") >= margin - MARGIN_SLACK
+    below = F.col("b.lower") - F.col("a.upper") >= margin - MARGIN_SLACK
     ordered = (
         pairs.where((above | below) & (F.col("a.confidence") > 0) & (F.col("b.confidence") > 0))
         .withColumn("weight", F.least("a.confidence", "b.confidence"))
@@ -343,7 +342,7 @@ def pair_strata(batched: DataFrame, predictors: Sequence[str], groups: Sequence[
         "either_target_at_least_five": (ta >= 5) | (tb >= 5),
         "both_target_at_least_five": (ta >= 5) & (tb >= 5),
     }
-    kept = pairs.where((F.abs(delta) >= C.LN2) & (F.col("a.confidence") > 0) & (F.col("b.confidence") > 0))
+    kept = pairs.where((F.abs(delta) >= C.LN2 - MARGIN_SLACK) & (F.col("a.confidence") > 0) & (F.col("b.confidence") > 0))
     gaps = F.array(
         *[
             F.struct(F.lit(n).alias("predictor"), ((F.col(f"a.{n}") - F.col(f"b.{n}")) * F.signum(delta)).alias("gap"))

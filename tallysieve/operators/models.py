@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallysieve.functions import columns as C
 from tallysieve.functions.fingerprints import WIDTH
 from tallysieve.functions.hashing import hash_bucket
-from tallysieve.operators.metrics import auroc, batch_pairs
+from tallysieve.operators.metrics import MARGIN_SLACK, auroc, batch_pairs
 
 
 def bit_vector(bits: Column | str, width: int = WIDTH) -> Column:
@@ -66,7 +66,7 @@ def pair_ranker(
     """
     pairs = batch_pairs(batched, groups, ["proxy", "confidence", "x"])
     delta = F.col("a.proxy") - F.col("b.proxy")
-    kept = pairs.where((F.abs(delta) >= margin) & (F.col("a.confidence") > 0) & (F.col("b.confidence") > 0))
+    kept = pairs.where((F.abs(delta) >= margin - MARGIN_SLACK) & (F.col("a.confidence") > 0) & (F.col("b.confidence") > 0))
     direction = F.signum(delta)
     d = F.zip_with("a.x", "b.x", lambda p, q: (p - q) * direction / temperature)
     weight = F.least("a.confidence", "b.confidence") / 2

@@ -4,7 +4,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallysieve.functions.columns import join_list  # noqa: F401
 from tallysieve.operators import checks as V
 from tallysieve.operators import evidence as E
 from tallysieve.operators import nested as G
@@ -289,12 +288,12 @@ def dedup_status(spark, sf):
 
 @query("template_consensus", """
 WITH c AS (SELECT o_custkey, o_orderstatus, o_orderkey % 97 AS r, o_totalprice FROM orders),
-a AS (SELECT o_custkey, list(DISTINCT r) AS contacts, max(o_totalprice) AS confidence FROM c WHERE o_orderstatus = 'F' GROUP BY o_custkey),
-b AS (SELECT o_custkey, list(DISTINCT r) AS contacts, max(o_totalprice) AS confidence FROM c WHERE o_orderstatus = 'O' GROUP BY o_custkey),
+a AS (SELECT o_custkey, list(DISTINCT r) AS contacts, max(o_totalprice) / 700000.0 AS confidence FROM c WHERE o_orderstatus = 'F' GROUP BY o_custkey),
+b AS (SELECT o_custkey, list(DISTINCT r) AS contacts, max(o_totalprice) / 700000.0 AS confidence FROM c WHERE o_orderstatus = 'O' GROUP BY o_custkey),
 j AS (SELECT a.o_custkey AS custkey, a.confidence AS ca, b.confidence AS cb, len(list_intersect(a.contacts, b.contacts)) AS k,
   len(a.contacts) AS na, len(b.contacts) AS nb FROM a JOIN b ON a.o_custkey = b.o_custkey)
-SELECT custkey, round((ca + cb) / 2, 4) AS mean_confidence, round(least(ca, cb), 4) AS min_confidence,
-  round(k * 1.0 / (na + nb - k), 6) AS contact_jaccard, round(least(ca, cb) * (k * 1.0 / (na + nb - k)), 4) AS consensus_score FROM j
+SELECT custkey, round((ca + cb) / 2, 6) AS mean_confidence, round(least(ca, cb), 6) AS min_confidence,
+  round(k * 1.0 / (na + nb - k), 6) AS contact_jaccard, round(least(ca, cb) * (k * 1.0 / (na + nb - k)), 6) AS consensus_score FROM j
 """)
 def template_consensus(spark, sf):
     orders = X.table(spark, sf, "orders")
@@ -305,14 +304,13 @@ def template_consensus(spark, sf):
             .groupBy(F.col("o_custkey").alias("custkey"))
             .agg(
                 F.collect_set((F.col("o_orderkey") % 97).cast("int")).alias("contacts"),
-                F.max("o_totalprice").alias("confidence"),
+                (F.max("o_totalprice") / 700000.0).alias("confidence"),
             )
             .withColumn("status", F.lit("succeeded"))
         )
 
     result = G.template_consensus(side("F"), side("O"), "custkey")
-    r4 = [F.round(c, 4).alias(c) for c in ("mean_confidence", "min_confidence", "consensus_score")]
-    return result.select("custkey", *r4, *rounded("contact_jaccard"))
+    return result.select("custkey", *rounded("mean_confidence", "min_confidence", "contact_jaccard", "consensus_score"))
 
 
 @query("result_status", """

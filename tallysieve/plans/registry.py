@@ -27,6 +27,7 @@ def load() -> tuple[dict[str, Builder], dict[str, str]]:
     from tallysieve.plans import (  # noqa: F401  (import registers the queries)
         queries_evidence,
         queries_pairs,
+        queries_metrics,
         queries_ranking,
     )
 
