@@ -20,7 +20,7 @@ def token_bit(token: Column, width: int = WIDTH) -> Column:
 
 
 def token_bits(tokens: Column, width: int = WIDTH) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(tokens, lambda t: token_bit(t, width))))
+    return F.sort_array(F.array_distinct(F.transform(tokens, lambda t: token_bit(t, width))))
 
 
 def pack_words(bits: Column | str, words: int = WORDS) -> Column:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallysieve.functions.hashing import order_hash
 from tallysieve.operators.ordering import hash_row_number
@@ -27,78 +26,87 @@ def standardised(df: DataFrame, features: Sequence[str], base: DataFrame) -> Dat
 
 
 def matched_controls(
-    positives: DataFrame, negatives: DataFrame, features: Sequence[str], key: str, seed: int, cell: float = 0.25,
-    max_rounds: int = 10_000,
+    positives: DataFrame, negatives: DataFrame, features: Sequence[str], key: str, seed: int, max_rounds: int = 10_000
 ) -> DataFrame:
     """Each positive, in seeded order, gets its nearest free negative (ties: smaller key).
 
     Positives propose to their nearest negative that has not refused them; a negative
     holds the proposer that comes first in the order and may drop it later. The end
     state equals the serial loop over positives. A proposal looks only at negatives in
-    feature-grid cells within the current radius; a positive that finds none there
-    doubles its radius, so no all-pairs table is built.
+    adjacent cells of a feature grid; a positive that finds none within reach doubles
+    its cell width, so no all-pairs table is built. One checkpoint per round.
 
     Result: positive_key, negative_key, squared_distance.
     """
     ensure_checkpoint_dir(positives.sparkSession)
+    k = len(features)
     numbered = hash_row_number(positives, "turn", order_hash(seed, key), key)
     z = [f"z_{f}" for f in features]
     p = standardised(numbered, features, negatives).select(F.col(key).alias("p"), "turn", F.array(*z).alias("pf"))
-    n = standardised(negatives, features, negatives).select(F.col(key).alias("n"), F.array(*z).alias("nf"))
-    p, n = materialise(p), materialise(n)
-    if p.count() > n.count():
+    n = materialise(standardised(negatives, features, negatives).select(F.col(key).alias("n"), F.array(*z).alias("nf")))
+    key_type = n.schema["n"].dataType
+    state = materialise(
+        p.select(
+            "p", "turn", "pf",
+            F.lit(None).cast(key_type).alias("n"), F.lit(None).cast("double").alias("d2"),
+            F.lit(None).cast(key_type).alias("n0"), F.lit(-1.0).alias("d0"), F.lit(1).alias("scale"),
+        )
+    )
+    edge = lambda v: F.max(F.greatest(*[F.abs(F.col(v)[i]) for i in range(k)], F.lit(0.0)))
+    size, span = n.agg(F.count(F.lit(1)), edge("nf")).first()
+    count, reach = state.agg(F.count(F.lit(1)), edge("pf")).first()
+    if count > size:
         raise ValueError("more positives than negatives")
-    span = n.agg(
-        F.max(F.greatest(*[F.abs(F.col("nf")[i]) for i in range(len(features))]))
-    ).first()[0] + (p.agg(F.max(F.greatest(*[F.abs(F.col("pf")[i]) for i in range(len(features))]))).first()[0] or 0.0)
+    span = max(span or 0.0, reach or 0.0, 1e-9)
+    base = 2 * span * min(1.0, (8 / max(size, 1)) ** (1 / k))
 
     def gridded(df: DataFrame, vector: str, width: float) -> DataFrame:
         return df.withColumn("cell", F.transform(vector, lambda x: F.floor(x / width)))
 
     def around(df: DataFrame) -> DataFrame:
-        for i in range(len(features)):
+        for i in range(k):
             df = df.withColumn(f"_d{i}", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-        shifted = F.array(*[F.col("cell")[i] + F.col(f"_d{i}") for i in range(len(features))])
-        return df.withColumn("cell", shifted).drop(*[f"_d{i}" for i in range(len(features))])
+        shifted = F.array(*[F.col("cell")[i] + F.col(f"_d{i}") for i in range(k)])
+        return df.withColumn("cell", shifted).drop(*[f"_d{i}" for i in range(k)])
 
     distance = F.aggregate(F.zip_with("pf", "nf", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    first = Window.partitionBy("p").orderBy("d2", "n")
-    # state: who holds each negative, and how far down its preference order each positive has come
-    held = p.select("p", "turn").limit(0).withColumn("n", F.lit(None).cast(n.schema["n"].dataType)).withColumn(
-        "d2", F.lit(0.0)
-    )
-    todo = p.select("p", "turn", "pf", F.lit(-1.0).alias("d0"), F.lit(None).cast(n.schema["n"].dataType).alias("n0"), F.lit(float(cell)).alias("width"))
     for _ in range(max_rounds):
-        widths = [r[0] for r in todo.select("width").distinct().collect()]
-        if not widths:
+        open_rows = state.where("n is null")
+        scales = [r[0] for r in open_rows.select("scale").distinct().collect()]
+        if not scales:
             break
+        holders = state.where("n is not null").select(F.col("n").alias("_n"), F.col("turn").alias("held_turn"))
         offers = None
-        for width in widths:
-            mine = around(gridded(todo.where(F.col("width") == width), "pf", width))
+        for scale in scales:
+            width = base * scale
+            mine = around(gridded(open_rows.where(F.col("scale") == scale).select("p", "turn", "pf", "n0", "d0"), "pf", width))
             near = mine.join(gridded(n, "nf", width), "cell").withColumn("d2", distance)
-            # inside `width` the 3^k cells are complete; farther rows wait for a wider pass
-            reach = F.lit(True) if width > 2 * span else F.col("d2") <= width * width
+            # adjacent cells are complete up to `width`; rows farther off wait for a wider pass
+            if width <= 2 * span:
+                near = near.where(F.col("d2") <= width * width)
             later = (F.col("d2") > F.col("d0")) | ((F.col("d2") == F.col("d0")) & (F.col("n") > F.col("n0")))
-            # a negative held by an earlier turn refuses at once and for good
-            best = near.where(reach & later)
-            offers = best if offers is None else offers.unionByName(best)
-        holders = held.select("n", F.col("turn").alias("held_turn"))
-        open_offers = offers.join(holders, "n", "left").where("held_turn is null or held_turn > turn")
-        proposals = (
-            open_offers.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("p", "turn", "n", "d2", "pf", "width")
-        )
-        proposals = materialise(proposals)
-        keep = Window.partitionBy("n").orderBy("turn")
-        pool = held.join(p.select("p", "pf"), "p").withColumn("width", F.lit(float(cell))).unionByName(
-            proposals.select("p", "turn", "n", "d2", "pf", "width")
+            near = near.where(later).select("p", "turn", "n", "d2")
+            offers = near if offers is None else offers.unionByName(near)
+        # a negative held by an earlier turn refuses for good
+        free = offers.join(holders, F.col("n") == F.col("_n"), "left").where("held_turn is null or held_turn > turn")
+        best = free.groupBy("p").agg(F.min(F.struct("d2", "n")).alias("o"))
+        asked = state.join(best, "p", "left").select(
+            "p", "turn", "pf", "n0", "d0", "scale",
+            F.coalesce("n", "o.n").alias("n"), F.coalesce("d2", "o.d2").alias("d2"),
         )
-        judged = materialise(pool.withColumn("_r", F.row_number().over(keep)))
-        held = materialise(judged.where("_r = 1").select("p", "turn", "n", "d2"))
-        refused = judged.where("_r > 1").select(
-            "p", "turn", "pf", F.col("d2").alias("d0"), F.col("n").alias("n0"), "width"
+        first = asked.where("n is not null").groupBy("n").agg(F.min("turn").alias("_first"))
+        judged = asked.join(first, "n", "left")
+        wins, silent = F.col("turn") == F.col("_first"), F.col("n").isNull()
+        refused = ~silent & ~wins
+        state = materialise(
+            judged.select(
+                "p", "turn", "pf",
+                F.when(wins, F.col("n")).alias("n"), F.when(wins, F.col("d2")).alias("d2"),
+                F.when(refused, F.col("n")).otherwise(F.col("n0")).alias("n0"),
+                F.when(refused, F.col("d2")).otherwise(F.col("d0")).alias("d0"),
+                F.when(silent, F.col("scale") * 2).otherwise(F.col("scale")).alias("scale"),
+            )
         )
-        silent = todo.join(proposals.select("p"), "p", "left_anti").withColumn("width", F.col("width") * 2)
-        todo = materialise(refused.unionByName(silent.select(*refused.columns)))
     else:
         raise RuntimeError("matching did not settle")
-    return held.select(F.col("p").alias("positive_key"), F.col("n").alias("negative_key"), F.col("d2").alias("squared_distance"))
+    return state.select(F.col("p").alias("positive_key"), F.col("n").alias("negative_key"), F.col("d2").alias("squared_distance"))

@@ -16,7 +16,7 @@ from tallysieve.functions import columns as C
 from tallysieve.functions import fingerprints as FP
 from tallysieve.functions.hashing import order_hash
 from tallysieve.operators import evidence as E
-from tallysieve.session import materialise, spread
+from tallysieve.session import fan_out, materialise, spread
 
 VALIDATION_SIZE, TEST_SIZE, BLANK_GROUP_SIZE = 1, 2, 47
 ENUMERATED_SUPPLIERS = 8
@@ -143,7 +143,7 @@ def with_code_fingerprint(df: DataFrame) -> DataFrame:
     tokens = F.concat(
         _tagged("lib", "library", 30), _tagged("b1", "b1", 20), _tagged("b2", "b2", 20), _tagged("b3", "b3", 20)
     )
-    bits = df.withColumn("fp_bits", FP.token_bits(tokens))
+    bits = fan_out(df, *[c for c in ("entity_key",) if c in df.columns]).withColumn("fp_bits", FP.token_bits(tokens))
     return bits.withColumn("fp_size", F.size("fp_bits")).withColumn("fp_words", FP.pack_words("fp_bits"))
 
 

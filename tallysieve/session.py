@@ -59,3 +59,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Keep all shuffle partitions for CPU-heavy row work.
+
+    Adaptive execution merges small partitions by bytes; an explicit partition number is
+    left alone, and the exchange replaces the one below when the keys agree.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
