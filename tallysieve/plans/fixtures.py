@@ -9,6 +9,10 @@ suppliers, so that every derived table grows linearly with its source.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,20 +135,34 @@ def with_parts(df: DataFrame, code: str = "code") -> DataFrame:
     return df.withColumn("_f", fields).where("_f is not null").withColumns(C.part_columns(F.col("_f"))).drop("_f")
 
 
-def _tagged(tag: str, value: str, count: int):
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(count - 1)),
-        lambda j: F.concat_ws(":", F.lit(tag), F.col(value), j.cast("string")),
-    )
+PART_BITS = (("lib", "library", 30), ("b1", "b1", 20), ("b2", "b2", 20), ("b3", "b3", 20))
 
 
 def with_code_fingerprint(df: DataFrame) -> DataFrame:
-    """30 bits for the library, 20 per part (input column in real data)."""
-    tokens = F.concat(
-        _tagged("lib", "library", 30), _tagged("b1", "b1", 20), _tagged("b2", "b2", 20), _tagged("b3", "b3", 20)
-    )
-    bits = fan_out(df, *[c for c in ("entity_key",) if c in df.columns]).withColumn("fp_bits", FP.token_bits(tokens))
-    return bits.withColumn("fp_size", F.size("fp_bits")).withColumn("fp_words", FP.pack_words("fp_bits"))
+    """30 bits for the library, 20 per part (in real data the fingerprint is an input column).
+
+    The bit of a token is that of `FP.token_bit`. Each distinct part of an Arrow batch is
+    hashed once.
+    """
+
+    def bits_of(tag: str, value: str, count: int) -> list[int]:
+        token = lambda j: hashlib.md5(f"{tag}:{value}:{j}".encode()).hexdigest()[:8]
+        return [int(token(j), 16) % FP.WIDTH for j in range(count)]
+
+    @F.pandas_udf("fp_bits array<int>, fp_words array<bigint>")
+    def build(lib: pd.Series, b1: pd.Series, b2: pd.Series, b3: pd.Series) -> pd.DataFrame:
+        marks = np.zeros((len(lib), FP.WIDTH), dtype=bool)
+        for (tag, _, count), column in zip(PART_BITS, (lib, b1, b2, b3)):
+            codes, values = pd.factorize(column)
+            known = np.array([bits_of(tag, v, count) for v in values])
+            marks[np.arange(len(lib))[:, None], known[codes]] = True
+        positions = np.split(np.nonzero(marks)[1].astype("int32"), np.cumsum(marks.sum(1))[:-1])
+        words = np.packbits(marks, axis=1, bitorder="little").view("<i8")
+        return pd.DataFrame({"fp_bits": positions, "fp_words": list(words)})
+
+    spread_out = fan_out(df, "entity_key") if "entity_key" in df.columns else df
+    built = spread_out.withColumn("_fp", build(*[F.col(c) for _, c, _ in PART_BITS]))
+    return built.select("*", "_fp.*").drop("_fp").withColumn("fp_size", F.size("fp_bits"))
 
 
 def enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,8 +219,11 @@ def scores(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
             F.col("doc_id").alias("catalog_id"), F.col("n_chars").cast("double").alias("score")
         )
     if which == "b":
-        return docs.where("source <> 'src3'").select(
-            F.col("doc_id").alias("catalog_id"), F.size(words_of(F.col("text"))).cast("double").alias("score")
+        # computed from whole texts and read several times by a ranking
+        return materialise(
+            spread(docs.where("source <> 'src3'").select("doc_id", "text")).select(
+                F.col("doc_id").alias("catalog_id"), F.size(words_of(F.col("text"))).cast("double").alias("score")
+            )
         )
     return table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("catalog_id"), (F.col("quality") - 0.5 * F.col("toxic")).cast("double").alias("score")
