@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallysieve.functions import columns as C
 from tallysieve.functions.hashing import draw_index, order_hash
 from tallysieve.operators.ordering import average_ranks, exact_quantiles, hash_row_number, running_totals
-from tallysieve.operators.skew import split_hot_lookup
+from tallysieve.operators.skew import split_hot_join, split_hot_lookup
 from tallysieve.session import materialise
 
 # logs of counts in exact ratio 2 differ from ln 2 by rounding; such pairs count as apart
@@ -367,8 +367,10 @@ def pair_strata(batched: DataFrame, predictors: Sequence[str], groups: Sequence[
 
 
 def scored_pairs(pairs: DataFrame, scores: DataFrame, key: str = "entity_key", score: str = "score") -> DataFrame:
+    """Adds positive_score and negative_score; one comparator may serve a large share of all pairs."""
     side = lambda p: scores.select(F.col(key).alias(f"{p}_key"), F.col(score).alias(f"{p}_score"))
-    return pairs.join(side("positive"), "positive_key").join(side("negative"), "negative_key")
+    with_winner = pairs.join(side("positive"), "positive_key")
+    return split_hot_join(with_winner, side("negative"), ["negative_key"], "positive_key", "negative_key")
 
 
 def win_rates(pairs: DataFrame, by: Sequence[str] = (), weight: str = "pair_weight") -> DataFrame:

@@ -77,11 +77,15 @@ def running_totals(
 
 
 def hash_row_number(
-    df: DataFrame, name: str, digest: Column, tie: str, by: Sequence[str] = (), start: int = 0
+    df: DataFrame, name: str, digest: Column, tie: str, by: Sequence[str] = (), start: int = 0, digits: int = 3
 ) -> DataFrame:
-    """Consecutive row numbers in order of a hex digest (uniform, so buckets are even)."""
+    """Consecutive row numbers in order of a hex digest.
+
+    Buckets are the first `digits` hex digits (16 ** digits of them), even because the
+    digest is uniform.
+    """
     by = list(by)
-    hashed = df.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, 3))
+    hashed = df.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, digits))
     sizes = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = _partition(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

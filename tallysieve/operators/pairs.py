@@ -188,12 +188,17 @@ def broad_pairs(
     sides = as_side(positives, "positive_")
     pool = as_side(counter_pool, "negative_")
     near = nearest_tanimoto(sides, pool, "positive_", "negative_", local_per_positive)
-    local = (
-        near.select("positive_entity_key", "negative_entity_key", "similarity")
-        .join(sides.drop("positive_fp_bits", "positive_fp_words"), "positive_entity_key")
-        .join(pool.drop("negative_fp_bits", "negative_fp_words"), "negative_entity_key")
-        .withColumn("negative_source", F.lit("local_counter"))
+    matched = near.select("positive_entity_key", "negative_entity_key", "similarity").join(
+        sides.drop("positive_fp_bits", "positive_fp_words"), "positive_entity_key"
     )
+    # a pool member may be the nearest of very many positives
+    local = split_hot_join(
+        matched,
+        pool.drop("negative_fp_bits", "negative_fp_words"),
+        ["negative_entity_key"],
+        "positive_entity_key",
+        "negative_entity_key",
+    ).withColumn("negative_source", F.lit("local_counter"))
     low = as_side(low_pool, "negative_").drop("negative_fp_bits", "negative_fp_words")
     numbered = hash_row_number(low, "_slot", order_hash(seed, "negative_entity_key"), "negative_entity_key")
     size = low.agg(F.count(F.lit(1))).scalar()
@@ -308,9 +313,8 @@ def neighbor_pairs(
         F.col("entity_id").alias(k),
         *[F.col(c).alias(f"{p}{c}") for c in ("count_target", "count_competitor", "control_evidence", "fp_words", "fp_size")],
     )
-    joined = near.join(side(anchors, "positive_", "query_key"), "query_key").join(
-        side(others, "negative_", "ref_key"), "ref_key"
-    )
+    with_anchor = near.join(side(anchors, "positive_", "query_key"), "query_key")
+    joined = split_hot_join(with_anchor, side(others, "negative_", "ref_key"), ["ref_key"], "query_key", "ref_key")
     similarity = FP.tanimoto(
         "positive_fp_words", "negative_fp_words", F.col("positive_fp_size"), F.col("negative_fp_size")
     )

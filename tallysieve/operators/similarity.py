@@ -115,7 +115,9 @@ def similarity_summary(df: DataFrame, column: str = "similarity", by: Sequence[s
         share(v >= 0.8).alias("at_least_0_8"),
     )
     quantiles = exact_quantiles(df, column, {"p10": 0.1, "median": 0.5, "p90": 0.9}, by)
-    return moments.join(quantiles, list(by)) if by else moments.join(F.broadcast(quantiles))  # one row each
+    if by:
+        return moments.join(quantiles, list(by))
+    return moments.select("*", *[quantiles.select(q).scalar().alias(q) for q in ("p10", "median", "p90")])
 
 
 def best_reference(

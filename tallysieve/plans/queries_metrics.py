@@ -12,7 +12,6 @@ from tallysieve.operators import models as ML
 from tallysieve.operators import ranking as R
 from tallysieve.operators import shift as D
 from tallysieve.operators import similarity as S
-from tallysieve.operators import splits as L
 from tallysieve.plans import fixtures as X
 from tallysieve.plans import oracle_base as O
 from tallysieve.plans.queries_evidence import ACTIVE_SQL, r6, rounded
@@ -161,15 +160,14 @@ def benchmark_metrics(spark, sf):
 
 # --- pairs inside batches --------------------------------------------------
 
-SHARDS = 16
+# a shard is a bounded run of row ids, so batches can be cut inside it
+SHARD_ROWS = 5000
 
 
 def _channels(spark, sf, zero_cap=0):
     """(entity, channel) rows with proxies, intervals, confidence, a score and its shard."""
     index = E.prepared_evidence(X.index(spark, sf, row_ids=True), zero_cap)
-    # the index is used for its size as well, so write it once
     index = materialise(index)
-    total = index.agg(F.count(F.lit(1))).scalar()
     rows = F.array(
         *[
             F.struct(
@@ -181,16 +179,15 @@ def _channels(spark, sf, zero_cap=0):
     )
     # the deviation of counts from a smooth trend serves as the score under test
     score = F.col("z_target") - 0.5 * F.col("z_competitor")
-    sharded = index.withColumn("shard", L.shard_of(F.col("entity_id"), total, SHARDS))
-    return index, sharded.select(
+    index = index.withColumn("shard", F.floor(F.col("entity_id") / SHARD_ROWS).cast("int"))
+    return index, index.select(
         "entity_key", "entity_id", "split", "shard", "mean_target", "mean_competitor", score.alias("score"),
         F.inline(rows),
     ).where("confidence > 0")
 
 
-CHANNEL_SQL = f"""tot AS (SELECT count(*) AS n FROM ivl),
-shd AS (SELECT ivl.*, CAST(floor(((entity_id + 1) * {SHARDS} - 1) * 1.0 / n) AS INTEGER) AS shard, z_target - 0.5 * z_competitor AS score
-  FROM ivl CROSS JOIN tot),
+CHANNEL_SQL = f"""shd AS (SELECT ivl.*, CAST(floor(entity_id / {SHARD_ROWS}.0) AS INTEGER) AS shard,
+  z_target - 0.5 * z_competitor AS score FROM ivl),
 chn AS (""" + " UNION ALL ".join(
     f"SELECT entity_key, entity_id, split, shard, mt, mi, score, {k} AS channel, proxy_{k} AS proxy, {{lo}}_{k} AS lower, "
     f"{{up}}_{k} AS upper, {{cf}}_{k} AS confidence FROM shd WHERE {{cf}}_{k} > 0" for k in range(3)
@@ -247,9 +244,7 @@ SELECT 1 AS pass, el.shard, eligible_train, unique_ranked_train, added_zero_comp
 def training_coverage(spark, sf):
     index, channels = _channels(spark, sf, 5)
     visits = _train_batches(channels).withColumn("pass", F.lit(1))
-    total = index.agg(F.count(F.lit(1))).scalar()
-    sharded = index.withColumn("shard", L.shard_of(F.col("entity_id"), total, SHARDS))
-    return E.training_coverage(visits, sharded)
+    return E.training_coverage(visits, index)
 
 
 SP = "(greatest(-({x}), 0.0) + ln(1 + exp(-abs({x}))))"
@@ -520,7 +515,6 @@ def pair_ranker(spark, sf):
     index, channels = _channels(spark, sf)
     rows = channels.where("channel = 0").join(index.select("entity_key", F.array(*names).alias("x")), "entity_key")
     fitted = ML.pair_ranker(_train_batches(rows), ["channel", "shard"])
-    # nine significant numbers at most: a model's coefficients as a table
     return index.select(
         "entity_key", sum((F.col(n) * w for n, w in zip(names[1:], fitted[1:])), F.col(names[0]) * fitted[0]).alias("score")
     ).select("entity_key", *rounded("score"))
