@@ -455,3 +455,47 @@ def stream_coverage(spark, sf):
     )
     ST.write_latest(live, f"{base}/out", f"{base}/state").awaitTermination()
     return ST.read_latest(spark, f"{base}/out")
+
+
+@query("ensemble_mean", f"""
+WITH {O.SCORES}, u AS (SELECT * FROM score_a UNION ALL SELECT * FROM score_b UNION ALL SELECT * FROM score_c)
+SELECT catalog_id, round(avg(score), 6) AS ensemble_score, count(*) AS members FROM u GROUP BY catalog_id
+""")
+def ensemble_mean(spark, sf):
+    stacked = X.scores(spark, sf, "a").unionByName(X.scores(spark, sf, "b")).unionByName(X.scores(spark, sf, "c"))
+    return E.ensemble_mean(stacked, "catalog_id").select("catalog_id", *rounded("ensemble_score"), "members")
+
+
+@query("embedding_norms", """
+SELECT vec_id, round(abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1), 6) AS deviation FROM embeddings
+""")
+def embedding_norms(spark, sf):
+    vectors = X.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return vectors.select("vec_id", S.norm_deviation().alias("deviation")).select("vec_id", *rounded("deviation"))
+
+
+@query("rekeyed_groups", f"""
+WITH {O.DEDUP}, grp AS (SELECT p_partkey AS partkey, p_brand || '|' || p_type AS old FROM part)
+SELECT split_part(old, '|', 2) AS group_key, count(*) AS rows FROM ded d JOIN grp g ON g.partkey = d.partkey GROUP BY 1
+""")
+def rekeyed_groups(spark, sf):
+    parts = X.table(spark, sf, "part").select(F.col("p_partkey").alias("partkey"), F.concat_ws("|", "p_brand", "p_type").alias("old"))
+    collapsed = E.dedup_evidence(X.evidence_raw(spark, sf), carry=["partkey"]).select("entity_key", "partkey")
+    rekeyed = L.rekey_groups(collapsed.join(parts, "partkey"), "old", lambda g: F.split_part(g, F.lit("|"), F.lit(2)))
+    return E.count_by(rekeyed, "group_key")
+
+
+@query("set_change", """
+WITH a AS (SELECT o_custkey AS custkey, count(DISTINCT o_orderpriority) AS n, list(DISTINCT o_orderpriority) AS s FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
+b AS (SELECT o_custkey AS custkey, list(DISTINCT o_orderpriority) AS s FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey)
+SELECT a.custkey, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS in_union, len(b.s) - len(list_intersect(a.s, b.s)) AS added,
+  len(a.s) - len(list_intersect(a.s, b.s)) AS removed, len(a.s) = len(list_intersect(a.s, b.s)) AS nested FROM a JOIN b ON a.custkey = b.custkey
+""")
+def set_change(spark, sf):
+    orders = X.table(spark, sf, "orders").withColumnRenamed("o_custkey", "custkey")
+    side = lambda status, name: orders.where(F.col("o_orderstatus") == status).groupBy("custkey").agg(
+        F.collect_set("o_orderpriority").alias(name)
+    )
+    change = side("F", "old").join(side("O", "new"), "custkey").withColumns(G.set_change(F.col("old"), F.col("new")))
+    sizes = [F.size(c).cast("bigint").alias(n) for c, n in (("union", "in_union"), ("added", "added"), ("removed", "removed"))]
+    return change.select("custkey", *sizes, "nested")
