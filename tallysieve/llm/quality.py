@@ -86,7 +86,7 @@ def votes() -> list[Column]:
         F.when(c["n_words"] < 20, -1).when(c["n_words"] >= MIN_WORDS, 1).otherwise(0),
         F.when((mean < 2) | (mean > 15), -1).otherwise(0),
         F.when(symbols > 20, -1).when(symbols <= 5, 1).otherwise(0),
-        F.when(letters < 85, -1).when(letters >= 92, 1).otherwise(0),
+        F.when(letters < 80, -1).when(letters >= 92, 1).otherwise(0),
         F.when(dup > 30, -1).otherwise(0),
         F.when(repeats > 40, -1).otherwise(0),
         F.when(capitals > 40, -1).otherwise(0),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysieve.llm import licences, quality, urls
+from tallysieve.llm import licences, packing, quality, tokens, urls
 from tallysieve.llm.common import ROW, table
 
 # Fixed values: (verdict, host, path).
@@ -22,6 +22,39 @@ URL_RULES = (
 LISTED_LABELS = ("spam-farm", "cheap-pills", "casino-win", "ads-track", "free-bets", "adult-x")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; an operator's parameter, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def byte_vocabulary() -> tuple[str, str, str]:
+    import public_tokenizers
+
+    return vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """One row per piece, with the digest of its ids instead of the ids."""
+    pieces = packing.cut_documents(docs, byte_vocabulary(), carry=["doc_id"])
+    digest = pieces.withColumn("ids_crc32", F.crc32("token_bytes")).drop("token_bytes")
+    out = packing.pack(digest)
+    return out.select(
+        f"{ROW}.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = tokens.count_tokens(docs, vocabulary("piece_bpe_32k.model"), carry=["doc_id"])
+    return out.select(f"{ROW}.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 def listed_urls(pages: DataFrame) -> DataFrame:
     """The derived list: canonical URLs of pages on hosts with a label of LISTED_LABELS."""
     host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
@@ -69,6 +102,8 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op4_token_counts": op4_token_counts,
     "op5_url_filter": op5_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op9_licence_scan": op9_licence_scan,
