@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysieve.llm import licences, packing, quality, tokens, urls
+from tallysieve.llm import licences, near, packing, quality, tokens, urls
 from tallysieve.llm.common import ROW, table
 
 # Fixed values: (verdict, host, path).
@@ -49,6 +49,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = near.near_duplicates(docs, words=4, similarity=80)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = tokens.count_tokens(docs, vocabulary("piece_bpe_32k.model"), carry=["doc_id"])
@@ -103,6 +109,7 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_url_filter": op5_url_filter,
     "op7_quality_rules": op7_quality_rules,
