@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysieve.llm import licences, near, packing, quality, tokens, urls
+from tallysieve.llm import licences, near, packing, quality, tokens, urls, vectors
 from tallysieve.llm.common import ROW, table
 
 # Fixed values: (verdict, host, path).
@@ -107,6 +107,11 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(f"{ROW}.doc_id", "text_digest", "licence", F.array_join("notices", ",").alias("notices"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+    return out.withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
@@ -114,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op9_licence_scan": op9_licence_scan,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 ORACLE = {"op5_url_filter": OP5_SQL.strip()}

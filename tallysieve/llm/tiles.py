@@ -18,7 +18,7 @@ from tallysieve.llm.common import parts
 
 
 def tile_lists(members: DataFrame, block: int, same_once: bool, home: Column | None = None) -> DataFrame:
-    """(id, tiles): the tiles (key, i, j, home) that each member of a bucket takes part in.
+    """(id, tiles): the tiles (key, i, j, home, own block) that each member of a bucket takes part in.
 
     `members` has (key, id), each pair once. Buckets of one member are left out, and those
     without a member for which `home` holds. With `same_once`, buckets with the same members
@@ -40,7 +40,11 @@ def tile_lists(members: DataFrame, block: int, same_once: bool, home: Column | N
     tiles = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda x: F.struct(
-            F.col("key"), F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j"), F.col("home")
+            F.col("key"),
+            F.least("mine", x).alias("i"),
+            F.greatest("mine", x).alias("j"),
+            F.col("home"),
+            F.col("mine").alias("block"),
         ),
     )
     return (
