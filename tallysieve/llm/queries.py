@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysieve.llm import licences, near, packing, quality, tokens, urls, vectors
+from tallysieve.llm import licences, near, packing, quality, repeats, tokens, urls, vectors
 from tallysieve.llm.common import ROW, table
 
 # Fixed values: (verdict, host, path).
@@ -49,6 +49,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = repeats.repeated_spans(docs).select(F.col("id").alias("doc_id"), F.explode("spans").alias("s"))
+    return spans.select(
+        "doc_id", F.col("s.start").alias("start_word"), "s.n_words", F.col("s.seen_id").alias("first_doc_id")
+    )
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = near.near_duplicates(docs, words=4, similarity=80)
@@ -113,6 +121,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_packing": op2_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_counts": op4_token_counts,
