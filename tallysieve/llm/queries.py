@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysieve.llm import licences, near, packing, quality, repeats, tokens, urls, vectors
+from tallysieve.llm import language, licences, near, packing, pieces, quality, repeats, tokens, urls, vectors
 from tallysieve.llm.common import ROW, table
 
 # Fixed values: (verdict, host, path).
@@ -102,6 +102,13 @@ FROM c LEFT JOIN l ON c.canonical_url = l.canonical_url
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.identify_fold(docs, vocabulary("piece_bpe_32k.model"), carry=["doc_id"])
+    held_out = language.held_out(F.col(f"{ROW}.doc_id")).alias("held_out")
+    return out.select(f"{ROW}.doc_id", held_out, "lang_pred", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # the text is a source of the counts; only doc_id is carried on
@@ -109,6 +116,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(f"{ROW}.doc_id", *quality.COUNTS, "base_failed", "p_good", "kept")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = vocabulary("piece_bpe_32k.model")
+    text = F.coalesce(F.col(f"{ROW}.text"), F.lit(""))
+    out = pieces.decode(pieces.encode(docs, path), path)
+    return out.select(
+        f"{ROW}.doc_id",
+        (F.octet_length("token_bytes") / 4).cast("long").alias("n_tokens"),
+        F.crc32("token_bytes").alias("ids_crc32"),
+        (F.col("decoded") == F.regexp_replace(text, pieces.MARK, " ")).alias("round_trip"),
+    )
+
+
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = licences.scan(docs, licences.default_known(spark), "doc_id", carry=["doc_id"])
@@ -126,7 +146,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_url_filter": op5_url_filter,
+    "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_licence_scan": op9_licence_scan,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
