@@ -130,7 +130,8 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 def with_sets(docs: DataFrame, lists: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(key, i, j, id, sketch, members): a row for each tile of each listed document."""
     texts = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("t"))
-    base = texts.join(lists, "id").select("id", "t", "tiles.key", "tiles.i", "tiles.j")
+    # the lists grow with the corpus: never broadcast, at any size
+    base = texts.join(lists.hint("merge"), "id").select("id", "t", "tiles.key", "tiles.i", "tiles.j")
     schema = "key long, i int, j int, id long, sketch binary, members binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
