@@ -121,7 +121,8 @@ def shared_suffixes(found: DataFrame) -> DataFrame:
 def passages(docs: DataFrame, lists: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """(hash, id, start): passages whose smallest position is listed for their document."""
     texts = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("t"))
-    base = texts.join(lists, "id").select("id", "t", "places")
+    # the lists grow with the corpus: never broadcast, at any size
+    base = texts.join(lists.hint("merge"), "id").select("id", "t", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tallysieve.llm.arrow import slices, window_hashes
