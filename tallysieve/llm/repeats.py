@@ -195,21 +195,25 @@ def compared(rows: DataFrame, length: int) -> DataFrame:
 def repeated_passages(rows: DataFrame, length: int) -> DataFrame:
     """(id, start, seen_id) of every passage whose first occurrence is another one and doesn't overlap it."""
     rows = stash(compared(rows, length), "passages")
-    sure = rows.where(F.col("kind") == SURE).select("id", "start", "seen_id")
-    # one row per range at most; the first of a hash is that of the earliest range
-    border = rows.where(F.col("kind") == BORDER).groupBy("hash").agg(
-        F.min(F.struct("part", "seen_id", "seen_start")).alias("first")
-    )
-    opened = rows.where(F.col("kind") == OPEN).join(F.broadcast(border), "hash", "left")
-    earlier = F.col("first.part") < F.col("part")
-    opened = opened.select(
-        "id",
-        "start",
-        F.when(earlier, F.col("first.seen_id")).otherwise(F.col("seen_id")).alias("seen_id"),
-        F.when(earlier, F.col("first.seen_start")).otherwise(F.col("seen_start")).alias("seen_start"),
-    )
-    other = (F.col("id") != F.col("seen_id")) | (F.col("start") - F.col("seen_start") >= length)
-    return sure.unionByName(opened.where(other).select("id", "start", "seen_id"))
+    # one row per range at most: (hash, range, first), the earliest range of each hash
+    border: dict[int, tuple[int, int, int]] = {}
+    for r in rows.where(F.col("kind") == BORDER).select("hash", "part", "seen_id", "seen_start").collect():
+        border[r[0]] = min(border.get(r[0], tuple(r[1:])), tuple(r[1:]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, part, hashes, ids, starts, seen_ids, seen_starts = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            seen_ids, seen_starts, keep = seen_ids.copy(), seen_starts.copy(), kind == SURE
+            opened = kind == OPEN
+            for h in np.unique(hashes[opened]).tolist():  # one per range
+                if h in border:
+                    mine = opened & (hashes == h) & (part > border[h][0])
+                    seen_ids[mine], seen_starts[mine] = border[h][1:]
+            keep |= opened & ((ids != seen_ids) | (starts - seen_starts >= length))
+            columns = [pa.array(c[keep]) for c in (ids, starts, seen_ids)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "seen_id"])
+
+    return rows.mapInArrow(run, "id long, start int, seen_id long")
 
 
 def merged(found: DataFrame, length: int) -> DataFrame:
