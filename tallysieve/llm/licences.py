@@ -6,8 +6,9 @@ text is the document, and each of its lines and sentences, so that a one-line no
 document is found as well. Texts under half the shortest or over twice the longest known
 licence can't be one (copyright lines and spellings change the length by less) and get no digest.
 
-Known licences are a table (licence, text); joining is an equi-join on the digest that
-Catalyst broadcasts while the list is small.
+Known licences are a table (licence, text) of at most MAX_KNOWN rows; joining is an equi-join on the
+digest that Catalyst broadcasts while the list is small. A line or sentence is digested only if its first
+word is that of a known licence, which leaves few.
 
 Defined cases: null and empty texts have no digest and no licence; a text that is the
 same licence several times names it once; repeated rows give repeated rows; an empty table gives
@@ -49,6 +50,7 @@ SPELLINGS = (
     (r"\bmerchantib", "merchantab"),
     (r"\bsub license", "sublicense"),
 )
+MAX_KNOWN = 10_000
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 
@@ -60,6 +62,12 @@ def canonical(text: Column) -> Column:
     return out
 
 
+def first_word(text: Column) -> Column:
+    """The first word in canonical form; copyright lines aside, which are no licence."""
+    word = F.regexp_extract(text, r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1)
+    return canonical(word)
+
+
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form; null if nothing is left."""
     form = canonical(text)
@@ -95,14 +103,16 @@ def scan(
     `key` names a column that tells documents apart; rows with the same key share their notices.
     """
     registry = known_digests(known)
-    longest, shortest = known.agg(
-        F.max(F.length("text")).alias("longest"), F.min(F.length("text")).alias("shortest")
-    ).first() or (0, 0)
-    low, high = (shortest or 0) // 2, (longest or 0) * 2
+    forms = known.select(F.length("text").alias("n"), first_word(F.col("text")).alias("w")).limit(MAX_KNOWN + 1).collect()
+    if len(forms) > MAX_KNOWN:
+        raise ValueError(f"at most {MAX_KNOWN} known licences")
+    sizes = [r["n"] for r in forms if r["n"]] or [0]
+    low, high = min(sizes) // 2, max(sizes) * 2
+    firsts = sorted({r["w"] for r in forms if r["w"]})
     base = docs.select(carried(docs, carry), docs[key].alias("k"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
-    pieces = F.filter(units(F.col("t")), lambda u: F.length(u).between(low, high))
     found = (
-        base.select("k", F.explode(pieces).alias("u"))
+        base.select("k", F.explode(units(F.col("t"))).alias("u"))
+        .where(F.length("u").between(low, high) & first_word(F.col("u")).isin(firsts))
         .select("k", digest(F.col("u")).alias("digest"))
         .join(registry, "digest")
         .groupBy("k")
