@@ -6,7 +6,7 @@ URL is on the list. The list is folded into a blocked Bloom filter: each URL bel
 64-bit block and sets four bits there. Pages whose bits are all set are possible hits; only
 they take part in the exact join on the canonical URL, which removes the false positives.
 
-The filter is a table with one row per block (sixteen list entries to a block), joined on the
+The filter is a table with one row per block (about six list entries to a block), joined on the
 block number: Catalyst broadcasts it while it is small and shuffles it when the list is
 large, so no size is assumed. Rules are a bounded parameter (MAX_RULES).
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tallysieve.llm.common import ROW, carried
 
 MAX_RULES = 1000
-ENTRIES_PER_BLOCK, BITS = 16, 4
+ENTRIES_PER_BLOCK, BITS = 6, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
