@@ -15,8 +15,8 @@ vector of its component there. No pair list is built.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components are
 linked with nothing, vectors of different length not with each other; a null key is
-linked with nothing; rows with the same key are one node, and count once per row;
-an empty table gives an empty table; other columns play no part.
+linked with nothing; rows with the same key and vector count once per row; of different vectors with the
+same key one, by digest, takes part, others follow it only if they equal a vector that does; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations
@@ -186,11 +186,10 @@ def tile_links(tile: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, n
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
     """(id, n_links, component_id, kept) per row."""
     placed = stash(with_cells(vectors, key, vector), "cells")
-    classes = (
-        placed.where("digest is not null and id is not null")
-        .groupBy("digest")
-        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    )
+    usable = placed.where("digest is not null and id is not null").select("id", "digest")
+    usable = usable.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    usable = usable.groupBy("id").agg(F.min(F.struct("digest", "copies")).alias("one")).select("id", "one.*")
+    classes = usable.groupBy("digest").agg(F.min("id").alias("id"), F.sum("copies").alias("copies"))
     classes = stash(classes, "vector-classes")
     sides = placed.select("id", "digest", "home", "probe", "keys", "v").dropDuplicates(["id", "digest"])
     chosen = stash(sides.join(classes, ["id", "digest"]), "chosen")

@@ -75,7 +75,7 @@ def test_vectors_match_brute_force(spark, monkeypatch, block):
         for k in range(1 + 3 * c):
             rows.append((len(rows), (centre + 0.02 * (k % 7) * draw.standard_normal(64)).tolist()))
     rows += [(len(rows) + k, rows[40][1]) for k in range(6)]
-    rows += [(200, None), (201, []), (202, [0.0] * 64), (203, [1.0, None]), (204, [float("nan")] * 64), (205, [1.0] * 8), (206, [2.0] * 8)]
+    rows += [(300, None), (301, []), (302, [0.0] * 64), (303, [1.0, None]), (304, [float("nan")] * 64), (305, [1.0] * 8), (306, [2.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).repartition(3)
     got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(df).collect()}
     want = brute(rows, 0.95)
@@ -83,6 +83,8 @@ def test_vectors_match_brute_force(spark, monkeypatch, block):
     assert all(got[i][0] <= want[i][0] for i in want) and set(got) == set(want)
     assert np.mean([got[i][1] == want[i][1] for i in want]) > 0.97
     assert vectors.near_vectors(df.limit(0)).count() == 0
+    twice = df.unionByName(df.where("vec_id = 305").withColumn("vec_id", F.lit(3).cast("long")))
+    assert vectors.near_vectors(twice).count() == len(rows) + 1
 
 
 def test_lattice_points_are_nearest():
