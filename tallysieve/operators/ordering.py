@@ -8,6 +8,7 @@ bucket adds its offset to a window of its own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -15,16 +16,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallysieve.session import ensure_checkpoint_dir
+from tallysieve.session import ensure_checkpoint_dir, materialise
 
-SINGLE_TASK_ROWS = 200_000
-BUCKETS = 1024
+# rows that one task orders; buckets follow from it, up to the size of a driver array
+ROWS_PER_BUCKET, MOST_BUCKETS = 100_000, 16_384
 
 
 def _partition(by: Sequence[str]):
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
 
+def _splits(values: DataFrame, value: str, buckets: int | None) -> list[float]:
+    """Bucket edges near equal row counts; any edges give the same result."""
+    wanted = buckets or max(2, min(MOST_BUCKETS, -(-values.count() // ROWS_PER_BUCKET)))
+    quantiles = F.percentile_approx(F.col(value).cast("double"), [i / wanted for i in range(1, wanted)], 10_000)
+    edges = values.select(quantiles).first()[0] or [0.0]
+    return [float("-inf"), *sorted(set(edges)), float("inf")]
+
+
 def running_totals(
     values: DataFrame,
     value: str,
@@ -32,29 +41,20 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     with_next: bool = False,
-    limit: int = SINGLE_TASK_ROWS,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
+    ready: bool = False,
 ) -> DataFrame:
     """Inclusive running sums of `sums[out] = column` in order of `value`.
 
-    `values` has one row per (by, value): aggregate first. A checked row count up to
-    `limit` runs as plain windows; beyond it, quantile edges (a bounded driver array)
-    cut the value range into buckets. Any edges give the same result. `with_next`
-    adds `next_value`, the following value inside the same `by` group.
+    `values` has one row per (by, value): aggregate first. It is written once (unless it is
+    `ready`), since edges, bucket totals and result each read it; quantile edges cut the value range
+    into buckets that grow in number with the rows. `with_next` adds `next_value`, the following
+    value inside the same `by` group.
     """
     by = list(by)
-    probabilities = [i / buckets for i in range(1, buckets)]
-    count, edges = values.select(
-        F.count(F.lit(1)), F.percentile_approx(F.col(value).cast("double"), probabilities, 10_000)
-    ).first()
+    values = values if ready else materialise(values)
+    splits = _splits(values, value, buckets)
     order = F.col(value).desc() if descending else F.col(value).asc()
-    if count <= limit:
-        ordered = _partition(by).orderBy(order)
-        rows = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        extra = [F.lead(value).over(ordered).alias("next_value")] if with_next else []
-        return values.select("*", *[F.sum(c).over(rows).alias(o) for o, c in sums.items()], *extra)
-
-    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
     keyed = values.withColumn("_v", F.col(value).cast("double"))
     bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(keyed).drop("_v")
     totals = bucketed.groupBy(*by, "_b").agg(
@@ -77,15 +77,18 @@ def running_totals(
 
 
 def hash_row_number(
-    df: DataFrame, name: str, digest: Column, tie: str, by: Sequence[str] = (), start: int = 0, digits: int = 3
+    df: DataFrame, name: str, digest: Column, tie: str, by: Sequence[str] = (), start: int = 0, digits: int | None = None
 ) -> DataFrame:
     """Consecutive row numbers in order of a hex digest.
 
-    Buckets are the first `digits` hex digits (16 ** digits of them), even because the
-    digest is uniform.
+    Buckets are the first hex digits, as many as the row count asks for, even because the
+    digest is uniform. The rows are written once, since sizes and numbers both read them.
     """
     by = list(by)
-    hashed = df.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, digits))
+    hashed = materialise(df.withColumn("_h", digest))
+    if digits is None:
+        digits = max(1, math.ceil(math.log(max(1, hashed.count()) / ROWS_PER_BUCKET, 16)))
+    hashed = hashed.withColumn("_b", F.substring("_h", 1, digits))
     sizes = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = _partition(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -133,17 +136,23 @@ def exact_quantiles(
     df: DataFrame, value: str, named: Mapping[str, float], by: Sequence[str] = (), **options
 ) -> DataFrame:
     """Linear-interpolated quantiles, exact, without holding all values in one task."""
+    return counted_quantiles(materialise(value_counts(df, value, by)), value, "n", named, by, **options)
+
+
+def counted_quantiles(
+    counts: DataFrame, value: str, n: str, named: Mapping[str, float], by: Sequence[str] = (), **options
+) -> DataFrame:
+    """The same from a written table of values and how often each occurs."""
     by = list(by)
-    counts = value_counts(df, value, by)
-    ranked = running_totals(counts, value, {"_upto": "n"}, by, **options)
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
+    ranked = running_totals(counts, value, {"_upto": n}, by, ready=True, **options)
+    totals = counts.groupBy(*by).agg(F.sum(n).alias("_total"))
     sized = ranked.join(totals, by) if by else ranked.withColumn("_total", totals.scalar())
     x = F.col(value).cast("double")
     picks = []
     for name, p in named.items():
         position = F.lit(float(p)) * (F.col("_total") - 1)
         for side, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            inside = (index >= F.col("_upto") - F.col("n")) & (index < F.col("_upto"))
+            inside = (index >= F.col("_upto") - F.col(n)) & (index < F.col("_upto"))
             picks.append(F.max(F.when(inside, x)).alias(f"_{side}_{name}"))
     found = sized.groupBy(*by).agg(F.max("_total").alias("_total"), *picks)
     result = []

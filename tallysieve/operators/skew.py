@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallysieve.session import materialise
+
 SHARE = 1000
 MIN_ROWS = 100_000
 
@@ -49,8 +51,13 @@ def split_hot_join(
     share: int = SHARE,
     min_rows: int = MIN_ROWS,
 ) -> DataFrame:
-    """Inner join on `on` plus a residual `condition`; sides share no other column name."""
+    """Inner join on `on` plus a residual `condition`; sides share no other column name.
+
+    Both sides are written once: counting the keys and joining read the same rows, so what
+    lies before is planned and computed a single time.
+    """
     on = list(on)
+    left, right = materialise(left), materialise(right)
     hot = F.broadcast(hot_keys(left, right, on, share, min_rows))
     l = (
         left.join(hot, on, "left")
@@ -92,6 +99,7 @@ def split_hot_lookup(
     salts on the fact side and copied on the table side.
     """
     on = list(on)
+    table = materialise(table)
     total = F.coalesce(table.agg(F.sum(weight)).scalar(), F.lit(0))
     room = F.greatest(F.lit(float(min_rows)), total / share)
     sized = table.withColumn("_room", room).withColumn(

@@ -196,9 +196,25 @@ def eval_labels(spark, sf):
     return E.count_by(X.index(spark, sf).select("split", C.eval_label().alias("label")), "split", "label")
 
 
-@query("numeric_profile")
+_PROFILED = ("count_target", "count_competitor", "count_control", "historic_hits", "z_target", "z_competitor", "z_control")
+
+
+_SUMMARY = {
+    "min": "min({c})::DOUBLE", "max": "max({c})::DOUBLE", "mean": "avg({c}::DOUBLE)", "q01": "quantile_cont({c}::DOUBLE, 0.01)",
+    "median": "quantile_cont({c}::DOUBLE, 0.5)", "q99": "quantile_cont({c}::DOUBLE, 0.99)",
+}
+
+
+@query("numeric_profile", f"WITH {O.RAW} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS n, """
+    + ", ".join(f"round({e.format(c=c)}, 6) AS {n}" for n, e in _SUMMARY.items())
+    + " FROM ev_raw"
+    for c in _PROFILED
+))
 def numeric_profile(spark, sf):
-    return E.numeric_profile(X.evidence_raw(spark, sf), [*COUNTS, "historic_hits", *C.Z_COLUMNS])
+    return E.numeric_profile(X.evidence_raw(spark, sf), _PROFILED).select(
+        "column", "n", *rounded("min", "max", "mean", "q01", "median", "q99")
+    )
 
 
 @query("count_distribution", f"""
@@ -216,70 +232,49 @@ def count_if(flags: dict[str, str]) -> str:
     return ", ".join(f"CAST(sum(CASE WHEN {rule} THEN 1 ELSE 0 END) AS BIGINT) AS {name}" for name, rule in flags.items())
 
 
-SUPERVISION = {
-    "competition_supervised": "confidence_0 > 0",
-    "any_supervised_channel": "confidence_0 > 0 OR confidence_1 > 0 OR confidence_2 > 0",
-    "zero_competitor": "mi = 0",
-    "target_mean_at_most_one": "mt <= 1",
-    "duplicate_source_entities": "source_rows > 1",
-    "zero_competitor_with_weight": "mi = 0 AND confidence_0 > 0",
+_CALM = "(mn <= 0.1 * mt AND ms <= 0.1 * mt AND historic_hits = 0)"
+_DISPLACED = "(mi > 0 AND mi <= 0.1 * mt)"
+_BACK = "(mn > 0 OR ms > 0)"
+_MARKS = {
+    "every": "TRUE", "merged": "source_rows > 1", "background_seen": _BACK,
+    "competitor_seen": "mi > 0", "control_seen": "mn > 0", "supplement_seen": "ms > 0", "history_seen": "historic_hits > 0",
+    "missing": "mi = 0", "missing_calm": f"mi = 0 AND {_CALM}", "displaced": _DISPLACED, "displaced_calm": f"{_DISPLACED} AND {_CALM}",
+    "untouched": "mi = 0 AND mn = 0 AND ms = 0 AND historic_hits = 0", "restless": f"NOT {_CALM}", "held": "mi >= mt",
+    "two_sided": f"mi > 0 AND {_BACK}", "displaced_calm_two_sided": f"{_DISPLACED} AND {_CALM} AND {_BACK}",
+    "weighted": "confidence_0 > 0", "weighted_any": "(confidence_0 > 0 OR confidence_1 > 0 OR confidence_2 > 0)",
+    "weighted_missing": "confidence_0 > 0 AND mi = 0",
+}
+_CAPPED = {f"capped_{k}": f"interval_confidence_{k} > 0" for k in range(3)} | {
+    "capped_any": "(interval_confidence_0 > 0 OR interval_confidence_1 > 0 OR interval_confidence_2 > 0)"
 }
-for _c in C.SUPPORT_CUTOFFS:
-    SUPERVISION[f"target_ge_{_c}"] = f"mt >= {_c}"
-    SUPERVISION[f"target_ge_{_c}_zero_competitor"] = f"mt >= {_c} AND mi = 0"
-    SUPERVISION[f"target_ge_{_c}_zero_competitor_no_background"] = (
-        f"mt >= {_c} AND mi = 0 AND mn = 0 AND ms = 0 AND historic_hits = 0"
+
+
+def audit_sql(source: str, rules: dict[str, str], supports) -> str:
+    return f"WITH {O.PREPARED} " + " UNION ALL ".join(
+        f"SELECT split, '{n}' AS mark, {cut} AS support, CAST(count(*) FILTER (WHERE {rule} AND ({cut} = 0 OR mt >= {cut})) AS BIGINT) AS entities "
+        f"FROM {source} GROUP BY split"
+        for n, rule in rules.items() for cut in (0, *supports)
     )
 
 
-@query("supervision_audit", f"WITH {O.PREPARED} SELECT split, count(*) AS entities, {count_if(SUPERVISION)} FROM obs GROUP BY split")
+@query("supervision_audit", audit_sql("obs", {n: _MARKS[n] for n in E.SUPERVISION_MARKS}, C.SUPPORT_CUTOFFS))
 def supervision_audit(spark, sf):
     return E.supervision_audit(X.index(spark, sf))
 
 
-COVERAGE = {
-    "duplicate_source_entities": "source_rows > 1",
-    "competitor_nonzero": "mi > 0",
-    "competitor_zero_uncertain": "mi = 0",
-    "control_nonzero": "mn > 0",
-    "supplement_nonzero": "ms > 0",
-    "any_control_nonzero": "mn > 0 OR ms > 0",
-    "both_nonzero": "mi > 0 AND (mn > 0 OR ms > 0)",
-    "historic_nonzero": "historic_hits > 0",
-    "target_le1": "mt <= 1",
-    "target_gt1_lt5": "mt > 1 AND mt < 5",
-    "target_5_lt10": "mt >= 5 AND mt < 10",
-    "target_10_lt20": "mt >= 10 AND mt < 20",
-    "target_ge20": "mt >= 20",
-}
-_CLEAN = "(mn <= 0.1 * mt AND ms <= 0.1 * mt AND historic_hits = 0)"
-_TEN = "(mi > 0 AND mi <= 0.1 * mt)"
-for _c in C.COVERAGE_CUTOFFS:
-    for _n, _m in {
-        "target_support": "TRUE",
-        "observed_competition": "mi > 0",
-        "observed_control": "(mn > 0 OR ms > 0)",
-        "tenfold_competition": _TEN,
-        "zero_competitor": "mi = 0",
-        "background_or_history": f"NOT {_CLEAN}",
-        "joint_observed": f"{_TEN} AND {_CLEAN}",
-        "joint_zero_uncertain": f"mi = 0 AND {_CLEAN}",
-        "joint_observed_and_control": f"{_TEN} AND {_CLEAN} AND (mn > 0 OR ms > 0)",
-        "competition_retained": "mi >= mt",
-    }.items():
-        COVERAGE[f"t{_c}_{_n}"] = f"mt >= {_c} AND {_m}"
-COVERAGE["cap5_any_confidence"] = (
-    "interval_confidence_0 > 0 OR interval_confidence_1 > 0 OR interval_confidence_2 > 0"
-)
-for _k in range(3):
-    COVERAGE[f"cap5_channel_{_k}"] = f"interval_confidence_{_k} > 0"
-
-
-@query("evidence_coverage", f"WITH {O.PREPARED} SELECT split, count(*) AS entities, {count_if(COVERAGE)} FROM ivl GROUP BY split")
+@query("evidence_coverage", audit_sql("ivl", _MARKS | _CAPPED, C.COVERAGE_CUTOFFS))
 def evidence_coverage(spark, sf):
     return E.evidence_coverage(X.index(spark, sf))
 
 
+@query("target_bands", f"""
+WITH {O.PREPARED} SELECT split, CASE WHEN mt <= 1 THEN 'le1' WHEN mt < 5 THEN 'gt1_lt5' WHEN mt < 10 THEN '5_lt10'
+  WHEN mt < 20 THEN '10_lt20' ELSE 'ge20' END AS band, count(*) AS entities FROM mean_ev GROUP BY ALL
+""")
+def target_bands(spark, sf):
+    return E.target_bands(X.index(spark, sf))
+
+
 @query("manifest_counts", f"""
 WITH {O.PREPARED} SELECT split, count(*) AS entities,
   {count_if({'any_observed': 'confidence_0 > 0 OR confidence_1 > 0 OR confidence_2 > 0', 'competition_observed': 'confidence_0 > 0'})}
@@ -289,20 +284,13 @@ def manifest_counts(spark, sf):
     return E.manifest_counts(X.index(spark, sf))
 
 
-_PRED = {
-    "all": "TRUE",
-    "observed_joint": f"mt >= 5 AND {_TEN} AND {_CLEAN}",
-    "zero_joint_uncertain": f"mt >= 5 AND mi = 0 AND {_CLEAN}",
-    "competition_retained": "mt >= 5 AND mi >= mt",
-    "target_ge5": "mt >= 5",
-}
 _SCOPE = {"train": "split = 'train'", "dev": "split = 'dev'", "everything": "TRUE"}
 
 
 @query("group_flags", f"WITH {O.PREPARED} " + " UNION ALL ".join(
-    f"SELECT '{s}' AS scope, '{p}' AS predicate, CAST(count(*) AS BIGINT) AS entities, "
-    f"count(DISTINCT group_key) AS groups FROM ivl WHERE {sr} AND {pr} HAVING count(*) > 0"
-    for s, sr in _SCOPE.items() for p, pr in _PRED.items()
+    f"SELECT '{s}' AS scope, '{m}' AS mark, {cut} AS support, CAST(count(*) AS BIGINT) AS entities, "
+    f"count(DISTINCT group_key) AS groups FROM ivl WHERE {sr} AND {_MARKS[m]} AND mt >= {cut} HAVING count(*) > 0"
+    for s, sr in _SCOPE.items() for m in E.PANEL_MARKS for cut in (0, 5)
 ))
 def group_flags(spark, sf):
     scopes = {"train": F.col("split") == "train", "dev": F.col("split") == "dev", "everything": F.lit(True)}

@@ -131,12 +131,12 @@ def _fused(spark, sf):
 
 
 @query("rank_fusion", f"""{FUSED}
-SELECT catalog_id, eligible, sources, {r6('rank_a', 'rank_b', 'rank_c', 'fusion_score')},
+SELECT catalog_id, eligible, sources, {r6('rank_a', 'rank_b', 'rank_c')}, fusion_score,
   row_number() OVER (ORDER BY CASE WHEN eligible THEN 0 ELSE 1 END, fusion_score DESC, catalog_id) AS fusion_rank FROM fused
 """)
 def rank_fusion(spark, sf):
     return R.eligibility_rank(_fused(spark, sf)).select(
-        "catalog_id", "eligible", "sources", *rounded("rank_a", "rank_b", "rank_c", "fusion_score"),
+        "catalog_id", "eligible", "sources", *rounded("rank_a", "rank_b", "rank_c"), "fusion_score",
         F.col("fusion_rank").cast("bigint").alias("fusion_rank"),
     )
 

@@ -21,6 +21,8 @@ def build_session(app: str = "tallysieve", cpus: int | str = "*", memory: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.parquet.compression.codec", "zstd")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.compress", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -141,9 +141,10 @@ def test_coverage_on_four_rows(spark):
     rows = spark.createDataFrame(
         [(1, 1, 1, 0, 0, 0, 0), (1, 1, 10, 1, 0, 1, 0), (2, 1, 40, 2, 0, 0, 0), (1, 1, 10, 10, 2, 0, 1)], SCHEMA
     ).withColumn("split", F.lit("train"))
-    got = E.evidence_coverage(rows).first()
-    assert (got.entities, got.duplicate_source_entities, got.target_le1, got.target_ge20) == (4, 1, 1, 1)
-    assert (got.competitor_nonzero, got.any_control_nonzero, got.both_nonzero) == (3, 2, 2)
-    assert got.t5_competition_retained == 1 and got.t10_joint_observed == 2
+    got = {(r.mark, r.support): r.entities for r in E.evidence_coverage(rows).collect()}
+    bands = {r.band: r.entities for r in E.target_bands(rows).collect()}
+    assert (got["every", 0], got["merged", 0], bands["le1"], bands["ge20"]) == (4, 1, 1, 1)
+    assert (got["competitor_seen", 0], got["background_seen", 0], got["two_sided", 0]) == (3, 2, 2)
+    assert got["held", 5] == 1 and got["displaced_calm", 10] == 2
     parts = E.merge_partials([E.manifest_counts(rows.limit(4)), E.manifest_counts(rows.limit(4))], ["split"]).first()
     assert parts.entities == 8

@@ -30,8 +30,10 @@ def as_set(df):
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_running_totals_in_buckets(numbers, by, descending):
     counts = O.value_counts(numbers, "v", by)
-    plain = O.running_totals(counts, "v", {"c": "n"}, by, descending, with_next=True)
-    cut = O.running_totals(counts, "v", {"c": "n"}, by, descending, with_next=True, limit=0, buckets=7)
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("v") if descending else F.asc("v"))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = counts.select("*", F.sum("n").over(upto).alias("c"), F.lead("v").over(order).alias("next_value"))
+    cut = O.running_totals(counts, "v", {"c": "n"}, by, descending, with_next=True, buckets=7)
     assert as_set(plain) == as_set(cut.select(*plain.columns))
 
 
@@ -39,20 +41,20 @@ def test_metrics_in_buckets_equal_brute_force(numbers):
     rows = numbers.collect()
     pos = np.array([r.v for r in rows if r.label]), np.array([r.v for r in rows if not r.label])
     brute = ((pos[0][:, None] > pos[1]) + 0.5 * (pos[0][:, None] == pos[1])).mean()
-    for options in ({}, {"limit": 0, "buckets": 9}):
+    for options in ({}, {"buckets": 9}):
         assert M.auroc(numbers, "label", "v", **options).first()[0] == pytest.approx(brute)
     order = sorted({r.v for r in rows}, reverse=True)
     ap, total = 0.0, len(pos[0])
     for v in order:
         tp, n = sum(r.v >= v and r.l for r in rows), sum(r.v >= v for r in rows)
         ap += sum(r.v == v and r.l for r in rows) / total * tp / n
-    assert M.average_precision(numbers, "label", "v", limit=0, buckets=5).first()[0] == pytest.approx(ap)
+    assert M.average_precision(numbers, "label", "v", buckets=5).first()[0] == pytest.approx(ap)
     assert M.auroc(numbers.where("label = 1"), "label", "v").first()[0] is None
 
 
 def test_quantiles_exact(numbers):
     values = np.array([r.v for r in numbers.collect()])
-    got = O.exact_quantiles(numbers, "v", {"a": 0.1, "b": 0.5, "c": 0.97}, limit=0, buckets=6).first()
+    got = O.exact_quantiles(numbers, "v", {"a": 0.1, "b": 0.5, "c": 0.97}, buckets=6).first()
     assert [got.a, got.b, got.c] == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.97])))
 
 
@@ -70,7 +72,7 @@ def test_ks_wasserstein_psi(numbers):
     grid = np.unique(np.concatenate([a, b]))
     fa, fb = np.searchsorted(a, grid, "right") / len(a), np.searchsorted(b, grid, "right") / len(b)
     counts = D.sample_counts(numbers, "v", F.col("g") == "a")
-    got = D.ks_and_wasserstein(counts, limit=0, buckets=8).first()
+    got = D.ks_and_wasserstein(counts, buckets=8).first()
     assert got.ks_statistic == pytest.approx(np.abs(fa - fb).max())
     assert got.wasserstein == pytest.approx((np.abs(fa - fb)[:-1] * np.diff(grid)).sum())
     edges = np.unique(np.quantile(a, np.linspace(0, 1, 11)))
