@@ -26,7 +26,7 @@ def standardised(df: DataFrame, features: Sequence[str], base: DataFrame) -> Dat
 
 
 def matched_controls(
-    positives: DataFrame, negatives: DataFrame, features: Sequence[str], key: str, seed: int, max_rounds: int = 10_000
+    positives: DataFrame, negatives: DataFrame, features: Sequence[str], key: str, seed: int
 ) -> DataFrame:
     """Each positive, in seeded order, gets its nearest free negative (ties: smaller key).
 
@@ -70,7 +70,7 @@ def matched_controls(
         return df.withColumn("cell", shifted).drop(*[f"_d{i}" for i in range(k)])
 
     distance = F.aggregate(F.zip_with("pf", "nf", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    for _ in range(max_rounds):
+    while True:  # each round settles or refuses at least one proposal for good
         open_rows = state.where("n is null")
         scales = [r[0] for r in open_rows.select("scale").distinct().collect()]
         if not scales:
@@ -107,6 +107,4 @@ def matched_controls(
                 F.when(silent, F.col("scale") * 2).otherwise(F.col("scale")).alias("scale"),
             )
         )
-    else:
-        raise RuntimeError("matching did not settle")
     return state.select(F.col("p").alias("positive_key"), F.col("n").alias("negative_key"), F.col("d2").alias("squared_distance"))

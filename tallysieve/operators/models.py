@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -11,30 +13,22 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallysieve.functions import columns as C
-from tallysieve.functions.fingerprints import WIDTH
 from tallysieve.functions.hashing import hash_bucket
 from tallysieve.operators.metrics import MARGIN_SLACK, auroc, batch_pairs
-
-
-def bit_vector(bits: Column | str, width: int = WIDTH) -> Column:
-    """Set bits -> ml vector of 0/1."""
-    bits = C.as_col(bits)
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.array_contains(bits, i).cast("double")
-    )
-    return array_to_vector(dense)
+from tallysieve.operators.ordering import hash_row_number
 
 
 def folded_vector(bits: Column | str, width: int = 64) -> Column:
     """Set bits folded to `width` counts: a cheap dense feature vector."""
-    folded = F.aggregate(
-        C.as_col(bits),
-        F.array_repeat(F.lit(0.0), width),
-        lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b % width, x + 1.0).otherwise(x)),
-    )
-    return array_to_vector(folded)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def fold(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda b: np.bincount(np.asarray(b, np.int64) % width, minlength=width).astype(float))
+
+    return array_to_vector(fold(C.as_col(bits)))
 
 
 def pointwise_ranker(
@@ -54,6 +48,21 @@ def pointwise_ranker(
     return scored.select(key, vector_to_array("rawPrediction")[1].alias("score"))
 
 
+def paired_in_turn(left: DataFrame, right: DataFrame, by: Sequence[str], left_key: str, right_key: str) -> DataFrame:
+    """(by..., left_key, right_key): rows of a group paired in seeded order, the shorter side over again; no row is left out."""
+    by = list(by)
+    sides = []
+    for side, key, name in ((left, left_key, "l"), (right, right_key, "r")):
+        numbered = hash_row_number(side.select(*by, key), f"_{name}", F.sha2(F.col(key).cast("string"), 256), key, by)
+        sizes = side.groupBy(*by).agg(F.count(F.lit(1)).alias(f"_{name}n"))
+        sides.append((numbered, sizes))
+    (ls, ln), (rs, rn) = sides
+    sizes = ln.join(rn, by)
+    turns = sizes.select(*by, "_ln", "_rn", F.explode(F.sequence(F.lit(0), F.greatest("_ln", "_rn") - 1)).alias("_t"))
+    turns = turns.select(*by, (F.col("_t") % F.col("_ln")).alias("_l"), (F.col("_t") % F.col("_rn")).alias("_r"))
+    return turns.join(ls, [*by, "_l"]).join(rs, [*by, "_r"]).select(*by, left_key, right_key)
+
+
 def pair_ranker(
     batched: DataFrame, groups: Sequence[str], temperature: float = 0.1, margin: float = C.LN2, iterations: int = 50,
     columns: int | None = None,

@@ -278,8 +278,9 @@ def _metric_tiles(
 
     asked = (
         query.withColumn("d", to_pivots("q_vec"))
-        .join(per_block, "q_block")
-        .join(queries, "q_block")
+        # one row per block: without a broadcast, a single block would make this a cartesian product
+        .join(F.broadcast(per_block), "q_block")
+        .join(F.broadcast(queries), "q_block")
         .withColumn("reach", reach)
         .withColumn("hit", F.explode(F.filter("cells", near)))
         .withColumn("q_tile", F.explode(F.sequence(F.lit(0), F.col("hit.tiles") - 1)))

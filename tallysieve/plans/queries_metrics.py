@@ -126,13 +126,13 @@ tot AS (SELECT sum(label) AS p, count(*) - sum(label) AS n FROM labelled)"""
 @query("permutation_p", f"""
 WITH {O.LABELLED}, {MIDRANK},
 many AS (SELECT rep, r, row_number() OVER (PARTITION BY rep ORDER BY sha256('2026|' || rep::VARCHAR || '|' || entity_id::VARCHAR)) AS i
-  FROM mid CROSS JOIN (SELECT unnest(range(1, 201)) AS rep)),
+  FROM mid CROSS JOIN (SELECT unnest(range(1, 10001)) AS rep)),
 null_auc AS (SELECT rep, (sum(r) - max(p) * (max(p) + 1) / 2.0) / (max(p) * max(n)) AS a FROM many CROSS JOIN tot WHERE i <= p GROUP BY rep),
 obs AS (SELECT {AUC.format(src='labelled')} AS auroc)
-SELECT round(max(auroc), 6) AS auroc, round((count(*) FILTER (WHERE a >= auroc - 1e-12) + 1) / 201.0, 6) AS p_value FROM null_auc CROSS JOIN obs
+SELECT round(max(auroc), 6) AS auroc, round((count(*) FILTER (WHERE a >= auroc - 1e-12) + 1) / 10001.0, 6) AS p_value FROM null_auc CROSS JOIN obs
 """)
 def permutation_p(spark, sf):
-    return M.permutation_p(X.labelled(spark, sf), 200, 2026, "entity_id").select(*rounded("auroc", "p_value"))
+    return M.permutation_p(X.labelled(spark, sf), 10_000, 2026, "entity_id").select(*rounded("auroc", "p_value"))
 
 
 @query("bootstrap_ci", f"""
@@ -140,7 +140,7 @@ WITH {O.LABELLED},
 slots AS (SELECT label, score, row_number() OVER (PARTITION BY label ORDER BY sha256(entity_id::VARCHAR)) - 1 AS slot FROM labelled),
 size AS (SELECT label, count(*) AS n FROM labelled GROUP BY label),
 draws AS (SELECT rep, s.label, CAST(('0x' || substr(sha256('9|' || rep::VARCHAR || '|' || s.label::VARCHAR || '|' || slot::VARCHAR), 1, 15))::UBIGINT % n AS BIGINT) AS pick
-  FROM slots s JOIN size ON size.label = s.label CROSS JOIN (SELECT unnest(range(1, 201)) AS rep)),
+  FROM slots s JOIN size ON size.label = s.label CROSS JOIN (SELECT unnest(range(1, 2001)) AS rep)),
 smp AS (SELECT rep, d.label, s.score FROM draws d JOIN slots s ON s.label = d.label AND s.slot = d.pick),
 g AS (SELECT rep, score, sum(label) * 1.0 AS p, sum(1 - label) * 1.0 AS n FROM smp GROUP BY rep, score),
 w AS (SELECT rep, p, n, sum(n) OVER (PARTITION BY rep ORDER BY score) - n AS below,
@@ -150,7 +150,7 @@ SELECT 'auroc' AS metric, round(quantile_cont(auroc, 0.025), 6) AS low, round(qu
 UNION ALL SELECT 'average_precision', round(quantile_cont(ap, 0.025), 6), round(quantile_cont(ap, 0.975), 6) FROM m
 """)
 def bootstrap_ci(spark, sf):
-    return M.bootstrap_ci(X.labelled(spark, sf), 200, 9, "entity_id").select("metric", *rounded("low", "high"))
+    return M.bootstrap_ci(X.labelled(spark, sf), 2_000, 9, "entity_id").select("metric", *rounded("low", "high"))
 
 
 @query("benchmark_metrics")
@@ -504,8 +504,8 @@ def pointwise_ranker(spark, sf):
     features = materialise(_features(spark, sf))
     labelled = X.labelled(spark, sf).select("entity_id", "label", "source")
     good = labelled.where("label = 1").select("source", F.col("entity_id").alias("positive_key"))
-    bad = labelled.where("label = 0").groupBy("source").agg(F.min("entity_id").alias("negative_key"))
-    pairs = good.join(bad, "source").withColumn("pair_weight", F.lit(1.0))
+    bad = labelled.where("label = 0").select("source", F.col("entity_id").alias("negative_key"))
+    pairs = ML.paired_in_turn(good, bad, ["source"], "positive_key", "negative_key").withColumn("pair_weight", F.lit(1.0))
     return ML.pointwise_ranker(pairs, features, features, "entity_id").select("entity_id", *rounded("score"))
 
 

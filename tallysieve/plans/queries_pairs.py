@@ -127,13 +127,10 @@ def matched_pairs(spark, sf):
 
 @query("broad_pairs")
 def broad_pairs(spark, sf):
-    from tallysieve.operators.splits import hash_sample
-
     evidence = X.open_evidence(spark, sf)
     hits, _ = X.hits_and_comparators(evidence)
     universe = evidence.join(hits.select("entity_key"), "entity_key", "left_anti")
-    counter = hash_sample(universe.where(C.counter_evidence(with_history=True)), 20_000, 2026, "entity_key")
-    low = hash_sample(universe.where(C.low_target()), 20_000, 2026, "entity_key")
+    counter, low = universe.where(C.counter_evidence(with_history=True)), universe.where(C.low_target())
     ready = lambda df: X.with_code_fingerprint(X.with_parts(df))
     return P.broad_pairs(hits, ready(counter), ready(low)).select(
         "positive_key", "negative_key", "pair_type", "negative_source", *rounded("pair_weight", "similarity")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,17 @@ def build_session(app: str = "tallysieve", cpus: int | str = "*", memory: str =
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it is not installed.
+
+    Python tasks import its modules. Spark's own file server hands the archive out.
+    """
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:  # on the driver, which serves the file
+        archive = shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(archive)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared checkpoint folder; invent one only in local mode."""
     context = spark.sparkContext

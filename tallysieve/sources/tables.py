@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,27 @@ def scan_batches(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator
     return df.mapInPandas(run, schema)
 
 
-def extract_members(archive: str, members: Sequence[str], folder: str) -> list[str]:
-    """Unpack named members of a zip so that executors can read plain files."""
-    with zipfile.ZipFile(archive) as opened:
-        return [opened.extract(member, folder) for member in members]
+def zip_lines(spark: SparkSession, path: str, members: Sequence[str]) -> DataFrame:
+    """(archive, member, line_no, line): text lines of the named members of zip archives.
+
+    Archives are read and unpacked on the executors, from any store that Spark reads; a glob or
+    folder spreads over tasks by archive.
+    """
+    wanted = set(members)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as opened:
+                    for member in sorted(wanted & set(opened.namelist())):
+                        with opened.open(member) as lines:
+                            text = enumerate(line.rstrip("\r\n") for line in io.TextIOWrapper(lines, "utf-8"))
+                            while block := list(itertools.islice(text, 50_000)):
+                                found = pd.DataFrame(block, columns=["line_no", "line"])
+                                yield found.assign(archive=archive, member=member)[["archive", "member", "line_no", "line"]]
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "archive string, member string, line_no long, line string")
 
 
 def read_panel(spark: SparkSession, path: str, header: Sequence[str] = ("catalog_id", "entity_key")) -> DataFrame:
@@ -124,8 +142,13 @@ def write_top_ids(df: DataFrame, path: str, size: int = 50, score: str = "score"
     ordered.coalesce(1).write.mode("errorifexists").text(path)  # `size` lines
 
 
+REPORT_ROWS = 100_000
+
+
 def write_report(df: DataFrame, path: str) -> None:
-    """Small report table as JSON lines."""
+    """Small report table as JSON lines, one file; larger tables belong in write_table."""
+    if df.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
+        raise V.CheckFailed(f"a report has at most {REPORT_ROWS} rows")
     df.coalesce(1).write.mode("errorifexists").json(path)
 
 
@@ -165,12 +188,3 @@ def with_entity_keys(df: DataFrame, column: str, canonical: Callable[[str], tupl
 
     udf = F.pandas_udf(run, ENTITY_SCHEMA)
     return df.withColumn("_k", udf(F.col(column))).select("*", "_k.*").drop("_k")
-
-
-def batch_files(folder: str, pattern: str = "*.parquet") -> list[str]:
-    return sorted(str(p) for p in Path(folder).glob(pattern))
-
-
-def checked_codes(df: DataFrame) -> DataFrame:
-    """Rows whose code has exactly four non-empty parts."""
-    return df.where(C.code_fields("code").isNotNull())

@@ -172,3 +172,42 @@ def test_scan_is_pruned_and_partially_aggregated(spark, sf):
     assert counts.count("HashAggregate") == 2 and counts.count("Exchange") == 1
     top = R.head_per_group(X.dedup(spark, sf), ["historic_hits"], ["entity_key"], 3)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_zip_lines(spark, tmp_path):
+    import zipfile
+
+    from tallysieve.sources import tables as T
+
+    for name in ("one", "two"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as archive:
+            archive.writestr("a.csv", f"{name},1\r\nlast,é")
+            archive.writestr("empty.csv", "")
+            archive.writestr("other.csv", "no")
+    rows = T.zip_lines(spark, str(tmp_path / "*.zip"), ["a.csv", "empty.csv", "missing.csv"]).collect()
+    got = sorted((r.archive.rsplit("/", 1)[1], r.member, r.line_no, r.line) for r in rows)
+    assert got == [(f"{n}.zip", "a.csv", k, line) for n in ("one", "two") for k, line in ((0, f"{n},1"), (1, "last,é"))]
+
+
+def test_reports_stay_small(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from tallysieve.operators.checks import CheckFailed
+    from tallysieve.sources import tables as T
+
+    T.write_report(spark.range(3), str(tmp_path / "r"))
+    assert T.read_report(spark, str(tmp_path / "r"), "id long").count() == 3
+    monkeypatch.setattr(T, "REPORT_ROWS", 2)
+    with pytest.raises(CheckFailed):
+        T.write_report(spark.range(3), str(tmp_path / "s"))
+
+
+def test_pairing_in_turn_leaves_nobody_out(spark):
+    from tallysieve.operators.models import paired_in_turn
+
+    left = spark.createDataFrame([("a", i) for i in range(7)] + [("b", 9)], "g string, l long")
+    right = spark.createDataFrame([("a", i) for i in range(3)] + [("b", i) for i in range(4)], "g string, r long")
+    rows = paired_in_turn(left, right, ["g"], "l", "r").collect()
+    assert len(rows) == 7 + 4
+    assert {(r.g, r.l) for r in rows} == {("a", i) for i in range(7)} | {("b", 9)}
+    assert {(r.g, r.r) for r in rows} == {("a", i) for i in range(3)} | {("b", i) for i in range(4)}
