@@ -140,6 +140,50 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "vec_id")
 
 
+WORDS_SQL = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP1_SQL = f"""
+WITH w AS (SELECT doc_id, {WORDS_SQL.format(text="coalesce(text, '')")} AS words FROM documents),
+p AS (SELECT doc_id, s, md5(array_to_string(list_slice(words, s + 1, s + 50), ' ')) AS passage
+  FROM (SELECT doc_id, words, unnest(range(len(words) - 49)) AS s FROM w)),
+f AS (SELECT passage, min(doc_id::HUGEINT * 1000000000 + s) AS spot FROM p GROUP BY passage),
+d AS (SELECT doc_id, s, CAST(spot // 1000000000 AS BIGINT) AS first_doc_id FROM p JOIN f USING (passage)
+  WHERE spot // 1000000000 <> doc_id OR s - spot % 1000000000 >= 50),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM (
+  SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS new FROM d))
+SELECT doc_id, min(s) AS start_word, max(s) - min(s) + 50 AS n_words, arg_min(first_doc_id, s) AS first_doc_id
+FROM i GROUP BY doc_id, island
+"""
+
+COMPONENTS_SQL = """sym AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS node, a AS low FROM sym UNION SELECT sym.a, reach.low FROM reach JOIN sym ON sym.b = reach.node),
+comp AS (SELECT node, min(low) AS low FROM reach GROUP BY node)"""
+
+OP3_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.format(
+    text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, s, s + 3), ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, least(len(words), 1)) + 1)) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+{COMPONENTS_SQL}
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low, w.doc_id) AS component_id, coalesce(low, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN comp ON node = w.doc_id
+"""
+
+OP10_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+{COMPONENTS_SQL},
+deg AS (SELECT a AS node, count(*) AS n FROM sym GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(low, vec_id) AS component_id, coalesce(low, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN comp ON comp.node = vec_id LEFT JOIN deg ON deg.node = vec_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_packing": op2_packing,
@@ -152,4 +196,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": op9_licence_scan,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
-ORACLE = {"op5_url_filter": OP5_SQL.strip()}
+ORACLE = {
+    "op1_suffix_array_dedup": OP1_SQL.strip(),
+    "op3_minhash_near_dedup": OP3_SQL.strip(),
+    "op5_url_filter": OP5_SQL.strip(),
+    "op10_embedding_near_dedup": OP10_SQL.strip(),
+}
