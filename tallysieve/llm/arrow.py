@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 20
 GAPS = np.zeros(256, bool)
 GAPS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
