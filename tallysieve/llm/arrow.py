@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, WIDE = 2 << 20, 8 << 20  # wide ones where distinct words are worked on once
 BLOCK_BYTES = 1 << 20
 GAPS = np.zeros(256, bool)
 GAPS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -18,11 +18,11 @@ R = np.uint64(0x9FB21C651E98DF25)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def slices(batch: pa.RecordBatch, column: str = "t") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about SLICE_BYTES of text each (one row at least)."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    cut = np.cumsum(size) // SLICE_BYTES
-    edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(size)]
+def slices(batch: pa.RecordBatch, column: str = "t", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `size` bytes of text each (one row at least)."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    cut = np.cumsum(lengths) // size
+    edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(lengths)]
     for a, b in zip(edges, edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)

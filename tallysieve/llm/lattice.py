@@ -10,7 +10,8 @@ import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
-TABLE_BITS = 21
+TABLE_BITS = 19
+CROWDED, EMPTY = np.int32(1 << 29), np.int32(0)  # a mark on piece numbers; an empty slot matches by no key
 
 
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -40,13 +41,15 @@ class Lattice:
             hashes[which] = h
         self.tables = []
         rest = np.arange(len(keep))
-        while len(rest):  # what finds its slot taken goes to a next, nearly empty, table
+        while len(rest):  # what finds its slot taken goes to a next, nearly empty, table; the slot is marked
             slot = self._slot(hashes[rest], len(self.tables))
             first = np.unique(slot, return_index=True)[1]
-            key, value = np.zeros(1 << TABLE_BITS, np.uint64), np.full(1 << TABLE_BITS, -1, np.int32)
+            key, value = np.zeros(1 << TABLE_BITS, np.uint64), np.full(1 << TABLE_BITS, EMPTY, np.int32)
             key[slot[first]], value[slot[first]] = hashes[rest[first]], ids[rest[first]]
+            later = np.delete(np.arange(len(rest)), first)
+            value[slot[later]] |= CROWDED
             self.tables.append((key, value))
-            rest = np.delete(rest, first)
+            rest = rest[later]
 
     @staticmethod
     def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -56,12 +59,16 @@ class Lattice:
     def _slot(h: np.ndarray, table: int) -> np.ndarray:
         return ((h * MIX) >> np.uint64(64 - TABLE_BITS - table)) & np.uint64((1 << TABLE_BITS) - 1)
 
-    def lookup(self, h: np.ndarray) -> np.ndarray:
+    def lookup(self, h: np.ndarray, table: int = 0) -> np.ndarray:
         """Piece number per hash, -1 for none."""
-        out = np.full(h.shape, -1, np.int32)
-        for t, (key, value) in enumerate(self.tables):
-            slot = self._slot(h, t)
-            out = np.where(key[slot] == h, value[slot], out)
+        key, value = self.tables[table]
+        slot = self._slot(h, table).view(np.int64)
+        found = value[slot]
+        out = np.where(key[slot] == h, found & ~CROWDED, np.int32(-1))
+        if table + 1 < len(self.tables):  # only marked slots need the next table
+            again = np.flatnonzero((found & CROWDED).astype(bool) & (out < 0))
+            if len(again):
+                out[again] = self.lookup(h[again], table + 1)
         return out
 
     def edges(self, m: np.ndarray) -> dict[tuple[int, int], np.ndarray]:

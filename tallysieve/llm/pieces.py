@@ -308,10 +308,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str]
     schema = base.select(ROW, F.lit(b"").alias("token_bytes")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import slices
+        from tallysieve.llm.arrow import WIDE, slices
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=WIDE):
                 found = pieces(path).encode(part.column("t").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(ROW), pa.array(found, pa.binary())], names=schema.names)
 
