@@ -14,6 +14,7 @@ from tallysieve.functions.hashing import draw_index, order_hash
 from tallysieve.operators.ordering import exact_quantiles, hash_row_number
 from tallysieve.operators.similarity import cosine_knn, nearest_tanimoto, tanimoto_join
 from tallysieve.operators.skew import MIN_ROWS, SHARE, split_hot_join
+from tallysieve.session import materialise
 
 SIDE_COLUMNS = ("count_target", "count_competitor", "control_evidence", "historic_hits")
 SIGNATURE = ("fp_words", "count_target", "count_competitor", "control_evidence")
@@ -241,6 +242,10 @@ def unobserved_pairs(
 ) -> DataFrame:
     """Anchors against makeable but never-observed entities sharing two parts.
 
+    The partners of a key are numbered once in seeded order; an anchor takes `per_anchor` of them
+    from a seeded place on, for each of its keys, and keeps `per_anchor` of these in seeded order. Work
+    grows with the anchors, not with the combinations. A pair drawn by two keys counts under the first.
+
     `enumeration` carries entity_key, code and part columns. Never-observed rows are
     found once, before the join, so that the large anti join runs on plain keys.
     `add_fingerprint(df)` adds fp_words and fp_size to the chosen partners.
@@ -248,20 +253,29 @@ def unobserved_pairs(
     fresh = enumeration.join(observed.select("entity_key"), "entity_key", "left_anti").join(
         panel_keys.select("entity_key"), "entity_key", "left_anti"
     )
+    by = ["key_kind", "part_key"]
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("key_kind"), F.col(k).alias("part_key")) for k in C.PART_KEYS]))
     partner = fresh.select(
-        F.col("entity_key").alias("negative_entity_key"),
-        F.col("code").alias("negative_code"),
-        *[F.col(k).alias(f"negative_{k}") for k in C.PART_KEYS],
-    )
-    anchor = anchors.select(
-        F.col("entity_key").alias("positive_entity_key"), *[F.col(k).alias(f"positive_{k}") for k in C.PART_KEYS]
+        F.col("entity_key").alias("negative_entity_key"), F.col("code").alias("negative_code"), keys.alias("k")
+    ).select("k.*", "negative_entity_key", "negative_code")
+    turn = order_hash(seed, *by, "negative_entity_key")
+    numbered = materialise(hash_row_number(partner, "_slot", turn, "negative_entity_key", by))
+    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    # every anchor draws a few partners per key; no list of all combinations is made
+    drawn = (
+        anchors.select(F.col("entity_key").alias("positive_entity_key"), keys.alias("k"))
+        .select("positive_entity_key", "k.*")
+        .join(sizes, by)
+        .withColumn("_from", draw_index(seed, F.col("_n"), "positive_entity_key", *by))
+        .withColumn("_step", F.explode(F.sequence(F.lit(0), F.least(F.lit(per_anchor), "_n").cast("int") - 1)))
+        .withColumn("_slot", (F.col("_from") + F.col("_step")) % F.col("_n"))
+        .join(numbered, [*by, "_slot"])
+        .where("positive_entity_key <> negative_entity_key")
     )
-    found = shared_part_join(
-        anchor,
-        partner,
-        "positive_",
-        "negative_",
-        F.col("positive_entity_key") != F.col("negative_entity_key"),
+    found = (
+        drawn.groupBy("positive_entity_key", "negative_entity_key", "negative_code")
+        .agg(F.min(F.struct(*by)).alias("k"))
+        .select("positive_entity_key", "negative_entity_key", "negative_code", "k.*")
     )
     first = Window.partitionBy("positive_entity_key").orderBy(
         order_hash(seed, "positive_entity_key", "negative_entity_key"), "negative_entity_key"

@@ -152,11 +152,18 @@ fkey AS (SELECT *, library || ':' || b1 || ':' || b2 AS k12, library || ':' || b
 anchor_src AS (SELECT * FROM ev WHERE count_target >= 3 AND count_competitor < 0.1 * count_target
   AND control_evidence = 0 AND historic_hits < 5),
 {O.PARTS.format(src='anchor_src')},
-cand AS (
-  SELECT p.entity_key AS pos, n.entity_key AS neg, n.code, 'b3' AS v, p.k12 AS k, 1 AS o FROM keyed p JOIN fkey n ON p.k12 = n.k12
-  UNION ALL SELECT p.entity_key, n.entity_key, n.code, 'b2', p.k13, 2 FROM keyed p JOIN fkey n ON p.k13 = n.k13
-  UNION ALL SELECT p.entity_key, n.entity_key, n.code, 'b1', p.k23, 3 FROM keyed p JOIN fkey n ON p.k23 = n.k23),
-uni AS (SELECT *, row_number() OVER (PARTITION BY pos, neg ORDER BY o) AS first FROM cand WHERE pos <> neg),
+flong AS (SELECT entity_key AS neg, code, 'k12' AS kind, k12 AS k FROM fkey
+  UNION ALL SELECT entity_key, code, 'k13', k13 FROM fkey UNION ALL SELECT entity_key, code, 'k23', k23 FROM fkey),
+fnum AS (SELECT *, count(*) OVER (PARTITION BY kind, k) AS n,
+  row_number() OVER (PARTITION BY kind, k ORDER BY sha256('2026|' || kind || '|' || k || '|' || neg), neg) - 1 AS slot FROM flong),
+along AS (SELECT entity_key AS pos, 'k12' AS kind, k12 AS k FROM keyed
+  UNION ALL SELECT entity_key, 'k13', k13 FROM keyed UNION ALL SELECT entity_key, 'k23', k23 FROM keyed),
+dr AS (SELECT pos, a.kind, a.k, n, CAST(('0x' || substr(sha256('2026|' || pos || '|' || a.kind || '|' || a.k), 1, 15))::UBIGINT % n AS BIGINT) AS start
+  FROM along a JOIN (SELECT DISTINCT kind, k, n FROM fnum) z ON z.kind = a.kind AND z.k = a.k),
+cand AS (SELECT pos, neg, code, d.k, CASE d.kind WHEN 'k12' THEN 'b3' WHEN 'k13' THEN 'b2' ELSE 'b1' END AS v, d.kind AS o
+  FROM dr d CROSS JOIN (SELECT unnest(range(3)) AS step) JOIN fnum f ON f.kind = d.kind AND f.k = d.k AND f.slot = (start + step) % d.n
+  WHERE step < d.n),
+uni AS (SELECT *, row_number() OVER (PARTITION BY pos, neg ORDER BY o, k) AS first FROM cand WHERE pos <> neg),
 top AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY sha256('2026|' || pos || '|' || neg), neg) AS r
   FROM uni WHERE first = 1),
 chosen AS (SELECT * FROM top WHERE r <= 3),
