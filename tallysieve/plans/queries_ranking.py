@@ -401,7 +401,10 @@ def quality_checks(spark, sf):
     )
 
 
-@query("content_digest")
+@query("content_digest", f"""
+WITH {O.DEDUP}, h AS (SELECT ('0x' || substr(sha256(concat_ws('|', entity_key, code, source_rows::VARCHAR, count_target::VARCHAR)), 1, 15))::UBIGINT::BIGINT AS h FROM ded)
+SELECT count(*) AS rows, bit_xor(h) AS digest_xor, sum(h)::HUGEINT::VARCHAR AS digest_sum FROM h
+""")
 def content_digest(spark, sf):
     return V.content_digest(X.dedup(spark, sf), ["entity_key", "code", "source_rows", "count_target"])
 

@@ -29,6 +29,7 @@ def load() -> tuple[dict[str, Builder], dict[str, str]]:
         queries_pairs,
         queries_metrics,
         queries_ranking,
+        queries_sources,
     )
 
     return dict(QUERIES), dict(ORACLE)

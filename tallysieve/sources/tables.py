@@ -53,12 +53,20 @@ def zip_lines(spark: SparkSession, path: str, members: Sequence[str]) -> DataFra
     return files.mapInPandas(run, "archive string, member string, line_no long, line string")
 
 
-def read_panel(spark: SparkSession, path: str, header: Sequence[str] = ("catalog_id", "entity_key")) -> DataFrame:
-    """Panel CSV with exactly this header; columns are renamed to catalog_id, entity_key."""
+def read_panel(
+    spark: SparkSession, path: str, header: Sequence[str] = ("catalog_id", "entity_key"), check: bool = True
+) -> DataFrame:
+    """Panel CSV with exactly this header; columns are renamed to catalog_id, entity_key.
+
+    Repeated, blank or untrimmed ids and keys are refused, unless `check` is off.
+    """
     found = spark.read.option("header", True).csv(path).columns
     if list(found) != list(header):
         raise V.CheckFailed(f"panel header {found}, expected {list(header)}")
-    return spark.read.option("header", True).schema(PANEL_SCHEMA).csv(path)
+    panel = spark.read.option("header", True).schema(PANEL_SCHEMA).csv(path)
+    if check:
+        V.assert_ok(panel_checks(panel))
+    return panel
 
 
 def panel_checks(panel: DataFrame) -> DataFrame:
@@ -78,10 +86,12 @@ def panel_checks(panel: DataFrame) -> DataFrame:
     )
 
 
-def read_scores(spark: SparkSession, path: str | None, column: str, key: str = "catalog_id") -> DataFrame:
+def read_scores(
+    spark: SparkSession, path: str | None, column: str, key: str = "catalog_id", check: bool = True
+) -> DataFrame:
     """(catalog_id, score) from CSV; a missing optional file is an empty source.
 
-    Duplicates and non-finite scores are counted by `score_checks`.
+    Repeated ids and scores that are malformed or not finite are refused, unless `check` is off.
     """
     empty = spark.createDataFrame([], "catalog_id string, score double")
     if path is None:
@@ -93,7 +103,10 @@ def read_scores(spark: SparkSession, path: str | None, column: str, key: str = "
             return empty
         raise
     V.require_columns(df, [key, column])
-    return df.select(F.trim(key).alias("catalog_id"), F.col(column).try_cast("double").alias("score"))
+    scores = df.select(F.trim(key).alias("catalog_id"), F.col(column).try_cast("double").alias("score"))
+    if check:
+        V.assert_ok(score_checks(scores))
+    return scores
 
 
 def score_checks(scores: DataFrame, panel: DataFrame | None = None) -> DataFrame:

@@ -33,8 +33,10 @@ def test_ranking_order_and_checks(spark):
 def test_panel_read_write_and_refuse_overwrite(spark, tmp_path):
     path = str(tmp_path / "panel.csv")
     (tmp_path / "panel.csv").write_text("catalog_id,entity_key\nC1,a\nC2,b\nC2, c\n")
-    assert violations(T.panel_checks(T.read_panel(spark, path)))["panel_duplicate_id"] == 1
-    assert violations(T.panel_checks(T.read_panel(spark, path)))["panel_untrimmed"] == 1
+    found = violations(T.panel_checks(T.read_panel(spark, path, check=False)))
+    assert found["panel_duplicate_id"] == 1 and found["panel_untrimmed"] == 1
+    with pytest.raises(V.CheckFailed):
+        T.read_panel(spark, path)
     (tmp_path / "other.csv").write_text("id,entity_key\nC1,a\n")
     with pytest.raises(V.CheckFailed):
         T.read_panel(spark, str(tmp_path / "other.csv"))
@@ -49,6 +51,10 @@ def test_panel_read_write_and_refuse_overwrite(spark, tmp_path):
     with pytest.raises(V.CheckFailed):
         T.write_top_ids(ids.limit(20), str(tmp_path / "few"))
     assert T.read_scores(spark, str(tmp_path / "absent.csv"), "score").count() == 0
+    (tmp_path / "scores.csv").write_text("catalog_id,score\nC1,1.5\nC2,oops\n")
+    assert T.read_scores(spark, str(tmp_path / "scores.csv"), "score", check=False).count() == 2
+    with pytest.raises(V.CheckFailed):
+        T.read_scores(spark, str(tmp_path / "scores.csv"), "score")
 
 
 def test_entity_hook_keeps_failures_as_rows(spark):
