@@ -334,6 +334,7 @@ def pair_strata(batched: DataFrame, predictors: Sequence[str], groups: Sequence[
     pairs = batch_pairs(ready, groups, ["proxy", "confidence", "mean_target", *names])
     delta = F.col("a.proxy") - F.col("b.proxy")
     ta, tb = F.col("a.mean_target"), F.col("b.mean_target")
+    # fixed values: stratum names as saved reports carry them
     masks = {
         "all": F.lit(True),
         "equal_target_counts": ta == tb,
