@@ -326,6 +326,7 @@ def dominates(positive: str = "positive_", negative: str = "negative_") -> Colum
 
 def pair_class(positive: str = "positive_", negative: str = "negative_") -> Column:
     """Strong, weak or no (null) ordering of a pair."""
+    # fixed values: the two class names as pair tables carry them
     p, n = _side(positive), _side(negative)
     no_worse = (p("count_competitor") <= n("count_competitor")) & (p("control_evidence") <= n("control_evidence"))
     seen = (n("count_competitor") > 0) | (n("control_evidence") > 0)
