@@ -81,6 +81,18 @@ def estimate(differing: np.ndarray) -> np.ndarray:
     return 1 - np.log(share) / np.log(1 - 2 / BITS) / (2 * SAMPLES)
 
 
+def to_bytes(shingles: np.ndarray) -> bytes:
+    """The low 48 bits of each hash: two different shingles of a pair of documents agree in them with chance 4e-15."""
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_bytes(data) -> np.ndarray:
+    packed = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(packed), 8), np.uint8)
+    out[:, :6] = packed
+    return out.view("<u8").ravel()
+
+
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     from tallysieve.llm.arrow import bytes_of, hash_words, window_hashes, words_of
@@ -148,7 +160,7 @@ def with_sets(docs: DataFrame, lists: DataFrame, key: str, text: str, words: int
                             *tiles,
                             pa.array([part.column("id")[at].as_py()] * n, pa.int64()),
                             pa.array([sketch] * n, pa.binary()),
-                            pa.array([s.tobytes()] * n, pa.binary()),
+                            pa.array([to_bytes(s)] * n, pa.binary()),
                         ],
                         names=["key", "i", "j", "id", "sketch", "members"],
                     )
@@ -183,7 +195,7 @@ def tile_links(tile: pa.Table, similarity: int) -> list[tuple[int, int]]:
         return []
     rows = order.tolist()
     sketches, members = tile.column("sketch"), tile.column("members")
-    sets = [np.frombuffer(members[r].as_buffer(), np.uint64) for r in rows]
+    sets = [from_bytes(members[r].as_buffer()) for r in rows]
     packed = np.stack([np.frombuffer(sketches[r].as_buffer(), np.uint8) for r in rows])
     signs = 1 - 2 * np.unpackbits(packed, axis=1).astype(np.float32)
     guess = estimate((BITS - signs @ signs.T) / 2)
