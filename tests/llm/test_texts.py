@@ -381,3 +381,9 @@ def test_licences(spark, empty):
     assert found[1] == (None, ["CC-BY-NC-4.0", "MIT"])
     assert found[3] == found[4] == found[5] == (None, [])
     assert licences.scan(empty, licences.default_known(spark), "doc_id").count() == 0
+
+
+def test_sets_survive_six_bytes():
+    draw = np.random.default_rng(3).integers(0, 1 << 63, 500, np.uint64)
+    back = near.from_bytes(near.to_bytes(draw))
+    assert (back == draw & np.uint64((1 << 48) - 1)).all() and len(near.from_bytes(near.to_bytes(draw[:0]))) == 0
