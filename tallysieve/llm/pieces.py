@@ -36,6 +36,7 @@ MARK = "▁"
 GIANT, SEGMENT, CHUNK = 65_536, 1 << 18, 256
 LONG_WORD = 48
 UNKNOWN_GAP = 10.0
+SLICE_BYTES = 4 << 20
 NEVER = -np.inf
 
 
@@ -302,18 +303,30 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
-    """(__row, token_bytes): ids as little-endian unsigned 32-bit integers."""
+def encode(
+    docs: DataFrame, path: str, text: str = "text", carry: Sequence[str] | None = None, verify: bool = False
+) -> DataFrame:
+    """(__row, token_bytes): ids as little-endian unsigned 32-bit integers.
+
+    With `verify` also `exact`: whether the ids decode to the text again (the mark as a space), found in the
+    same task, so that texts don't travel through a second one.
+    """
     base = docs.select(carried(docs, carry), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
-    schema = base.select(ROW, F.lit(b"").alias("token_bytes")).schema
+    more = [F.lit(True).alias("exact")] if verify else []
+    schema = base.select(ROW, F.lit(b"").alias("token_bytes"), *more).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import WIDE, slices
+        from tallysieve.llm.arrow import slices
 
         for batch in batches:
-            for part in slices(batch, size=WIDE):
-                found = pieces(path).encode(part.column("t").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(ROW), pa.array(found, pa.binary())], names=schema.names)
+            for part in slices(batch, size=SLICE_BYTES):
+                texts = part.column("t").to_pylist()
+                found = pieces(path).encode(texts)
+                columns = [part.column(ROW), pa.array(found, pa.binary())]
+                if verify:
+                    back = (pieces(path).decode(np.frombuffer(b, "<u4")) for b in found)
+                    columns.append(pa.array([x == t.replace(MARK, " ") for x, t in zip(back, texts)]))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return base.mapInArrow(run, schema)
 

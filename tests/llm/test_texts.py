@@ -286,7 +286,8 @@ def test_pieces_match_plain_dynamic_programming(monkeypatch):
 def test_pieces_round_trip(spark, docs, empty):
     out = pieces.decode(pieces.encode(docs, MODEL), MODEL)
     assert all((r["text"] or "") == r["decoded"] for r in out.select(f"{ROW}.text", "decoded").collect())
-    assert pieces.encode(empty, MODEL).count() == 0
+    assert pieces.encode(docs, MODEL, verify=True).where("not exact").count() == 0
+    assert pieces.encode(empty, MODEL, verify=True).count() == 0
 
 
 def counts_by_hand(text):
