@@ -3,12 +3,12 @@
 A text is brought to canonical form (lower case, copyright lines out, equivalent spellings
 made one, punctuation and white space folded) and digested. What is looked up as an entire
 text is the document, and each of its lines and sentences, so that a one-line notice inside a
-document is found as well. Texts under half the shortest or over twice the longest known
-licence can't be one (copyright lines and spellings change the length by less) and get no digest.
+document is found as well. Every text gets a digest: the raw length says nothing, since any number of
+copyright lines and any run of punctuation or white space falls out of the canonical form.
 
 Known licences are a table (licence, text) of at most MAX_KNOWN rows; joining is an equi-join on the
-digest that Catalyst broadcasts while the list is small. A line or sentence is digested only if its first
-word is that of a known licence, which leaves few.
+digest that Catalyst broadcasts while the list is small. A line or sentence is digested only if the first
+word of its canonical form is that of a known licence, which leaves few.
 
 Defined cases: null and empty texts have no digest and no licence; a text that is the
 same licence several times names it once; repeated rows give repeated rows; an empty table gives
@@ -63,9 +63,9 @@ def canonical(text: Column) -> Column:
 
 
 def first_word(text: Column) -> Column:
-    """The first word in canonical form; copyright lines aside, which are no licence."""
-    word = F.regexp_extract(text, r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1)
-    return canonical(word)
+    """The first word of the canonical form of a line, from its first two words, which a spelling may make one."""
+    words = F.regexp_extract(text, r"^[^\p{L}\p{N}]*[\p{L}\p{N}]+([^\p{L}\p{N}]+[\p{L}\p{N}]+)?", 0)
+    return F.substring_index(canonical(words), " ", 1)
 
 
 def digest(text: Column) -> Column:
@@ -103,24 +103,21 @@ def scan(
     `key` names a column that tells documents apart; rows with the same key share their notices.
     """
     registry = known_digests(known)
-    forms = known.select(F.length("text").alias("n"), first_word(F.col("text")).alias("w")).limit(MAX_KNOWN + 1).collect()
+    forms = known.select(F.substring_index(canonical(F.col("text")), " ", 1).alias("w")).limit(MAX_KNOWN + 1).collect()
     if len(forms) > MAX_KNOWN:
         raise ValueError(f"at most {MAX_KNOWN} known licences")
-    sizes = [r["n"] for r in forms if r["n"]] or [0]
-    low, high = min(sizes) // 2, max(sizes) * 2
     firsts = sorted({r["w"] for r in forms if r["w"]})
     base = docs.select(carried(docs, carry), docs[key].alias("k"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
     found = (
         base.select("k", F.explode(units(F.col("t"))).alias("u"))
-        .where(F.length("u").between(low, high) & first_word(F.col("u")).isin(firsts))
+        .where(first_word(F.col("u")).isin(firsts))
         .select("k", digest(F.col("u")).alias("digest"))
         .join(registry, "digest")
         .groupBy("k")
         .agg(F.sort_array(F.collect_set("licence")).alias("notices"))  # at most one entry per known licence
         .withColumnRenamed("k", "found_k")
     )
-    fitting = F.when(F.length("t").between(low, high), F.col("t"))
-    whole = base.select(ROW, "k", digest(fitting).alias("text_digest"))
+    whole = base.select(ROW, "k", digest(F.col("t")).alias("text_digest"))
     whole = whole.join(registry.withColumnRenamed("digest", "d"), F.col("text_digest") == F.col("d"), "left")
     return whole.join(found, F.col("k").eqNullSafe(F.col("found_k")), "left").select(
         ROW,

@@ -384,6 +384,18 @@ def test_licences(spark, empty):
     assert licences.scan(empty, licences.default_known(spark), "doc_id").count() == 0
 
 
+def test_licences_of_any_raw_length(spark):
+    isc = dict(licences.KNOWN)["ISC"]
+    owners = "".join(f"Copyright (c) {2000 + k} A contributor with a rather long name, somewhere\n" for k in range(30))
+    boxed = "/*" + "*" * 800 + "\n" + " * " + isc.replace(" ", "   ") + "\n" + "*" * 800 + "*/"
+    known = spark.createDataFrame([("ISC", isc), ("Sub", "Sublicense at will")], "licence string, text string")
+    texts = [owners + isc, boxed, "no licence " * 400, "A line.\nSub licence at will" + "." * 90 + "\nA line."]
+    out = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), known, "doc_id")
+    got = {r["doc_id"]: r for r in out.select(f"{ROW}.doc_id", "text_digest", "licence", "notices").collect()}
+    assert [got[k]["licence"] for k in range(4)] == ["ISC", "ISC", None, None]
+    assert all(r["text_digest"] for r in got.values()) and got[3]["notices"] == ["Sub"]
+
+
 def test_sets_survive_six_bytes():
     draw = np.random.default_rng(3).integers(0, 1 << 63, 500, np.uint64)
     back = near.from_bytes(near.to_bytes(draw))
