@@ -1,14 +1,19 @@
 """Licence scan: canonical digest of an entire text, hash-joined to the digests of known licences.
 
 A text is brought to canonical form (lower case, copyright lines out, equivalent spellings
-made one, punctuation and white space folded) and digested. What is looked up as an entire
-text is the document, and each of its lines and sentences, so that a one-line notice inside a
-document is found as well. Every text gets a digest: the raw length says nothing, since any number of
-copyright lines and any run of punctuation or white space falls out of the canonical form.
+made one, punctuation, line breaks and white space folded) and digested; every text with a word gets a
+digest. The known licences are looked up as the entire document, and as runs of whole lines or sentences
+inside it, however they are wrapped, boxed or spread over paragraphs. A run starts where a line or
+sentence starts and ends where one ends; a notice that is only part of a sentence is none.
 
-Known licences are a table (licence, text) of at most MAX_KNOWN rows; joining is an equi-join on the
-digest that Catalyst broadcasts while the list is small. A line or sentence is digested only if the first
-word of its canonical form is that of a known licence, which leaves few.
+Folding can put a word of the licence ("copyright holders") first in a line, where it looks like an
+owner's line. So a text is read three ways: with all lines out that begin like a copyright line, with those
+that go on with a year, a sign or a placeholder, and with none; a hit in one way is a hit. (Missed: a text with owner's
+lines of the first kind only, inside a licence that is wrapped before "copyright" as well.)
+
+Known licences are a table (licence, text) of at most MAX_KNOWN rows; Catalyst broadcasts its digests and forms
+while the list is small. A run is compared, word by word and in full, only if its first three words are those of a known
+licence, which leaves few.
 
 Defined cases: null and empty texts have no digest and no licence; a text that is the
 same licence several times names it once; repeated rows give repeated rows; an empty table gives
@@ -17,14 +22,16 @@ an empty table; other columns of the input, whatever their names, play no part.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysieve.llm.common import ROW, carried
+from tallysieve.llm.common import ROW, carried, stash
 
-# Short licence notices and texts, as their owners publish them.
+# Short licence notices, as their owners publish them. Full texts are files in licence_texts/.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -48,51 +55,109 @@ SPELLINGS = (
     (r"(?<=[a-z]{2})our(?=(|s|ed|able)\b)", "or"),
     (r"\bjudgement", "judgment"),
     (r"\bmerchantib", "merchantab"),
-    (r"\bsub license", "sublicense"),
+    (r"\bsub (\x{E000} )?license", "sublicense"),
+)
+# Titles that stand above a text or not, and what may be left out from there on.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"),
+}
+ENDINGS = (
+    r"(?m)^ *APPENDIX: How to apply",
+    r"(?m)^ *How to Apply These Terms to Your New (Programs|Libraries)",
+    r"(?m)^ *END OF TERMS AND CONDITIONS",
 )
 MAX_KNOWN = 10_000
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+OWNER_LINE = (
+    r"(?m)^[^\p{L}\n]*((copyright|\(c\))[^\p{L}\n]*(\(c\)[^\p{L}\n]*)?(©|[0-9]{4}|[\[{<])|copyright[^\p{L}\n]*\(c\)|©"
+    r"|all rights reserved)[^\n]*$"
+)
+BREAK = "\ue000"
+
+
+def folded(lower: Column) -> Column:
+    """Words in canonical spelling with one space between, and BREAK where a line or sentence ends."""
+    out = F.regexp_replace(lower, r"(?<=[.!?])[\x20\x09-\x0D]+|\n", f" {BREAK} ")
+    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}\x{E000}]+", " "))
     for odd, usual in SPELLINGS:
         out = F.regexp_replace(out, odd, usual)
     return out
 
 
-def first_word(text: Column) -> Column:
-    """The first word of the canonical form of a line, from its first two words, which a spelling may make one."""
-    words = F.regexp_extract(text, r"^[^\p{L}\p{N}]*[\p{L}\p{N}]+([^\p{L}\p{N}]+[\p{L}\p{N}]+)?", 0)
-    return F.substring_index(canonical(words), " ", 1)
+def joined(form: Column) -> Column:
+    return F.trim(F.regexp_replace(form, r"[ \x{E000}]+", " "))
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form; null if nothing is left."""
-    form = canonical(text)
+def canonical(text: Column) -> Column:
+    return joined(folded(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")))
+
+
+def readings(text: Column) -> tuple[Column, Column, Column]:
+    """Folded text without any copyright lines; where they differ, without plain owner's lines, and with all lines."""
+    lower = F.lower(text)
+    bare, owned = F.regexp_replace(lower, COPYRIGHT_LINE, " "), F.regexp_replace(lower, OWNER_LINE, " ")
+    changed = bare != lower
+    return folded(bare), F.when(changed & (owned != bare), folded(owned)), F.when(changed, folded(lower))
+
+
+def sha(form: Column) -> Column:
+    """SHA-256 of a canonical form; null if nothing is left."""
     return F.when(form != "", F.sha2(form, 256))
 
 
-def known_digests(known: DataFrame) -> DataFrame:
-    """(digest, licence): the first licence by name where two texts are the same."""
+def digest(text: Column) -> Column:
+    return sha(canonical(text))
+
+
+def known_forms(known: DataFrame) -> DataFrame:
+    """(digest, form, licence): the first licence by name where two texts are the same."""
     return (
-        known.select(digest(F.col("text")).alias("digest"), "licence")
-        .where("digest is not null")
-        .groupBy("digest")
+        known.select("licence", F.explode(F.array_compact(F.array(*readings(F.col("text"))))).alias("m"))
+        .select("licence", joined(F.col("m")).alias("form"))
+        .where("form <> ''")
+        .groupBy("form")
         .agg(F.min("licence").alias("licence"))
+        .select(sha(F.col("form")).alias("digest"), "form", "licence")
     )
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files, with and without title, clause numbers and what follows the terms."""
+    out = []
+    for file in sorted(resources.files("tallysieve.llm").joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        licence, text = re.sub(r"(~.*)?\.txt$", "", file.name), file.read_text("utf-8")
+        texts = [text] + [text[: m.start()] for e in ENDINGS if (m := re.search(e, text))]
+        if licence in TITLES:
+            texts.append(re.sub(r"(?m)^ *[0-9]\. ", "", text))
+            texts += [f"{title}\n\n{t}" for t in list(texts) for title in TITLES[licence]]
+        out += [(licence, t) for t in dict.fromkeys(texts)]
+    return out
+
+
 def default_known(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "licence string, text string")
+    return spark.createDataFrame([*KNOWN, *full_texts()], "licence string, text string")
 
 
-def units(text: Column) -> Column:
-    """The distinct lines and sentences of a text."""
-    lines = F.split(text, r"\n")
-    sentences = F.split(text, r"(?<=[.!?])[\x20\x09-\x0D]+|\n")
-    return F.array_distinct(F.concat(lines, sentences))
+def first_words(words: Column, n: int) -> Column:
+    return F.substring_index(words, " ", n)
+
+
+def starts(form: Column, firsts: Sequence[str], keys: Sequence[str], longest: int) -> Column:
+    """Runs of lines and sentences from each one on whose first words are those of a known licence."""
+    runs = F.filter(F.split(form, r" ?\x{E000} ?"), lambda x: x != "")
+
+    def known(at: Column) -> Column:
+        words = F.array_join(F.slice(runs, at + 1, 3), " ")
+        short = first_words(words, 1).isin(keys) | first_words(words, 2).isin(keys)
+        return short | first_words(words, 3).isin(keys)
+
+    at = F.transform(runs, lambda x, i: F.when(first_words(x, 1).isin(firsts), F.when(known(i), i)))
+    return F.transform(F.array_compact(at), lambda i: F.slice(runs, i + 1, longest))
 
 
 def scan(
@@ -102,26 +167,44 @@ def scan(
 
     `key` names a column that tells documents apart; rows with the same key share their notices.
     """
-    registry = known_digests(known)
-    forms = known.select(F.substring_index(canonical(F.col("text")), " ", 1).alias("w")).limit(MAX_KNOWN + 1).collect()
-    if len(forms) > MAX_KNOWN:
+    if known.limit(MAX_KNOWN + 1).count() > MAX_KNOWN:
         raise ValueError(f"at most {MAX_KNOWN} known licences")
-    firsts = sorted({r["w"] for r in forms if r["w"]})
+    registry = known_forms(known).withColumn("key", first_words(F.col("form"), 3))
+    forms = registry.select("key", F.size(F.split("form", " ")).alias("n")).collect()
+    keys = sorted({r["key"] for r in forms})
+    firsts, longest = sorted({k.split(" ")[0] for k in keys}), max([r["n"] for r in forms], default=1)
     base = docs.select(carried(docs, carry), docs[key].alias("k"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
+    read = base.select(ROW, "k", *[m.alias(f"m{i}") for i, m in enumerate(readings(F.col("t")))])
+    runs = [F.coalesce(starts(F.col(f"m{i}"), firsts, keys, longest), F.array().cast("array<array<string>>")) for i in range(3)]
+    placed = read.select(
+        ROW, "k", *[sha(joined(F.col(f"m{i}"))).alias(f"d{i}") for i in range(3)], F.array_distinct(F.concat(*runs)).alias("runs")
+    )
+    placed = stash(placed, "licences")
+    words = F.array_join("run", " ")
+    ends = F.aggregate(
+        "run",
+        F.struct(F.lit(0).alias("n"), F.lit(False).alias("hit")),
+        lambda acc, x: F.struct(
+            (acc["n"] + F.length(x) + 1).alias("n"), (acc["hit"] | (acc["n"] + F.length(x) == F.col("size"))).alias("hit")
+        ),
+    )["hit"]
     found = (
-        base.select("k", F.explode(units(F.col("t"))).alias("u"))
-        .where(first_word(F.col("u")).isin(firsts))
-        .select("k", digest(F.col("u")).alias("digest"))
-        .join(registry, "digest")
+        placed.where("size(runs) > 0")
+        .select("k", F.explode("runs").alias("run"))
+        .withColumn("key", F.explode(F.array_distinct(F.array(*[first_words(words, n) for n in (1, 2, 3)]))))
+        .join(F.broadcast(registry.select("key", "form", "licence", F.length("form").alias("size"))), "key")
+        .where(words.startswith(F.col("form")) & ends)
         .groupBy("k")
         .agg(F.sort_array(F.collect_set("licence")).alias("notices"))  # at most one entry per known licence
         .withColumnRenamed("k", "found_k")
     )
-    whole = base.select(ROW, "k", digest(F.col("t")).alias("text_digest"))
-    whole = whole.join(registry.withColumnRenamed("digest", "d"), F.col("text_digest") == F.col("d"), "left")
+    whole = placed.drop("runs")
+    for i in range(3):
+        names = registry.select(F.col("digest").alias(f"r{i}"), F.col("licence").alias(f"l{i}"))
+        whole = whole.join(F.broadcast(names), F.col(f"d{i}") == F.col(f"r{i}"), "left")
     return whole.join(found, F.col("k").eqNullSafe(F.col("found_k")), "left").select(
         ROW,
-        "text_digest",
-        "licence",
+        F.col("d0").alias("text_digest"),
+        F.coalesce("l0", "l1", "l2").alias("licence"),
         F.coalesce("notices", F.array().cast("array<string>")).alias("notices"),
     )

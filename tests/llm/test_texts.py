@@ -396,6 +396,36 @@ def test_licences_of_any_raw_length(spark):
     assert all(r["text_digest"] for r in got.values()) and got[3]["notices"] == ["Sub"]
 
 
+def test_full_licences_however_wrapped(spark):
+    import textwrap
+
+    full = {}
+    for name, text in licences.full_texts():
+        full.setdefault(name, text)
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(full)
+    want, rows = {}, []
+
+    def add(text, licence, notice):
+        want[len(rows)] = (licence, notice)
+        rows.append((len(rows), text))
+
+    for name, text in full.items():
+        add("Copyright (c) 2020 Someone\n\n" + text, name, name)
+        add("A story.\n\n" + textwrap.indent(text, " * ") + "\nThe end.", None, name)
+    for width in (20, 33, 47, 61):
+        for name in ("MIT", "ISC", "BSD-3-Clause"):
+            add("Copyright 2020 A\n" + textwrap.fill(full[name], width), name, name)
+    add("Some text. Licensed under the Apache\nLicense, Version 2.0. More\ntext.", None, "Apache-2.0")
+    add("(c) 2020 A. Released under the MIT License.", None, "MIT")
+    add("They said: released under the MIT License by A.", None, None)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = licences.scan(df, licences.default_known(spark), "doc_id").select(f"{ROW}.doc_id", "licence", "notices").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        licence, notice = want[r["doc_id"]]
+        assert r["licence"] == licence and (notice in r["notices"] if notice else not r["notices"]), (rows[r["doc_id"]], r)
+
+
 def test_sets_survive_six_bytes():
     draw = np.random.default_rng(3).integers(0, 1 << 63, 500, np.uint64)
     back = near.from_bytes(near.to_bytes(draw))
