@@ -87,6 +87,24 @@ def test_vectors_match_brute_force(spark, monkeypatch, block):
     assert vectors.near_vectors(twice).count() == len(rows) + 1
 
 
+@pytest.mark.parametrize("dims, cosine", [(8, 0.95), (16, 0.95), (32, 0.95), (48, 0.96), (64, 0.95), (64, 0.85), (16, 0.98)])
+def test_pairs_at_the_threshold_are_found(spark, dims, cosine):
+    draw = np.random.default_rng(6)
+    a = draw.standard_normal((600, dims))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = draw.standard_normal(a.shape)
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    near = cosine + (1 - cosine) * 0.2 * draw.random(len(a))[:, None] + 1e-9
+    rows = list(enumerate(np.concatenate([a, near * a + np.sqrt(1 - near**2) * b]).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {r["id"]: r["n_links"] for r in vectors.near_vectors(df, cosine=cosine).collect()}
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = (unit @ unit.T >= cosine).sum(1) - 1
+    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.995 * want.sum()
+
+
 def test_lattice_points_are_nearest():
     draw = np.random.default_rng(1)
     x = draw.standard_normal((200, 8)) * 3
