@@ -49,7 +49,10 @@ def pointwise_ranker(
 
 
 def paired_in_turn(left: DataFrame, right: DataFrame, by: Sequence[str], left_key: str, right_key: str) -> DataFrame:
-    """(by..., left_key, right_key): rows of a group paired in seeded order, the shorter side over again; no row is left out."""
+    """(by..., left_key, right_key): rows of a group paired in seeded order, the shorter side over again; no row is left out.
+
+    Rows whose group is null or has no other side go in turn with the other side's rows of all groups, under their own group.
+    """
     by = list(by)
     sides = []
     for side, key, name in ((left, left_key, "l"), (right, right_key, "r")):
@@ -60,7 +63,15 @@ def paired_in_turn(left: DataFrame, right: DataFrame, by: Sequence[str], left_ke
     sizes = ln.join(rn, by)
     turns = sizes.select(*by, "_ln", "_rn", F.explode(F.sequence(F.lit(0), F.greatest("_ln", "_rn") - 1)).alias("_t"))
     turns = turns.select(*by, (F.col("_t") % F.col("_ln")).alias("_l"), (F.col("_t") % F.col("_rn")).alias("_r"))
-    return turns.join(ls, [*by, "_l"]).join(rs, [*by, "_r"]).select(*by, left_key, right_key)
+    out = turns.join(ls, [*by, "_l"]).join(rs, [*by, "_r"]).select(*by, left_key, right_key)
+    for side, key, other, other_key in ((left, left_key, right, right_key), (right, right_key, left, left_key)):
+        total = other.count()
+        if total:
+            lone = side.select(*by, key).join(other.select(*by).distinct(), by, "left_anti")
+            lone = hash_row_number(lone, "_l", F.sha2(F.col(key).cast("string"), 256), key).withColumn("_r", F.col("_l") % total)
+            others = hash_row_number(other.select(other_key), "_r", F.sha2(F.col(other_key).cast("string"), 256), other_key)
+            out = out.unionByName(lone.join(others, "_r").select(*by, left_key, right_key))
+    return out
 
 
 def pair_ranker(

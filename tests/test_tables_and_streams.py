@@ -217,3 +217,14 @@ def test_pairing_in_turn_leaves_nobody_out(spark):
     assert len(rows) == 7 + 4
     assert {(r.g, r.l) for r in rows} == {("a", i) for i in range(7)} | {("b", 9)}
     assert {(r.g, r.r) for r in rows} == {("a", i) for i in range(3)} | {("b", i) for i in range(4)}
+
+
+def test_pairing_in_turn_keeps_one_sided_groups(spark):
+    from tallysieve.operators.models import paired_in_turn
+
+    left = spark.createDataFrame([("a", 0), ("a", 1), ("c", 2), (None, 3)], "g string, l long")
+    right = spark.createDataFrame([("a", 0), *[("d", k) for k in range(1, 8)], (None, 8)], "g string, r long")
+    rows = paired_in_turn(left, right, ["g"], "l", "r").collect()
+    assert {r.l for r in rows} == set(range(4)) and {r.r for r in rows} == set(range(9))
+    assert {(r.g, r.r) for r in rows} >= {("d", k) for k in range(1, 8)} and len(rows) == 2 + 2 + 8
+    assert paired_in_turn(left, right.limit(0), ["g"], "l", "r").count() == 0
