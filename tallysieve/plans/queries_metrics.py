@@ -155,7 +155,7 @@ def bootstrap_ci(spark, sf):
 
 @query("benchmark_metrics")
 def benchmark_metrics(spark, sf):
-    return M.benchmark(X.labelled(spark, sf), 200, 2026, "entity_id")
+    return M.benchmark(X.labelled(spark, sf), 10_000, 2026, "entity_id")
 
 
 # --- pairs inside batches --------------------------------------------------

@@ -228,3 +228,13 @@ def test_pairing_in_turn_keeps_one_sided_groups(spark):
     assert {r.l for r in rows} == set(range(4)) and {r.r for r in rows} == set(range(9))
     assert {(r.g, r.r) for r in rows} >= {("d", k) for k in range(1, 8)} and len(rows) == 2 + 2 + 8
     assert paired_in_turn(left, right.limit(0), ["g"], "l", "r").count() == 0
+
+
+def test_benchmark_runs_as_many_permutations_as_permutation_p(monkeypatch):
+    from tallysieve.plans import queries_metrics as Q
+
+    asked = []
+    monkeypatch.setattr(Q.X, "labelled", lambda spark, sf: None)
+    monkeypatch.setattr(Q.M, "benchmark", lambda df, replicates, *rest: asked.append(replicates))
+    Q.benchmark_metrics(None, "")
+    assert asked == [10_000]
