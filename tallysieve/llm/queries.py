@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysieve.llm import language, licences, near, packing, pieces, quality, repeats, tokens, urls, vectors
+from tallysieve.llm import (
+    bpe, language, licences, near, packing, pieces, quality, repeats, runs, tokens, urls, variants, vectors,
+)
 from tallysieve.llm.common import ROW, table
 
 # Fixed values: (verdict, host, path).
@@ -139,6 +142,85 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "vec_id")
 
 
+def with_planted_runs(key: Column, text: Column) -> Column:
+    """The text; in a tenth of the documents, words from some place on repeat the first few from there."""
+    h = F.crc32(key.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    n = F.size(words).cast("long")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    period = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    changed = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")
+    return F.when((h % 10 == 0) & (n > 0), changed).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.select("doc_id", with_planted_runs(F.col("doc_id"), F.col("text")).alias("text"))
+    out = runs.periodic_runs(docs, carry=["doc_id"])
+    # the greatest length, then the smallest start and period
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    out = out.select(
+        f"{ROW}.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        top.alias("top"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    length, start, period = F.col("top.length"), -F.col("top.col2"), -F.col("top.col3")
+    return out.select(
+        "doc_id",
+        "n_runs",
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+def with_planted_slips() -> variants.Change:
+    """Deletes a letter of about one word in a hundred, chosen by the document's number and the word."""
+    last: list = [None, 0]
+
+    def change(key: int | None, word: bytes) -> bytes:
+        if key is None:
+            return word
+        if key != last[0]:
+            last[:] = key, zlib.crc32(f"{key}:".encode())
+        h = zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), last[1])
+        if h % 97:
+            return word
+        at = h % len(word)
+        return word[:at] + word[at + 1 :]
+
+    return change
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.variants(docs, change=with_planted_slips())
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(docs, path, carry=["doc_id"]).select(f"{ROW}.doc_id", "token_bytes")
+    ids = ids.select(
+        "doc_id",
+        (F.octet_length("token_bytes") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_bytes", 256).alias("ids_sha256"),
+        "token_bytes",
+    )
+    out = bpe.decode(ids, path, carry=["doc_id", "n_tokens", "ids_sha256"])
+    return out.select(f"{ROW}.*", F.sha2("data", 256).alias("decoded_sha256"))
+
+
 WORDS_SQL = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 OP1_SQL = f"""
@@ -194,6 +276,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_licence_scan": op9_licence_scan,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 ORACLE = {
     "op1_suffix_array_dedup": OP1_SQL.strip(),
