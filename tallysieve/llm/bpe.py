@@ -4,15 +4,17 @@ A text is cut into pre-tokens by the public pattern (contractions, runs of lette
 signs with one space in front, white space). The cuts are found for all texts of a slice at once from
 the class of each character. Each distinct pre-token of a slice is merged once.
 
-Merging keeps the pre-token's parts as a linked list of byte positions. Every rank has a bucket
-of positions whose part and the next one make up the token of that rank, and a bitmap of three
-levels (64 children a node) marks the ranks with a bucket. Find-first-set from the top gives the lowest
-rank; its bucket is worked off from left to right, entries whose pair has changed since are skipped, and
-a merge that opens a lower rank puts the rest of the bucket back. A merge costs the same at any length, so a
-pre-token of millions of bytes takes time in proportion to its length.
-
-Memory per task: one slice of a batch, one pre-token's list (about 20 bytes a byte) and at most CACHE
-merged pre-tokens.
+Merging keeps the parts of all pre-tokens as one linked list of byte positions, with a stop between two
+pre-tokens. Every rank has a bucket of positions whose part and the next one make up the token of that rank, and
+a bitmap of three levels (64 children a node) marks the ranks with a bucket. Find-first-set from the top gives the
+lowest rank; entries of its bucket whose pair has changed since are skipped, the others are merged
+together, of overlapping ones every second from the left, and their new pairs go to the buckets.
+Where a token of a lower rank begins or ends with the merged one, its merge may open that rank: of such a rank only
+the first entry of each pre-token is merged at a time and the rest goes back to the bucket. So each pre-token sees
+its merges in the order of rank, then place. Steps are as many as ranks in use, and each costs what it
+merges: a pre-token of millions of bytes takes time in proportion to its length.
+
+Memory per task: one slice of a batch, and about 25 bytes for each byte of its distinct pre-tokens.
 
 Defined cases: null and empty texts have no ids and decode to nothing; repeated rows are encoded alike;
 an empty table gives an empty table; other columns, whatever their names, are carried in one column.
@@ -22,7 +24,6 @@ Strings of special tokens are ordinary text. Ids that the file doesn't hold make
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -33,8 +34,7 @@ from pyspark.sql import functions as F
 
 from tallysieve.llm.common import ROW, carried
 
-SLICE_BYTES = 4 << 20
-CACHE, CACHED_BYTES = 200_000, 48
+SLICE_BYTES = 8 << 20
 OTHER, LETTER, DIGIT, SPACE = range(4)
 # Fixed value: the pattern whose cuts pre_tokens() makes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -91,21 +91,25 @@ class RankQueue:
     """Buckets of positions by rank; three bitmap levels find the lowest rank that has one."""
 
     def __init__(self, size: int):
-        self.buckets: dict[int, array] = {}
+        self.buckets: dict[int, list[np.ndarray]] = {}
         self.leaves = [0] * (size // 64 + 1)
         self.nodes = [0] * (size // 4096 + 1)
         self.top = 0
 
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(place)
-            return
-        self.buckets[rank] = array("q", (place,))
-        leaf, node = rank >> 6, rank >> 12
-        self.leaves[leaf] |= 1 << (rank & 63)
-        self.nodes[node] |= 1 << (leaf & 63)
-        self.top |= 1 << node
+    def push(self, ranks: np.ndarray, places: np.ndarray) -> None:
+        order = ranks.argsort(kind="stable")
+        ranks, places = ranks[order], places[order]
+        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        for rank, a, b in zip(ranks[cuts[:-1]].tolist() if len(ranks) else (), cuts, cuts[1:]):
+            bucket = self.buckets.get(rank)
+            if bucket is not None:
+                bucket.append(places[a:b])
+                continue
+            self.buckets[rank] = [places[a:b]]
+            leaf, node = rank >> 6, rank >> 12
+            self.leaves[leaf] |= 1 << (rank & 63)
+            self.nodes[node] |= 1 << (leaf & 63)
+            self.top |= 1 << node
 
     def lowest(self) -> int:
         """The lowest rank with a bucket, -1 for none."""
@@ -117,14 +121,15 @@ class RankQueue:
         bits = self.leaves[leaf]
         return leaf << 6 | (bits & -bits).bit_length() - 1
 
-    def take(self, rank: int) -> array:
+    def take(self, rank: int) -> np.ndarray:
         leaf, node = rank >> 6, rank >> 12
         self.leaves[leaf] &= ~(1 << (rank & 63))
         if not self.leaves[leaf]:
             self.nodes[node] &= ~(1 << (leaf & 63))
             if not self.nodes[node]:
                 self.top &= ~(1 << node)
-        return self.buckets.pop(rank)
+        bucket = self.buckets.pop(rank)
+        return bucket[0] if len(bucket) == 1 else np.sort(np.concatenate(bucket))
 
 
 class Ranks:
@@ -133,74 +138,90 @@ class Ranks:
     def __init__(self, body: bytes):
         pairs = (line.split() for line in body.splitlines() if line)
         self.rank = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.longest = max(map(len, self.rank))
-        size = max(self.rank.values()) + 1
-        self.queue = RankQueue(size)
-        tokens = [b""] * size
+        self.size = max(self.rank.values()) + 1
+        tokens = [b""] * self.size
+        made: dict[int, int] = {}
+        self.early = set()  # ranks whose merge may open a lower one
         for token, rank in self.rank.items():
             tokens[rank] = token
+            for c in range(1, len(token)):
+                a, b = self.rank.get(token[:c]), self.rank.get(token[c:])
+                if a is not None and b is not None:
+                    made[a * (self.size + 1) + b] = rank
+                    self.early |= {x for x in (a, b) if x > rank}
+        self.pairs = np.array(sorted(made), np.int64)
+        self.merged = np.array([made[p] for p in self.pairs.tolist()], np.int32)
+        self.of_byte = np.array([self.rank.get(bytes([b]), self.size) for b in range(256)], np.int32)
         self.lengths = np.array([len(t) for t in tokens])
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.body = np.frombuffer(b"".join(tokens), np.uint8)
-        self.known: dict[bytes, list[int]] = {}
-
-    def ids(self, token: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        whole = self.rank.get(token)
-        if whole is not None:
-            return [whole]
-        found = self.known.get(token)
-        if found is None:
-            found = self.merge(token)
-            if len(token) <= CACHED_BYTES:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[token] = found
-        return found
-
-    def merge(self, data: bytes) -> list[int]:
-        n, rank, queue, longest = len(data), self.rank, self.queue, self.longest
-        after = array("q", range(1, n + 2))  # where the part at i ends and the next one starts
-        before = array("q", range(-1, n))
-        pair = array("q", [-1]) * (n + 1)  # rank of the part at i with the next one
-        for i in range(n - 1):
-            r = rank.get(data[i : i + 2], -1)
-            if r >= 0:
-                pair[i] = r
-                queue.push(r, i)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that two parts make up, -1 for none."""
+        if not len(self.pairs):
+            return np.full(len(left), -1, np.int32)
+        key = left.astype(np.int64) * (self.size + 1) + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.merged[at], np.int32(-1))
+
+    def merge(self, tokens: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens that are no token themselves, one after the other, and the number of ids of each."""
+        data = np.frombuffer(b"\0" + b"\0".join(tokens) + b"\0", np.uint8)
+        stops = np.concatenate([[0], np.cumsum([len(t) + 1 for t in tokens])]).astype(np.int64)
+        n = len(data)
+        part = self.of_byte[data]
+        part[stops] = self.size  # a stop pairs with nothing
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        pair = np.append(self.rank_of(part[:-1], part[1:]), np.int32(-1))
+        alive, mark, queue = np.ones(n, bool), np.zeros(n, bool), RankQueue(self.size)
+        alive[stops] = False
+        first = np.flatnonzero(pair >= 0).astype(np.int32)
+        queue.push(pair[first], first)
         while (r := queue.lowest()) >= 0:
-            bucket = queue.take(r)
-            if len(bucket) > 1:
-                bucket = sorted(bucket)
-            for k, i in enumerate(bucket):
-                if pair[i] != r:
-                    continue  # stale
-                j = after[i]
-                end = after[j]
-                after[i], before[end], pair[j] = end, i, -1
-                low, new = r, -1
-                if end < n and after[end] - i <= longest:
-                    new = rank.get(data[i : after[end]], -1)
-                    if new >= 0:
-                        queue.push(new, i)
-                        low = min(low, new)
-                pair[i] = new
-                left = before[i]
-                if left >= 0:
-                    new = rank.get(data[left:end], -1) if end - left <= longest else -1
-                    pair[left] = new
-                    if new >= 0:
-                        queue.push(new, left)
-                        low = min(low, new)
-                if low < r:
-                    for place in bucket[k + 1 :]:
-                        queue.push(r, place)
-                    break
-        out, i = [], 0
-        while i < n:
-            out.append(rank[data[i : after[i]]])
-            i = after[i]
-        return out
+            i = queue.take(r)
+            i = i[pair[i] == r]  # others are stale
+            if len(i) > 1:
+                i = i[np.append(True, i[1:] != i[:-1])]
+                if r in self.early:
+                    owner = np.searchsorted(stops, i)
+                    go = np.append(True, owner[1:] != owner[:-1])
+                    queue.push(np.full(int((~go).sum()), r, np.int32), i[~go])
+                    i = i[go]
+                else:
+                    over = after[i[:-1]] == i[1:]
+                    if over.any():  # overlapping entries: every second one of a chain
+                        at = np.arange(len(i))
+                        head = np.maximum.accumulate(np.where(np.append(True, ~over), at, 0))
+                        i = i[(at - head) % 2 == 0]
+            if not len(i):
+                continue
+            j = after[i]
+            end = after[j]
+            after[i], before[end], part[i], pair[j], alive[j] = end, i, r, -1, False
+            left = before[i]
+            mark[i] = True
+            left = left[~mark[left]]
+            mark[i] = False
+            u = np.concatenate([i, left])
+            new = self.rank_of(part[u], part[after[u]])
+            pair[u] = new
+            good = new >= 0
+            queue.push(new[good], u[good])
+        places = np.flatnonzero(alive)
+        if (part[places] == self.size).any():
+            raise ValueError("a byte is not in the vocabulary")
+        return part[places].astype(np.uint32), np.diff(np.searchsorted(places, stops))
+
+    def ids(self, tokens: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens one after the other, and the number of ids of each: the token itself, or its merges."""
+        whole = np.fromiter((self.rank.get(t, -1) for t in tokens), np.int64, len(tokens))
+        sizes = np.ones(len(tokens), np.int64)
+        merged, sizes[whole < 0] = self.merge([t for t, w in zip(tokens, whole.tolist()) if w < 0])
+        starts = np.cumsum(sizes) - sizes
+        flat = np.empty(int(sizes.sum()), np.uint32)
+        flat[starts[whole >= 0]] = whole[whole >= 0]
+        flat[ragged(starts[whole < 0], sizes[whole < 0])] = merged
+        return flat, sizes
 
     def many(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and n + 1 offsets of the texts."""
@@ -209,11 +230,9 @@ class Ranks:
         column = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(places) - 1, [None, pa.py_buffer(np.ascontiguousarray(places, np.int64)), body]
         ).dictionary_encode()
-        lists = [self.ids(t) for t in column.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for l in lists for i in l), np.uint32, int(sizes.sum()))
-        which = column.indices.to_numpy(zero_copy_only=False)
-        return flat[ragged((np.cumsum(sizes) - sizes)[which], sizes[which])], np.concatenate([[0], np.cumsum(sizes[which])])[edges]
+        flat, sizes = self.ids(column.dictionary.to_pylist())
+        starts, which = np.cumsum(sizes) - sizes, column.indices.to_numpy(zero_copy_only=False)
+        return flat[ragged(starts[which], sizes[which])], np.concatenate([[0], np.cumsum(sizes[which])])[edges]
 
     def text(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for."""

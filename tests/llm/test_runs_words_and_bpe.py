@@ -251,9 +251,10 @@ def test_merges_of_long_pre_tokens(library):
         for n in (1, 2, 3, 17, 300, 5000):
             token = "".join(draw.choice(letters) for _ in range(n))
             for t in regex.findall(bpe.PATTERN, token):
-                assert ranks.ids(t.encode()) == library.encode_ordinary(t)
-    token = "".join(draw.choice("abcdefgh") for _ in range(300_000)).encode()
-    assert ranks.text(np.array(ranks.merge(token))) == token
+                assert ranks.ids([t.encode()])[0].tolist() == library.encode_ordinary(t)
+    long = ["".join(draw.choice("abcdefgh") for _ in range(300_000)).encode(), b"a" * 200_001]
+    ids, sizes = ranks.ids(long)
+    assert ranks.text(ids[: sizes[0]]) == long[0] and ranks.text(ids[sizes[0] :]) == long[1]
 
 
 def test_lower_rank_opened_by_a_merge():
@@ -261,9 +262,24 @@ def test_lower_rank_opened_by_a_merge():
     tokens = [b"a", b"b", b"aba", b"ab", b"abab"]
     ranks = bpe.Ranks(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens)))
     plain = tiktoken.Encoding("t", pat_str=".+", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={}, explicit_n_vocab=None)
-    for text in ("abab", "ababab", "aabababba", "abba", "ababababab"):
-        mine = ranks.merge(text.encode()) if text.encode() not in ranks.rank else ranks.ids(text.encode())
-        assert mine == plain.encode_ordinary(text)
+    texts = ["abab", "ababab", "aabababba", "abba", "ababababab"]
+    ids, sizes = ranks.ids([t.encode() for t in texts])
+    assert ranks.early and np.split(ids, np.cumsum(sizes))[:-1] != [] and ids.tolist() == [i for t in texts for i in plain.encode_ordinary(t)]
+
+
+def test_merge_order_in_random_vocabularies():
+    draw = random.Random(8)
+    for _ in range(60):
+        tokens = {b"a", b"b", b"c"}
+        while len(tokens) < 30:
+            tokens.add(bytes(draw.choice(b"abc") for _ in range(draw.randint(2, 5))))
+        tokens = [b"a", b"b", b"c", *draw.sample(sorted(tokens - {b"a", b"b", b"c"}), len(tokens) - 3)]
+        ranks = bpe.Ranks(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens)))
+        plain = tiktoken.Encoding("t", pat_str=".+", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+        texts = ["".join(draw.choice("aabc") for _ in range(draw.randint(1, 40))) for _ in range(40)]
+        ids, sizes = ranks.ids([t.encode() for t in texts])
+        for text, mine in zip(texts, np.split(ids, np.cumsum(sizes))):
+            assert mine.tolist() == plain.encode_ordinary(text)
 
 
 def test_bpe_query(spark, sf, library):
