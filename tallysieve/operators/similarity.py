@@ -5,30 +5,27 @@ No operator here emits all pairs of a group. Two exact ways to the partners of a
 * `tanimoto_join`: prefix filter. Partners at a threshold must share one of a row's
   rarest bits, so an equi-join on those bits finds all candidates. For sparse
   fingerprints, and where residual conditions cut further.
-* `_metric_tiles`: cells around pivots. Jaccard and Euclidean distance obey the triangle
-  inequality, so whole cells out of reach are skipped; the rest is compared as matrix
-  products in tiles of bounded size, each returning only its best rows. For dense
-  fingerprints and embeddings.
+* `metric.Index`: two levels of pivots. Jaccard and Euclidean distance obey the triangle
+  inequality, so cells and leaves out of reach are skipped; the rest is compared as matrix
+  products of bounded size, each returning only its best rows. For dense fingerprints and
+  embeddings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallysieve.functions import fingerprints as FP
+from tallysieve.operators.metric import LEAF_ROWS, Held, Index, Metric, Step, side
 from tallysieve.operators.ordering import exact_quantiles
 from tallysieve.operators.skew import MIN_ROWS, SHARE, split_hot_join, split_hot_lookup
-from tallysieve.session import ensure_checkpoint_dir, materialise
-
-TILE_ROWS = 2048
-MAX_PIVOTS = 64
+from tallysieve.session import materialise
 
 
 # --- Tanimoto --------------------------------------------------------------
@@ -146,40 +143,128 @@ def distinct_fingerprints(df: DataFrame, key: str = "entity_id") -> DataFrame:
     return df.groupBy("fp_bits", "fp_size", "fp_words").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
 
 
-def series_components(
-    df: DataFrame, threshold: float, key: str = "entity_id", max_rounds: int = 50
-) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
+    """(u, v): each linked node u under v, the smallest node it reaches; from links (u, v) in any order.
+
+    Large-star / small-star contraction: logarithmic rounds, each a grouped minimum.
+    """
+    edges = materialise(_down(links))
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = materialise(_down(_star(both, larger=True)))
+        edges = materialise(_star(large, larger=False))
+        several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
+        chained = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1)
+        if several.isEmpty() and chained.isEmpty():
+            return edges
+
+
+def _down(edges: DataFrame) -> DataFrame:
+    """Each link once, from the larger to the smaller node."""
+    return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def forest(threshold: float):
+    """Links (u, v) of labels, one for each two trees that a held group and the queries passing it turn out to connect."""
+
+    def use(held: Held) -> Step:
+        names = held.table.column("label").to_pylist()
+        number = {name: k for k, name in enumerate(dict.fromkeys(names))}
+        tree = np.array([number[name] for name in names])  # of each held row
+        root = np.arange(len(number))  # of each label; queries add theirs
+        labels = list(number)
+
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            nonlocal tree, root
+            mine = batch.column("label").to_pylist()
+            for name in mine:
+                if name not in number:
+                    number[name] = len(labels)
+                    labels.append(name)
+            root = np.append(root, np.arange(len(root), len(labels)))
+            code = np.array([number[name] for name in mine])
+            u, v = [], []
+            for asking, s, rows in held.scores(batch, np.full(len(code), 1 - threshold)):
+                close = s >= threshold
+                for q in np.flatnonzero(close.any(1)).tolist():
+                    own = root[code[asking[q]]]
+                    met = tree[rows[close[q]]]
+                    if (met == own).all():
+                        continue
+                    for other in np.unique(met[met != own]).tolist():
+                        u.append(labels[other]), v.append(labels[own])
+                        tree[tree == other] = own
+                        root[root == other] = own
+            if u:
+                kind = held.table.schema.field("label").type
+                yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], names=["u", "v"])
+
+        return step
+
+    return use
+
+
+def similar_pairs(distinct: DataFrame, threshold: float, key: str = "entity_id", leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Pairs a < b of collapsed fingerprints with Tanimoto >= threshold > 0; exact."""
+    index = Index.build(side(distinct, key, "fp_words", "fp_size", None), JACCARD, leaf_rows)
+    asking = index.rows.withColumn("bound", F.lit(float(1 - threshold))).drop("leaf")
+    schema = f"a_{key} {index.key}, b_{key} {index.key}, similarity double"
+
+    def use(held: Held) -> Step:
+        names = held.ids.to_numpy(zero_copy_only=False)
+
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for asking, s, rows in held.scores(batch, np.full(len(ids), 1 - threshold)):
+                q, r = np.nonzero((s >= threshold) & (ids[asking][:, None] < names[rows][None]))
+                if len(q):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[asking[q]]), pa.array(names[rows[r]]), pa.array(s[q, r])],
+                        names=[f"a_{key}", f"b_{key}", "similarity"],
+                    )
+
+        return step
+
+    return index.compared(*index.asked(asking), schema, use)
+
+
+def similar_links(distinct: DataFrame, threshold: float, key: str = "entity_id", leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(u, v): each key that is similar to another, under the smallest of its component.
+
+    First every group of the index gives a spanning forest of its own rows. Then rows meet the groups in reach, with
+    the components so far as labels, and a link is given only where two of them turn out to be connected: no pair
+    within a known component leaves a task, and there is no list of edges.
+    """
+    index = Index.build(side(distinct, key, "fp_words", "fp_size", None), JACCARD, leaf_rows)
+    schema = f"u {index.key}, v {index.key}"
+    index.rows = index.rows.withColumn("label", F.col("id"))
+    rows = index.rows.withColumn("bound", F.lit(float(1 - threshold)))
+    first = components(index.compared(rows.withColumn("turn", F.lit(0)), 1, schema, forest(threshold)))
+    label = first.select(F.col("u").alias("id"), F.col("v").alias("known"))
+    index.rows = materialise(index.rows.join(label, "id", "left").withColumn("label", F.coalesce("known", "label")).drop("known"))
+    asked, turns = index.asked(index.rows.withColumn("bound", F.lit(float(1 - threshold))).drop("leaf"))
+    later = (F.col("cell") > F.col("own_cell")) | ((F.col("cell") == F.col("own_cell")) & (F.col("group") > F.col("own_group")))
+    second = components(index.compared(asked.where(later), turns, schema, forest(threshold)))
+    joined = first.join(second.select(F.col("u").alias("v"), F.col("v").alias("low")), "v", "left").select("u", F.coalesce("low", "v").alias("v"))
+    return joined.unionByName(second.join(joined.select("u"), "u", "left_anti"))
+
+
+def series_components(df: DataFrame, threshold: float, key: str = "entity_id", leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Series = connected components of similar fingerprints, labelled by their smallest key.
 
-    Large-star / small-star contraction on collapsed fingerprints: logarithmic rounds,
-    each a grouped minimum; copies take the label of their representative.
+    Copies take the label of their representative; a row with an empty fingerprint is a series of its own.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     df = materialise(df.select(key, "fp_bits", "fp_size", "fp_words"))
-    distinct = materialise(distinct_fingerprints(df, key))
-    edges = similar_pairs(distinct, threshold, key).select(F.col(f"a_{key}").alias("v"), F.col(f"b_{key}").alias("u"))
-    edges = edges.checkpoint()
-    signature = None
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = _star(both, larger=True)
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        edges = _star(down, larger=False).checkpoint()
-        latest = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(latest) == signature:
-            break
-        signature = tuple(latest)
-    else:
-        raise RuntimeError("components did not settle")
-    label = edges.select(F.col("u").alias(key), F.col("v").alias("series_id"))
+    some = df.where("fp_size > 0")
+    distinct = materialise(distinct_fingerprints(some, key))
+    label = similar_links(distinct, threshold, key, leaf_rows).select(F.col("u").alias(key), F.col("v").alias("series_id"))
     representative = distinct.select("fp_bits", key, "copies").join(label, key, "left").select(
         "fp_bits", "copies", F.coalesce("series_id", key).alias("series_id")
     )
     # one fingerprint may stand for a third of all rows, so the join back is split
-    return split_hot_lookup(df.select(key, "fp_bits"), representative, ["fp_bits"], key, "copies").select(
-        key, "series_id"
-    )
+    placed = split_hot_lookup(some.select(key, "fp_bits"), representative, ["fp_bits"], key, "copies")
+    alone = df.where(~F.coalesce(F.col("fp_size") > 0, F.lit(False)))
+    return placed.select(key, "series_id").unionByName(alone.select(key, F.col(key).alias("series_id")))
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -197,140 +282,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-# --- cells and tiles -------------------------------------------------------
-
-
-def _centers(reference: DataFrame, tile_rows: int) -> np.ndarray:
-    """Pivot vectors: those of lowest key hash, at most MAX_PIVOTS (a fixed-size driver array)."""
-    pivots = min(MAX_PIVOTS, max(1, reference.count() // tile_rows))
-    rows = reference.orderBy(F.xxhash64("r_id"), "r_id").limit(pivots).select("r_vec").collect()
-    return np.array([row[0] for row in rows])
-
-
-def _metric_tiles(
-    query: DataFrame,
-    reference: DataFrame,
-    distances: Callable[[np.ndarray, np.ndarray], np.ndarray],
-    compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-    limit: float,
-    k: int | None,
-    tile_rows: int,
-    size_bound: bool = False,
-) -> DataFrame:
-    """Candidate search by cells, comparison by tiles.
-
-    `query` has q_id, q_block, q_vec, q_size and `reference` r_id, r_block, r_vec, r_size;
-    rows meet only inside a block. `limit` caps the distance; with `k` the distance is
-    also capped, per query, by the nearest cells that together hold k rows.
-    `size_bound` adds the Jaccard bound 1 - min/max of the set sizes.
-    """
-    centers = _centers(reference, tile_rows)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def to_pivots(batch: pd.Series) -> pd.Series:
-        return pd.Series(list(distances(np.stack(batch.to_numpy()), centers)))
-
-    band = F.floor(F.log2(F.greatest("r_size", F.lit(1)))).cast("int") if size_bound else F.lit(0)
-    located = (
-        reference.withColumn("d", to_pivots("r_vec"))
-        .withColumn("radius", F.array_min("d"))
-        .withColumn("r_cell", F.concat_ws("/", (F.array_position("d", F.col("radius")) - 1).cast("int"), band))
-        .withColumn("pivot", F.array_position("d", F.col("radius")).cast("int"))
-        .drop("d")
-    )
-    cells = (
-        located.groupBy("r_block", "r_cell", "pivot")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max("radius").alias("radius"),
-            F.min("r_size").alias("least"),
-            F.max("r_size").alias("most"),
-        )
-        .withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int"))
-    )
-    queries = query.groupBy("q_block").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("chunks"))
-    per_block = cells.groupBy(F.col("r_block").alias("q_block")).agg(
-        F.collect_list(F.struct("r_cell", "pivot", "n", "radius", "least", "most", "tiles")).alias("cells")
-    )
-
-    away = lambda c: F.element_at("d", c["pivot"])
-    reach = F.lit(float(limit))
-    if k is not None:
-        by_edge = F.sort_array(F.transform("cells", lambda c: F.struct((away(c) + c["radius"]).alias("far"), c["n"])))
-        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(float(limit)).alias("bound"))
-        reach = F.aggregate(
-            by_edge,
-            start,
-            lambda acc, e: F.struct(
-                (acc["seen"] + e["n"]).alias("seen"),
-                F.when((acc["seen"] < k) & (acc["seen"] + e["n"] >= k), F.least(acc["bound"], e["far"]))
-                .otherwise(acc["bound"])
-                .alias("bound"),
-            ),
-        )["bound"]
-
-    def near(c: Column) -> Column:
-        ok = away(c) - c["radius"] <= F.col("reach") + 1e-9
-        if size_bound:
-            small, large = F.least(F.col("q_size"), c["most"]), F.greatest(F.col("q_size"), c["least"])
-            ok = ok & (1 - small / F.greatest(large, F.lit(1)) <= F.col("reach") + 1e-9)
-        return ok
-
-    asked = (
-        query.withColumn("d", to_pivots("q_vec"))
-        # one row per block: without a broadcast, a single block would make this a cartesian product
-        .join(F.broadcast(per_block), "q_block")
-        .join(F.broadcast(queries), "q_block")
-        .withColumn("reach", reach)
-        .withColumn("hit", F.explode(F.filter("cells", near)))
-        .withColumn("q_tile", F.explode(F.sequence(F.lit(0), F.col("hit.tiles") - 1)))
-        .withColumn("q_chunk", F.pmod(F.xxhash64("q_id"), F.col("chunks")).cast("int"))
-        .select("q_id", "q_block", "q_vec", "q_size", F.col("hit.r_cell").alias("q_cell"), "q_tile", "q_chunk")
-    )
-    wanted = asked.select(
-        F.col("q_block").alias("r_block"),
-        F.col("q_cell").alias("r_cell"),
-        F.col("q_tile").alias("r_tile"),
-        F.col("q_chunk").alias("r_chunk"),
-    ).distinct()
-    offered = (
-        located.join(cells.select("r_block", "r_cell", "tiles"), ["r_block", "r_cell"])
-        .withColumn("r_tile", F.pmod(F.xxhash64("r_id"), F.col("tiles")).cast("int"))
-        .join(wanted, ["r_block", "r_cell", "r_tile"])
-        .select("r_id", "r_block", "r_vec", "r_size", "r_cell", "r_tile", "r_chunk")
-    )
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_key": [], "ref_key": [], "value": []})
-        return compare(left, right.sort_values("r_id"))
-
-    q_type = query.schema["q_id"].dataType.simpleString()
-    r_type = reference.schema["r_id"].dataType.simpleString()
-    return (
-        asked.groupBy("q_block", "q_cell", "q_tile", "q_chunk")
-        .cogroup(offered.groupBy("r_block", "r_cell", "r_tile", "r_chunk"))
-        .applyInPandas(run, f"query_key {q_type}, ref_key {r_type}, value double")
-    )
-
-
-def _pairs_frame(left: pd.DataFrame, right: pd.DataFrame, value: np.ndarray, keep: np.ndarray) -> pd.DataFrame:
-    rows, columns = np.nonzero(keep)
-    return pd.DataFrame(
-        {
-            "query_key": left["q_id"].to_numpy()[rows],
-            "ref_key": right["r_id"].to_numpy()[columns],
-            "value": value[rows, columns],
-        }
-    )
-
-
-def _best_columns(value: np.ndarray, k: int) -> np.ndarray:
-    """Mask of the k largest entries per row, ties to the left."""
-    order = np.argsort(-value, axis=1, kind="stable")[:, :k]
-    keep = np.zeros(value.shape, dtype=bool)
-    np.put_along_axis(keep, order, True, axis=1)
-    return keep
+# --- nearest neighbours ----------------------------------------------------
 
 
 def _rank(found: DataFrame, k: int, value: str) -> DataFrame:
@@ -353,13 +305,7 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(common, union, out=np.zeros_like(common), where=union > 0)
 
 
-def _side(df: DataFrame, to: str, key: str, vector: str, size: str | None, block: str | None) -> DataFrame:
-    return df.select(
-        F.col(key).alias(f"{to}_id"),
-        (F.col(block) if block else F.lit("")).alias(f"{to}_block"),
-        F.col(vector).alias(f"{to}_vec"),
-        (F.col(size) if size else F.lit(1)).alias(f"{to}_size"),
-    )
+JACCARD = Metric(_jaccard, lambda s: 1 - s, sized=True)
 
 
 def nearest_tanimoto(
@@ -370,56 +316,19 @@ def nearest_tanimoto(
     k: int = 1,
     key: str = "entity_key",
     block: str | None = None,
-    tile_rows: int = TILE_ROWS,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """The k most similar references per query, ties to the smaller reference key; exact.
 
     Result: `<query_prefix><key>`, `<reference_prefix><key>`, similarity, rank.
     """
     Q, R = query_prefix, reference_prefix
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        s = _jaccard(np.stack(left["q_vec"].to_numpy()), np.stack(right["r_vec"].to_numpy()))
-        return _pairs_frame(left, right, s, _best_columns(s, k))
-
-    found = _metric_tiles(
-        _side(query, "q", f"{Q}{key}", f"{Q}fp_words", f"{Q}fp_size", block and f"{Q}{block}"),
-        _side(reference, "r", f"{R}{key}", f"{R}fp_words", f"{R}fp_size", block and f"{R}{block}"),
-        lambda a, b: 1 - _jaccard(a, b),
-        compare,
-        1.0,
-        k,
-        tile_rows,
-        size_bound=True,
-    )
+    index = Index.build(side(reference, f"{R}{key}", f"{R}fp_words", f"{R}fp_size", block and f"{R}{block}"), JACCARD, leaf_rows)
+    asking = side(query, f"{Q}{key}", f"{Q}fp_words", f"{Q}fp_size", block and f"{Q}{block}")
+    found = index.nearest(asking, k, 1.0)
     return _rank(found, k, "similarity").withColumnsRenamed({"query_key": f"{Q}{key}", "ref_key": f"{R}{key}"})
 
 
-def similar_pairs(
-    distinct: DataFrame, threshold: float, key: str = "entity_id", tile_rows: int = TILE_ROWS
-) -> DataFrame:
-    """Pairs a < b of collapsed fingerprints with Tanimoto >= threshold > 0; exact."""
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        s = _jaccard(np.stack(left["q_vec"].to_numpy()), np.stack(right["r_vec"].to_numpy()))
-        smaller = left["q_id"].to_numpy()[:, None] < right["r_id"].to_numpy()[None]
-        return _pairs_frame(left, right, s, (s >= threshold) & smaller)
-
-    found = _metric_tiles(
-        _side(distinct, "q", key, "fp_words", "fp_size", None),
-        _side(distinct, "r", key, "fp_words", "fp_size", None),
-        lambda a, b: 1 - _jaccard(a, b),
-        compare,
-        1 - threshold,
-        None,
-        tile_rows,
-        size_bound=True,
-    )
-    return found.select(
-        F.col("query_key").alias(f"a_{key}"), F.col("ref_key").alias(f"b_{key}"), F.col("value").alias("similarity")
-    )
-
-
 def norm_deviation(column: str = "embedding") -> Column:
     """|L2 norm - 1| of an embedding."""
     return F.abs(F.sqrt(F.aggregate(F.col(column), F.lit(0.0), lambda a, x: a + x * x)) - 1)
@@ -430,10 +339,11 @@ def normalised(column: str = "embedding") -> Column:
     return F.transform(F.col(column), lambda x: x.cast("double") / F.nullif(norm, F.lit(0.0)))
 
 
-def _euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    a, b = a.astype("float64"), b.astype("float64")
-    squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
-    return np.sqrt(np.maximum(squared, 0))
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.round(a.astype("float64") @ b.astype("float64").T, 9)
+
+
+COSINE = Metric(_cosine, lambda s: np.sqrt(np.maximum(2 - 2 * s, 0)))
 
 
 def cosine_knn(
@@ -443,25 +353,12 @@ def cosine_knn(
     block: str | None = "library",
     key: str = "entity_id",
     minimum: float = -1.0,
-    tile_rows: int = TILE_ROWS,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """The k references of highest cosine (at least `minimum`) per query; unit vectors, exact.
 
     Result: query_key, ref_key, cosine, rank; ties go to the smaller key.
     """
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.stack(left["q_vec"].to_numpy()), np.stack(right["r_vec"].to_numpy())
-        cos = np.round(a @ b.T, 9)
-        return _pairs_frame(left, right, cos, _best_columns(cos, k) & (cos >= minimum))
-
-    found = _metric_tiles(
-        _side(query, "q", key, "embedding", None, block),
-        _side(reference, "r", key, "embedding", None, block),
-        _euclid,
-        compare,
-        float(np.sqrt(max(0.0, 2 - 2 * minimum))) + 1e-6,
-        k,
-        tile_rows,
-    )
-    return _rank(found, k, "cosine")
+    index = Index.build(side(reference, key, "embedding", None, block), COSINE, leaf_rows)
+    limit = float(np.sqrt(max(0.0, 2 - 2 * minimum)))
+    return _rank(index.nearest(side(query, key, "embedding", None, block), k, limit, minimum), k, "cosine")

@@ -211,10 +211,10 @@ knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_key ORDER
   FROM cosines) WHERE rank <= {k})"""
 
 
-@query("cosine_knn", f"WITH {NEIGHBORS.format(k=5)} SELECT query_key, ref_key, round(cosine, 6) AS cosine, rank FROM knn")
+@query("cosine_knn", f"WITH {NEIGHBORS.format(k=32)} SELECT query_key, ref_key, round(cosine, 6) AS cosine, rank FROM knn")
 def cosine_knn(spark, sf):
     pool = X.neighbors(spark, sf)
-    near = S.cosine_knn(pool.where("pool_role = 'anchor'"), pool.where("pool_role = 'comparator'"), 5)
+    near = S.cosine_knn(pool.where("pool_role = 'anchor'"), pool.where("pool_role = 'comparator'"), 32)
     return near.select("query_key", "ref_key", *rounded("cosine"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -336,10 +336,11 @@ def tanimoto_join(spark, sf):
 sym AS (SELECT a AS x, b AS y FROM edge UNION ALL SELECT b, a FROM edge),
 reach AS (SELECT rep_id AS x, rep_id AS y FROM rep UNION SELECT r.x, s.y FROM reach r JOIN sym s ON s.x = r.y),
 lab AS (SELECT x, min(y) AS series_id FROM reach GROUP BY x)
-SELECT d.doc_id AS entity_id, lab.series_id FROM doc_list d JOIN rep ON rep.bits = d.bits JOIN lab ON lab.x = rep.rep_id
+SELECT o.doc_id AS entity_id, coalesce(lab.series_id, o.doc_id) AS series_id FROM documents o
+LEFT JOIN doc_list d ON d.doc_id = o.doc_id LEFT JOIN rep ON rep.bits = d.bits LEFT JOIN lab ON lab.x = rep.rep_id
 """)
 def series_components(spark, sf):
-    return S.series_components(X.documents_fp(spark, sf).where("fp_size > 0"), 0.6)
+    return S.series_components(X.documents_fp(spark, sf), 0.6)
 
 
 NEAREST = f"""WITH {O.DOC_FP},

@@ -157,13 +157,14 @@ def diverse_shortlist(spark, sf):
 sym AS (SELECT a AS x, b AS y FROM edge UNION ALL SELECT b, a FROM edge),
 reach AS (SELECT rep_id AS x, rep_id AS y FROM rep UNION SELECT r.x, s.y FROM reach r JOIN sym s ON s.x = r.y),
 lab AS (SELECT x, min(y) AS series_id FROM reach GROUP BY x),
-ser AS (SELECT d.doc_id AS catalog_id, lab.series_id FROM doc_list d JOIN rep ON rep.bits = d.bits JOIN lab ON lab.x = rep.rep_id),
+ser AS (SELECT o.doc_id AS catalog_id, coalesce(lab.series_id, o.doc_id) AS series_id FROM documents o
+  LEFT JOIN doc_list d ON d.doc_id = o.doc_id LEFT JOIN rep ON rep.bits = d.bits LEFT JOIN lab ON lab.x = rep.rep_id),
 r AS (SELECT s.catalog_id, series_id, score, row_number() OVER (PARTITION BY series_id ORDER BY score DESC, s.catalog_id) AS g
   FROM ser s JOIN score_a a ON a.catalog_id = s.catalog_id)
 SELECT catalog_id, series_id, score FROM r WHERE g <= 1 ORDER BY score DESC, catalog_id LIMIT 50
 """)
 def series_portfolio(spark, sf):
-    series = S.series_components(X.documents_fp(spark, sf).where("fp_size > 0"), 0.6)
+    series = S.series_components(X.documents_fp(spark, sf), 0.6)
     scored = series.withColumnRenamed("entity_id", "catalog_id").join(X.scores(spark, sf, "a"), "catalog_id")
     order = [F.desc("score"), F.asc("catalog_id")]
     return R.first_per_group(scored, "series_id", order, 50).select("catalog_id", "series_id", "score")

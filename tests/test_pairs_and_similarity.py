@@ -47,7 +47,7 @@ def test_similar_pairs(bits, tile):
     df, data = bits
     distinct = materialise(S.distinct_fingerprints(df))
     assert distinct.where("copies = 61").count() == 1
-    got = {(r[0], r[1]): r[2] for r in S.similar_pairs(distinct, 0.5, tile_rows=tile).collect()}
+    got = {(r[0], r[1]): r[2] for r in S.similar_pairs(distinct, 0.5, leaf_rows=tile).collect()}
     ids = [r.entity_id for r in distinct.collect()]
     want = {
         (a, b): jaccard(data[a], data[b]) for a in ids for b in ids if a < b and jaccard(data[a], data[b]) >= 0.5
@@ -75,7 +75,7 @@ def test_nearest_tanimoto(bits, k, tile):
     df, data = bits
     left, right = df.where("entity_id < 40 or entity_id = 300"), df.where("entity_id between 40 and 299")
     got = {}
-    for r in S.nearest_tanimoto(sided(left, "q_"), sided(right, "r_"), "q_", "r_", k, "entity_id", tile_rows=tile).collect():
+    for r in S.nearest_tanimoto(sided(left, "q_"), sided(right, "r_"), "q_", "r_", k, "entity_id", leaf_rows=tile).collect():
         got.setdefault(r.q_entity_id, []).append((r["rank"], r.r_entity_id))
     refs = [i for i in data if 40 <= i < 300]
     for q in [i for i in data if i < 40 or i == 300]:
@@ -83,10 +83,8 @@ def test_nearest_tanimoto(bits, k, tile):
         assert [r for _, r in sorted(got[q])] == want
 
 
-def test_series_components(bits):
-    df, data = bits
-    got = {r.entity_id: r.series_id for r in S.series_components(df.where("fp_size > 0"), 0.5).collect()}
-    parent = {i: i for i in data if data[i]}
+def plain_series(data, threshold):
+    parent = {i: i for i in data}
 
     def root(i):
         while parent[i] != i:
@@ -95,10 +93,31 @@ def test_series_components(bits):
 
     for a in parent:
         for b in parent:
-            if a < b and jaccard(data[a], data[b]) >= 0.5:
+            if a < b and data[a] and data[b] and jaccard(data[a], data[b]) >= threshold:
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
-    assert got == {i: root(i) for i in parent}
+    return {i: root(i) for i in parent}
+
+
+@pytest.mark.parametrize("leaf", [4, 32, 2048])
+def test_series_components(bits, leaf):
+    df, data = bits
+    rows = S.series_components(df, 0.5, leaf_rows=leaf).collect()
+    assert len(rows) == df.count() and {r.entity_id: r.series_id for r in rows} == plain_series(data, 0.5)
+
+
+def test_series_write_few_links(spark, monkeypatch):
+    """300 near copies: at most 299 links leave the tasks, in both rounds together."""
+    rng = random.Random(4)
+    base = list(range(0, 1200, 4))
+    rows = [(i, sorted(set(rng.sample(base, 290)) | {1201 + i % 7})) for i in range(300)] + [(900, [5, 6, 7])]
+    df = spark.createDataFrame(rows, "entity_id long, fp_bits array<int>")
+    df = df.withColumn("fp_size", F.size("fp_bits")).withColumn("fp_words", FP.pack_words("fp_bits"))
+    seen = []
+    plain = S.components
+    monkeypatch.setattr(S, "components", lambda links: (seen.append(links.count()), plain(links))[1])
+    got = {r.entity_id: r.series_id for r in S.series_components(df, 0.6, leaf_rows=16).collect()}
+    assert got == plain_series(dict(rows), 0.6) and sum(seen) <= 299
 
 
 @pytest.mark.parametrize("tile", [8, 2048])
@@ -111,7 +130,7 @@ def test_cosine_knn(spark, tile, minimum):
         spark.createDataFrame([(i, str(i % 2), [float(v) for v in x[i]]) for i in range(90)], "entity_id long, library string, embedding array<double>")
     )
     got = {}
-    for r in S.cosine_knn(df.where("entity_id < 30"), df.where("entity_id >= 30"), 4, minimum=minimum, tile_rows=tile).collect():
+    for r in S.cosine_knn(df.where("entity_id < 30"), df.where("entity_id >= 30"), 4, minimum=minimum, leaf_rows=tile).collect():
         got.setdefault(r.query_key, []).append((r["rank"], r.ref_key))
     for q in range(30):
         refs = [(-(x[q] @ x[r]), r) for r in range(30, 90) if r % 2 == q % 2 and x[q] @ x[r] >= minimum]
