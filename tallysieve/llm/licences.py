@@ -11,9 +11,10 @@ owner's line. So a text is read three ways: with all lines out that begin like a
 that go on with a year, a sign or a placeholder, and with none; a hit in one way is a hit. (Missed: a text with owner's
 lines of the first kind only, inside a licence that is wrapped before "copyright" as well.)
 
-Known licences are a table (licence, text) of at most MAX_KNOWN rows; Catalyst broadcasts its digests and forms
-while the list is small. A run is compared, word by word and in full, only if its first three words are those of a known
-licence, which leaves few.
+Known licences are a table (licence, text). Its first words and form lengths, some hundred bytes a licence, go to all
+tasks; its digests are joined, and Catalyst broadcasts them while they are few. A run is digested only from places
+whose first three words are those of a known licence, once for each length that such a licence has: work grows with
+these places, whatever the text's length.
 
 Defined cases: null and empty texts have no digest and no licence; a text that is the
 same licence several times names it once; repeated rows give repeated rows; an empty table gives
@@ -23,8 +24,10 @@ an empty table; other columns of the input, whatever their names, play no part.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 from importlib import resources
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,13 +53,15 @@ KNOWN = (
 )
 # Spellings that count as one; British endings count as American ones.
 SPELLINGS = (
-    (r"\blicence", "license"),
-    (r"(?<=[a-z]{3})is(?=(e|ed|es|ing|ation|ations)\b)", "iz"),
-    (r"(?<=[a-z]{2})our(?=(|s|ed|able)\b)", "or"),
-    (r"\bjudgement", "judgment"),
-    (r"\bmerchantib", "merchantab"),
-    (r"\bsub (\x{E000} )?license", "sublicense"),
+    (r"licence(?<=\blicence)", "license"),
+    (r"is(?=(e|ed|es|ing|ation|ations)\b)(?<=[a-z]{3}is)", "iz"),
+    (r"our(?=(|s|ed|able)\b)(?<=[a-z]{2}our)", "or"),
+    (r"judgement(?<=\bjudgement)", "judgment"),
+    (r"merchantib(?<=\bmerchantib)", "merchantab"),
+    (r"sub (\x{E000} )?license(?<=\bsub (\x{E000} )?license)", "sublicense"),
 )
+# What a text holds if it has a copyright line.
+COPYRIGHT_SIGNS = ("copyright", "(c)", "©", "all rights reserved")
 # Titles that stand above a text or not, and what may be left out from there on.
 TITLES = {
     "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
@@ -69,7 +74,6 @@ ENDINGS = (
     r"(?m)^ *How to Apply These Terms to Your New (Programs|Libraries)",
     r"(?m)^ *END OF TERMS AND CONDITIONS",
 )
-MAX_KNOWN = 10_000
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 
@@ -82,7 +86,7 @@ BREAK = "\ue000"
 
 def folded(lower: Column) -> Column:
     """Words in canonical spelling with one space between, and BREAK where a line or sentence ends."""
-    out = F.regexp_replace(lower, r"(?<=[.!?])[\x20\x09-\x0D]+|\n", f" {BREAK} ")
+    out = F.regexp_replace(lower, r"([.!?])[\x20\x09-\x0D]+|\n", f"$1 {BREAK} ")
     out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}\x{E000}]+", " "))
     for odd, usual in SPELLINGS:
         out = F.regexp_replace(out, odd, usual)
@@ -97,12 +101,22 @@ def canonical(text: Column) -> Column:
     return joined(folded(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")))
 
 
-def readings(text: Column) -> tuple[Column, Column, Column]:
-    """Folded text without any copyright lines; where they differ, without plain owner's lines, and with all lines."""
-    lower = F.lower(text)
-    bare, owned = F.regexp_replace(lower, COPYRIGHT_LINE, " "), F.regexp_replace(lower, OWNER_LINE, " ")
-    changed = bare != lower
-    return folded(bare), F.when(changed & (owned != bare), folded(owned)), F.when(changed, folded(lower))
+def readings(texts: DataFrame) -> DataFrame:
+    """The rows with m0, m1, m2 instead of `t`: folded text without any copyright lines; where they differ, without
+    plain owner's lines, and with all lines. Each step is a column, so that no text is read twice for it."""
+    others = [c for c in texts.columns if c != "t"]
+    signed = reduce(or_, [F.col("lower").contains(sign) for sign in COPYRIGHT_SIGNS])
+    out = texts.select(*others, F.lower("t").alias("lower")).select(*others, "lower", signed.alias("signed"))
+    bare = F.when(F.col("signed"), F.regexp_replace("lower", COPYRIGHT_LINE, " ")).otherwise(F.col("lower"))
+    owned = F.when(F.col("signed"), F.regexp_replace("lower", OWNER_LINE, " "))
+    out = out.select(*others, "lower", bare.alias("bare"), owned.alias("owned"))
+    changed = F.col("owned").isNotNull() & (F.col("bare") != F.col("lower"))
+    return out.select(
+        *others,
+        folded(F.col("bare")).alias("m0"),
+        folded(F.when(changed & (F.col("owned") != F.col("bare")), F.col("owned"))).alias("m1"),
+        folded(F.when(changed, F.col("lower"))).alias("m2"),
+    )
 
 
 def sha(form: Column) -> Column:
@@ -117,7 +131,8 @@ def digest(text: Column) -> Column:
 def known_forms(known: DataFrame) -> DataFrame:
     """(digest, form, licence): the first licence by name where two texts are the same."""
     return (
-        known.select("licence", F.explode(F.array_compact(F.array(*readings(F.col("text"))))).alias("m"))
+        readings(known.select("licence", F.col("text").alias("t")))
+        .select("licence", F.explode(F.array_compact(F.array("m0", "m1", "m2"))).alias("m"))
         .select("licence", joined(F.col("m")).alias("form"))
         .where("form <> ''")
         .groupBy("form")
@@ -147,17 +162,45 @@ def first_words(words: Column, n: int) -> Column:
     return F.substring_index(words, " ", n)
 
 
-def starts(form: Column, firsts: Sequence[str], keys: Sequence[str], longest: int) -> Column:
-    """Runs of lines and sentences from each one on whose first words are those of a known licence."""
-    runs = F.filter(F.split(form, r" ?\x{E000} ?"), lambda x: x != "")
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
-    def known(at: Column) -> Column:
-        words = F.array_join(F.slice(runs, at + 1, 3), " ")
-        short = first_words(words, 1).isin(keys) | first_words(words, 2).isin(keys)
-        return short | first_words(words, 3).isin(keys)
 
-    at = F.transform(runs, lambda x, i: F.when(first_words(x, 1).isin(firsts), F.when(known(i), i)))
-    return F.transform(F.array_compact(at), lambda i: F.slice(runs, i + 1, longest))
+def runs_of(form: Column) -> Column:
+    """Lines and sentences with a word."""
+    return F.filter(F.split(form, r" ?\x{E000} ?"), lambda x: x != "")
+
+
+def starts(runs: Column, sizes: dict[str, list[int]]) -> Column:
+    """Digests of the runs of lines and sentences that start and end like a known licence's.
+
+    `runs` names a column: what stands there is not computed anew for each place. `sizes` has the lengths of the
+    known forms by their first three words (or all words, where there are fewer).
+    """
+    none = F.array().cast("array<string>")
+    if not sizes:
+        return none
+    firsts = sorted({key.split(" ")[0] for key in sizes})
+    by_key = F.create_map(*[F.lit(x) for key, n in sorted(sizes.items()) for x in (key, n)])
+
+    def lengths(at: Column) -> Column:
+        words = F.array_join(F.slice(runs, at + 1, 3), " ")
+        keys = bound(words, lambda w: F.array_distinct(F.array(*[first_words(w, n) for n in (1, 2, 3)])))
+        return F.flatten(F.transform(keys, lambda k: F.coalesce(by_key[k], F.array().cast("array<int>"))))
+
+    def digests(at: Column, known: Column) -> Column:
+        # a run has a letter and a space at least
+        ahead = F.array_join(F.slice(runs, at + 1, F.floor(F.array_max(known) / 2).cast("int") + 1), BREAK)
+        ended = lambda a, n: F.substring(a, n + 1, F.lit(1)).isin(BREAK, "") & (F.char_length(a) >= n)
+        digest = lambda a, n: F.sha2(F.translate(F.substring(a, F.lit(1), n), BREAK, " "), 256)
+        return bound(ahead, lambda a: F.transform(known, lambda n: F.when(ended(a, n), digest(a, n))))
+
+    places = F.filter(
+        F.transform(runs, lambda x, i: F.when(first_words(x, 1).isin(firsts), i)), lambda i: i.isNotNull()
+    )
+    found = F.transform(places, lambda i: bound(lengths(i), lambda known: F.when(F.size(known) > 0, digests(i, known))))
+    return F.coalesce(F.array_distinct(F.array_compact(F.flatten(F.array_compact(found)))), none)
 
 
 def scan(
@@ -167,33 +210,21 @@ def scan(
 
     `key` names a column that tells documents apart; rows with the same key share their notices.
     """
-    if known.limit(MAX_KNOWN + 1).count() > MAX_KNOWN:
-        raise ValueError(f"at most {MAX_KNOWN} known licences")
-    registry = known_forms(known).withColumn("key", first_words(F.col("form"), 3))
-    forms = registry.select("key", F.size(F.split("form", " ")).alias("n")).collect()
-    keys = sorted({r["key"] for r in forms})
-    firsts, longest = sorted({k.split(" ")[0] for k in keys}), max([r["n"] for r in forms], default=1)
+    registry = stash(known_forms(known), "known-licences")
+    sizes: dict[str, list[int]] = {}
+    for r in registry.select(first_words(F.col("form"), 3).alias("key"), F.char_length("form").alias("n")).distinct().collect():
+        sizes.setdefault(r["key"], []).append(r["n"])
     base = docs.select(carried(docs, carry), docs[key].alias("k"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
-    read = base.select(ROW, "k", *[m.alias(f"m{i}") for i, m in enumerate(readings(F.col("t")))])
-    runs = [F.coalesce(starts(F.col(f"m{i}"), firsts, keys, longest), F.array().cast("array<array<string>>")) for i in range(3)]
-    placed = read.select(
-        ROW, "k", *[sha(joined(F.col(f"m{i}"))).alias(f"d{i}") for i in range(3)], F.array_distinct(F.concat(*runs)).alias("runs")
+    cut = readings(base).select(
+        ROW, "k", *[f(F.col(f"m{i}")).alias(f"{x}{i}") for i in range(3) for x, f in (("d", lambda m: sha(joined(m))), ("r", runs_of))]
     )
+    runs = [F.coalesce(starts(F.col(f"r{i}"), sizes), F.array().cast("array<string>")) for i in range(3)]
+    placed = cut.select(ROW, "k", "d0", "d1", "d2", F.array_distinct(F.concat(*runs)).alias("runs"))
     placed = stash(placed, "licences")
-    words = F.array_join("run", " ")
-    ends = F.aggregate(
-        "run",
-        F.struct(F.lit(0).alias("n"), F.lit(False).alias("hit")),
-        lambda acc, x: F.struct(
-            (acc["n"] + F.length(x) + 1).alias("n"), (acc["hit"] | (acc["n"] + F.length(x) == F.col("size"))).alias("hit")
-        ),
-    )["hit"]
     found = (
         placed.where("size(runs) > 0")
-        .select("k", F.explode("runs").alias("run"))
-        .withColumn("key", F.explode(F.array_distinct(F.array(*[first_words(words, n) for n in (1, 2, 3)]))))
-        .join(F.broadcast(registry.select("key", "form", "licence", F.length("form").alias("size"))), "key")
-        .where(words.startswith(F.col("form")) & ends)
+        .select("k", F.explode("runs").alias("digest"))
+        .join(registry.select("digest", "licence"), "digest")
         .groupBy("k")
         .agg(F.sort_array(F.collect_set("licence")).alias("notices"))  # at most one entry per known licence
         .withColumnRenamed("k", "found_k")
@@ -201,7 +232,7 @@ def scan(
     whole = placed.drop("runs")
     for i in range(3):
         names = registry.select(F.col("digest").alias(f"r{i}"), F.col("licence").alias(f"l{i}"))
-        whole = whole.join(F.broadcast(names), F.col(f"d{i}") == F.col(f"r{i}"), "left")
+        whole = whole.join(names, F.col(f"d{i}") == F.col(f"r{i}"), "left")
     return whole.join(found, F.col("k").eqNullSafe(F.col("found_k")), "left").select(
         ROW,
         F.col("d0").alias("text_digest"),
