@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 R = np.uint64(0x9FB21C651E98DF25)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_kept: dict[str, Callable[[], object]] = {}
+
+
+def keeps(name: str, drop: Callable[[], object]) -> None:
+    """The operator `name` keeps tables in a worker process; `drop` lets go of them."""
+    _kept[name] = drop
+
+
+def make_room(name: str) -> None:
+    """At the start of a task: what other operators kept in this worker process goes, and free memory with it."""
+    for other, drop in _kept.items():
+        if other != name:
+            drop()
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
 
 
 def slices(batch: pa.RecordBatch, column: str = "t", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallysieve.llm.arrow import keeps
 from tallysieve.llm.common import ROW, carried
 
 SLICE_BYTES = 8 << 20
@@ -254,14 +255,18 @@ def ranks(path: str) -> Ranks:
         return Ranks(file.read())
 
 
+keeps(__name__, lambda: (classes.cache_clear(), ranks.cache_clear()))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
     """(__row, token_bytes) for every row: ids as little-endian unsigned 32-bit integers; __row holds the columns in `carry`, or all."""
     base = docs.select(carried(docs, carry), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
     schema = base.select(ROW, F.lit(b"").alias("token_bytes")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import slices
+        from tallysieve.llm.arrow import make_room, slices
 
+        make_room(__name__)
         for batch in batches:
             for part in slices(batch, size=SLICE_BYTES):
                 ids, edges = ranks(path).many(part.column("t").to_pylist())
@@ -278,8 +283,9 @@ def decode(rows: DataFrame, path: str, ids: str = "token_bytes", carry: Sequence
     schema = base.select(ROW, F.lit(b"").alias("data")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import slices
+        from tallysieve.llm.arrow import make_room, slices
 
+        make_room(__name__)
         for batch in batches:
             for part in slices(batch, size=SLICE_BYTES):
                 out = [ranks(path).text(np.frombuffer(t.as_buffer(), "<u4")) for t in part.column("t")]

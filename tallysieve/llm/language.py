@@ -30,7 +30,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallysieve.llm.arrow import keeps
 from tallysieve.llm.common import ROW, carried, parts, stash
 
 MARK = "▁"
@@ -58,6 +60,9 @@ def lattice(path: str):
     return Lattice(vocabulary(path), PIECE)
 
 
+keeps(__name__, lambda: (vocabulary.cache_clear(), lattice.cache_clear()))
+
+
 def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of all texts, the word number of each occurrence, and n + 1 offsets of the texts."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
@@ -206,34 +211,40 @@ def expected(words: DataFrame, languages: list[str], table: np.ndarray, path: st
 
 def identify(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
     """(__row, lang_pred, score) for every row."""
+    columns = list(docs.columns if carry is None else carry)
+    # a text that is carried on travels once, beside the other columns
+    whole = text in columns and docs.schema[text].dataType == T.StringType()
+    others = [c for c in columns if c != text] if whole else columns
     source = docs[text].cast("string")
-    has_letter = F.coalesce(source.rlike(LETTER), F.lit(False))
-    base = docs.select(carried(docs, carry), F.when(has_letter, source).alias("t"))
-    schema = base.select(ROW, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    base = docs.select(carried(docs, others), source.alias("t"), F.coalesce(source.rlike(LETTER), F.lit(False)).alias("letters"))
+    schema = base.select(ROW, "t", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     languages, table, path = model.languages, model.table, model.path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import WIDE, slices
+        from tallysieve.llm.arrow import WIDE, make_room, slices
 
+        make_room(__name__)
         names = np.array([*languages, UNKNOWN], object)
         for batch in batches:
             for part in slices(batch, size=WIDE):
                 n = part.num_rows
-                missing = part.column("t").is_null().to_numpy(zero_copy_only=False)
+                missing = ~part.column("letters").to_numpy(zero_copy_only=False)
+                texts = pc.if_else(part.column("letters"), part.column("t"), pa.scalar(None, pa.string()))
                 best, score = np.full(n, len(languages)), np.zeros(n)
                 if languages:
-                    words, at, offsets = words_in(part.column("t"))
+                    words, at, offsets = words_in(texts)
                     scores = word_scores(words.to_pylist(), table, path)
                     owner = np.repeat(np.arange(n), np.diff(offsets))
                     sums = np.stack([np.bincount(owner, scores[at, k], n) for k in range(len(languages))], 1)
                     best = np.where(missing, len(languages), sums.argmax(1))
                     score = 1 / np.exp(sums - sums.max(1)[:, None]).sum(1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(ROW), pa.array(names[best], pa.string()), pa.array(np.where(missing, 0.0, score), pa.float64())],
-                    names=[ROW, "lang_pred", "score"],
+                    [part.column(ROW), part.column("t") if whole else pa.nulls(n, pa.string()), pa.array(names[best], pa.string()), pa.array(np.where(missing, 0.0, score), pa.float64())],
+                    names=schema.names,
                 )
 
-    return base.mapInArrow(run, schema)
+    row = F.struct(*[(F.col("t") if whole and c == text else F.col(f"{ROW}.`{c}`")).alias(c) for c in columns]).alias(ROW)
+    return base.mapInArrow(run, schema).select(row, "lang_pred", "score")
 
 
 def held_out(key: Column) -> Column:

@@ -8,19 +8,24 @@ word sequence if it has fewer. Documents are linked if 100 * intersection >= sim
    smallest number goes on.
 2. Classes that share a band key form a bucket; buckets with the same members count once. A pair at
    the threshold shares none of 28 bands with probability 1.5e-5, closer pairs less.
-3. Buckets are cut into tiles of bounded size. Members carry their set and an odd sketch: 512
-   MinHash samples, folded into a bitmap of 2,048 parities. In a tile, the population count of the
-   XOR of two bitmaps estimates the similarity (deviation about 0.02 at 0.8); pairs estimated below the
-   threshold by more than MARGIN are left out, others confirmed on full sets, best first,
-   unless they are connected already. A tile gives one row per member at most.
+3. Members meet in tiles of bounded size. They carry their set and an odd sketch: 512 MinHash samples, folded
+   into a bitmap of 2,048 parities. In a tile, the population count of the XOR of two bitmaps
+   estimates the similarity (deviation about 0.02 at 0.8); pairs estimated below the threshold by more than
+   MARGIN are left out, others confirmed on full sets, best first, unless they are connected
+   already. A tile gives one row per member at most.
+   First round: a bucket of up to BLOCK members is one tile; a larger one is dealt into blocks, MIXES times
+   in different ways, so that a large group of near copies is connected by rows that grow with it.
+   Second round: only buckets that still hold several components. Their blocks hold one component each
+   (small components share blocks), and any two blocks of different components make a tile. A group that is one
+   component meets the others of its bucket, not itself.
 4. Components of these links; classes hand their component to all members.
 
 No pair list is built, nothing is capped, and no group meets in one task: exact copies are combined
 before the shuffle, near copies meet in tiles.
 
 Defined cases: null and empty texts, and those of white space, have an empty set and are linked
-with nothing; a null key is linked with nothing; rows with the same key are one node and give one
-row each; an empty table gives an empty table; other columns play no part.
+with nothing; a null key is linked with nothing; rows with the same key are one node, which has the links of all
+its texts, and give one row each; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations
@@ -34,12 +39,12 @@ from pyspark.sql import functions as F
 
 from tallysieve.llm.common import ROW, carried, stash
 from tallysieve.llm.graph import components
-from tallysieve.llm.tiles import Forest, by_tile, groups, tile_lists
+from tallysieve.llm.tiles import Forest, by_tile, groups, mixed_lists, unsettled_lists
 
 WORDS, SIMILARITY = 5, 80
 BANDS, ROWS = 28, 5
 SAMPLES, BITS, MARGIN = 512, 2048, 0.1
-BLOCK = 128
+BLOCK, MIXES = 128, 3
 CHUNK = 4096
 SEED = 20_240_613
 
@@ -112,8 +117,9 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     schema = "id long, n_shingles long, x long, y long, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import mix, slices
+        from tallysieve.llm.arrow import make_room, mix, slices
 
+        make_room(__name__)
         for batch in batches:
             for part in slices(batch):
                 x, y, bands = [], [], []
@@ -140,30 +146,41 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, lists: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, i, j, id, sketch, members): a row for each tile of each listed document."""
+    """(key, i, j, id, part, sketch, members): a row for each tile of each listed document; `part` is what it belongs to so far."""
     texts = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("t"))
     # the lists grow with the corpus: never broadcast, at any size
-    base = texts.join(lists.hint("merge"), "id").select("id", "t", "tiles.key", "tiles.i", "tiles.j")
-    schema = "key long, i int, j int, id long, sketch binary, members binary"
+    base = texts.join(lists.hint("merge"), "id").select("id", "t", "part", "tiles.key", "tiles.i", "tiles.j")
+    schema = "key long, i long, j long, id long, part long, sketch binary, members binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import slices
+        from tallysieve.llm.arrow import make_room, slices
 
+        make_room(__name__)
         for batch in batches:
-            for part in slices(batch):
-                for at, s in enumerate(shingle_sets(part.column("t"), words)):
+            for piece in slices(batch):
+                seen = set()
+                ids, parts_ = piece.column("id").to_pylist(), piece.column("part").to_pylist()
+                for at, s in enumerate(shingle_sets(piece.column("t"), words)):
+                    packed = to_bytes(s)
+                    if not len(s) or (ids[at], packed) in seen:
+                        continue  # repeated rows
+                    seen.add((ids[at], packed))
                     sketch = odd_sketch(min_hashes(s, SAMPLES)).tobytes()
-                    tiles = [part.column(c)[at].values for c in ("key", "i", "j")]
-                    n = len(tiles[0])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *tiles,
-                            pa.array([part.column("id")[at].as_py()] * n, pa.int64()),
-                            pa.array([sketch] * n, pa.binary()),
-                            pa.array([to_bytes(s)] * n, pa.binary()),
-                        ],
-                        names=["key", "i", "j", "id", "sketch", "members"],
-                    )
+                    tiles = [piece.column(c)[at].values for c in ("key", "i", "j")]
+                    step = max(1, (8 << 20) // len(packed))  # a large set goes out in several batches
+                    for a in range(0, len(tiles[0]), step):
+                        some = [t.slice(a, step) for t in tiles]
+                        n = len(some[0])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                *some,
+                                pa.array([ids[at]] * n, pa.int64()),
+                                pa.array([parts_[at]] * n, pa.int64()),
+                                pa.array([sketch] * n, pa.binary()),
+                                pa.array([packed] * n, pa.binary()),
+                            ],
+                            names=["key", "i", "j", "id", "part", "sketch", "members"],
+                        )
 
     return base.mapInArrow(run, schema)
 
@@ -187,14 +204,19 @@ def confirm(rows: DataFrame, similarity: int) -> DataFrame:
 
 
 def tile_links(tile: pa.Table, similarity: int) -> list[tuple[int, int]]:
-    ids = tile.column("id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    order = order[np.concatenate([[True], np.diff(ids[order]) > 0])]  # a repeated document once
-    ids, n = ids[order].tolist(), len(order)
+    ids, parts_ = tile.column("id").to_numpy(), tile.column("part").to_numpy()
+    members, sketches = tile.column("members"), tile.column("sketch")
+    rows, seen = [], set()
+    for r in np.argsort(ids, kind="stable").tolist():  # a repeated row once, a key's different texts each
+        mark = (ids[r], members[r].as_buffer().to_pybytes())
+        if mark not in seen:
+            seen.add(mark)
+            rows.append(r)
+    n = len(rows)
     if n < 2:
         return []
-    rows = order.tolist()
-    sketches, members = tile.column("sketch"), tile.column("members")
+    seen.clear()
+    ids, parts_ = ids[rows].tolist(), parts_[rows].tolist()
     sets = [from_bytes(members[r].as_buffer()) for r in rows]
     packed = np.stack([np.frombuffer(sketches[r].as_buffer(), np.uint8) for r in rows])
     signs = 1 - 2 * np.unpackbits(packed, axis=1).astype(np.float32)
@@ -203,7 +225,10 @@ def tile_links(tile: pa.Table, similarity: int) -> list[tuple[int, int]]:
     fits = 100 * np.minimum.outer(sizes, sizes) >= similarity * np.maximum.outer(sizes, sizes)
     a, b = np.nonzero(np.triu(fits & (guess >= similarity / 100 - MARGIN), 1))
     best = np.argsort(-guess[a, b], kind="stable")
-    forest = Forest(n)
+    forest, first = Forest(n), {}
+    for i in range(n):  # connected from the start: one key, one part
+        forest.join(i, first.setdefault(("key", ids[i]), i))
+        forest.join(i, first.setdefault(("part", parts_[i]), i))
     for i, j in zip(a[best].tolist(), b[best].tolist()):
         if forest.root(i) != forest.root(j):
             both = np.concatenate([sets[i], sets[j]])
@@ -211,7 +236,8 @@ def tile_links(tile: pa.Table, similarity: int) -> list[tuple[int, int]]:
             shared = int((both[1:] == both[:-1]).sum())
             if 100 * shared >= similarity * (len(both) - shared):
                 forest.join(i, j)
-    return [(ids[i], ids[forest.root(i)]) for i in range(n) if forest.root(i) != i]
+    tops = [parts_[forest.root(i)] for i in range(n)]
+    return list({(part, top) for part, top in zip(parts_, tops) if part != top})
 
 
 def near_duplicates(
@@ -227,9 +253,15 @@ def near_duplicates(
     )
     classes = stash(classes, "classes")
     members = classes.select(F.explode("bands").alias("key"), "id").distinct()
-    lists = stash(tile_lists(members, BLOCK, same_once=True), "tile-lists")
-    links = confirm(with_sets(docs, lists, key, text, words), similarity)
+    members, sizes, lists = mixed_lists(members, BLOCK, MIXES)
+    links = stash(confirm(with_sets(docs, stash(lists, "tile-lists"), key, text, words), similarity), "links")
     linked = components(links)
+    lists = stash(unsettled_lists(members, sizes, linked, BLOCK), "open-lists")
+    if not lists.limit(1).isEmpty():
+        # few documents: they are picked before their texts move
+        some = docs.join(lists.select(F.col("id").alias("__open")).distinct(), docs[key].cast("long") == F.col("__open"), "left_semi")
+        more = confirm(with_sets(some, lists, key, text, words), similarity)
+        linked = components(links.unionByName(more))
     placed = classes.select("x", "y", "n_shingles", F.col("id").alias("node")).join(linked, "node", "left")
     placed = placed.select("x", "y", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component"))
     same = (F.col("s.x") == F.col("p.x")) & (F.col("s.y") == F.col("p.y")) & (F.col("s.n_shingles") == F.col("p.n"))

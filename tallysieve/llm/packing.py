@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallysieve.llm.arrow import keeps
 from tallysieve.llm.common import ROW, carried, parts
 
 WINDOW, END_ID = 1024, 0
@@ -59,6 +60,7 @@ class Encoder:
 
 
 _encoders: dict[tuple, Encoder] = {}
+keeps(__name__, _encoders.clear)
 
 
 def encoder(*args: str) -> Encoder:
@@ -86,8 +88,9 @@ def cut_documents(
     ).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import slices
+        from tallysieve.llm.arrow import make_room, slices
 
+        make_room(__name__)
         step, end = 4 * window, np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):

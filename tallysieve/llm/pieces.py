@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallysieve.llm.arrow import keeps
 from tallysieve.llm.common import ROW, carried
 
 MARK = "▁"
@@ -295,6 +296,7 @@ class Pieces:
 
 
 _loaded: dict[str, Pieces] = {}
+keeps(__name__, _loaded.clear)
 
 
 def pieces(path: str) -> Pieces:
@@ -316,8 +318,9 @@ def encode(
     schema = base.select(ROW, F.lit(b"").alias("token_bytes"), *more).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import slices
+        from tallysieve.llm.arrow import make_room, slices
 
+        make_room(__name__)
         for batch in batches:
             for part in slices(batch, size=SLICE_BYTES):
                 texts = part.column("t").to_pylist()

@@ -20,8 +20,8 @@ stays, longer repeats fall as a whole, up to the last word that matches.
 No suffix or passage group is collected; a task holds a batch. Passages are compared by 64-bit hashes.
 
 Defined cases: null and empty texts and those shorter than `length` words have no repeats;
-a null key is left alone; rows with the same key are taken for repeated rows of one document and
-share its spans; an empty table gives an empty table; columns are carried on, whatever their names.
+a null key is left alone; rows with the same key and the same words are repeated rows of one document and
+share its spans, rows with the same key and other words are documents of their own; an empty table gives an empty table; columns are carried on, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,14 +60,24 @@ def _word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
         yield hashes[a:b]
 
 
+def digests(words: np.ndarray) -> tuple[int, int]:
+    """128 bits for a sequence of words."""
+    from tallysieve.llm.arrow import mix, window_hashes
+
+    n = len(words)
+    x = int(window_hashes(words, n)[0].view(np.int64)) if n else 0
+    return x, int(mix(words + mix(np.arange(n, dtype=np.uint64))).sum(dtype=np.uint64).view(np.int64))
+
+
 def suffixes(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """(id, n_words, x, y, keys, places) per row: digest of the word sequence, and the retained suffixes."""
     base = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("t"))
     schema = "id long, n_words long, x long, y long, keys array<long>, places array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import mix, slices, window_hashes
+        from tallysieve.llm.arrow import make_room, slices
 
+        make_room(__name__)
         for batch in batches:
             for part in slices(batch):
                 out: list[list] = [[] for _ in range(5)]
@@ -75,9 +85,7 @@ def suffixes(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
                     n = len(words)
                     prefixes, chosen = minimisers(words, length)
                     chosen = np.unique(chosen)
-                    x = int(window_hashes(words, n)[0].view(np.int64)) if n else 0
-                    y = int(mix(words + mix(np.arange(n, dtype=np.uint64))).sum(dtype=np.uint64).view(np.int64))
-                    for column, value in zip(out, (n, x, y, prefixes[chosen].view(np.int64), chosen.astype(np.int32))):
+                    for column, value in zip(out, (n, *digests(words), prefixes[chosen].view(np.int64), chosen.astype(np.int32))):
                         column.append(value)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
@@ -94,7 +102,7 @@ def sorted_rows(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def shared_suffixes(found: DataFrame) -> DataFrame:
-    """(id, place): suffixes with the prefix of a neighbour in sorted order; those at a range's border count as well."""
+    """(id, x, place): suffixes with the prefix of a neighbour in sorted order; those at a range's border count as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row waits for its neighbour
@@ -110,38 +118,42 @@ def shared_suffixes(found: DataFrame) -> DataFrame:
             take = same.copy()
             take[1:] |= same[:-1]
             take[0] |= before is None or before == keys[0]
-            yield batch.slice(0, len(keys) - 1).filter(pa.array(take)).select(["id", "place"])
+            yield batch.slice(0, len(keys) - 1).filter(pa.array(take)).select(["id", "x", "place"])
             held, before = batch.slice(len(keys) - 1), keys[-2]
         if held is not None and held.num_rows:
-            yield held.select(["id", "place"])
+            yield held.select(["id", "x", "place"])
 
-    return sorted_rows(found, "key", "id", "place").mapInArrow(run, "id long, place int")
+    return sorted_rows(found, "key", "id", "x", "place").mapInArrow(run, "id long, x long, place int")
 
 
 def passages(docs: DataFrame, lists: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """(hash, id, start): passages whose smallest position is listed for their document."""
+    """(hash, id, x, start): passages whose smallest position is listed for their document."""
     texts = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("t"))
     # the lists grow with the corpus: never broadcast, at any size
-    base = texts.join(lists.hint("merge"), "id").select("id", "t", "places")
+    base = texts.join(lists.hint("merge"), "id").select("id", "x", "t", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import slices, window_hashes
+        from tallysieve.llm.arrow import make_room, slices, window_hashes
 
+        make_room(__name__)
         for batch in batches:
             for part in slices(batch):
-                hashes, ids, starts = [], [], []
-                lists_ = part.column("places")
+                hashes, ids, starts, digest = ([np.zeros(0, d)] for d in (np.int64, np.int64, np.int32, np.int64))
+                lists_, own = part.column("places"), part.column("x").to_pylist()
                 for at, words in enumerate(_word_hashes(part.column("t"))):
+                    if digests(words)[0] != own[at]:
+                        continue  # another text with the same key
                     listed = lists_[at].values.to_numpy(zero_copy_only=False)
                     start = np.flatnonzero(np.isin(minimisers(words, length)[1], listed))
                     hashes.append(window_hashes(words, length)[start].view(np.int64))
                     ids.append(np.full(len(start), part.column("id")[at].as_py(), np.int64))
+                    digest.append(np.full(len(start), own[at], np.int64))
                     starts.append(start.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in (hashes, ids, starts)], names=["hash", "id", "start"]
+                    [pa.array(np.concatenate(c)) for c in (hashes, ids, digest, starts)], names=["hash", "id", "x", "start"]
                 )
 
-    return base.mapInArrow(run, "hash long, id long, start int")
+    return base.mapInArrow(run, "hash long, id long, x long, start int")
 
 
 SURE, OPEN, BORDER = 0, 1, 2
@@ -150,74 +162,79 @@ SURE, OPEN, BORDER = 0, 1, 2
 def compared(rows: DataFrame, length: int) -> DataFrame:
     """Each passage beside the first of its run, in sorted order within a range.
 
-    kind SURE: (id, start) with the first (seen_id, seen_start) of its hash. kind OPEN: the same for a range's
+    kind SURE: (id, x, start) with the first (seen_id, seen_x, seen_start) of its hash. kind OPEN: the same for a range's
     first run, which may have begun in an earlier range. kind BORDER: the first of a range's last run.
     First occurrences themselves, and passages that overlap theirs, are given for OPEN only.
     """
-    schema = "kind int, part int, hash long, id long, start int, seen_id long, seen_start int"
+    schema = "kind int, part int, hash long, id long, x long, start int, seen_id long, seen_x long, seen_start int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        opening = last = None  # hash of the first run; (hash, id, start) of the current run's first
+        opening = last = None  # hash of the first run; (hash, id, x, start) of the current run's first
 
-        def give(kind, keep, hashes, ids, starts, seen_ids, seen_starts):
+        def give(kind, keep, *values):
             n = int(keep.sum())
-            columns = [np.full(n, kind, np.int32), np.full(n, part, np.int32)]
-            columns += [c[keep] for c in (hashes, ids, starts, seen_ids, seen_starts)]
+            columns = [np.full(n, kind, np.int32), np.full(n, part, np.int32), *[c[keep] for c in values]]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in schema.split(", ")])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            hashes, ids, starts = (batch.column(c).to_numpy() for c in ("hash", "id", "start"))
+            hashes, *spots = (batch.column(c).to_numpy() for c in ("hash", "id", "x", "start"))
             if opening is None:
                 opening = hashes[0]
             new = np.concatenate([[last is None or last[0] != hashes[0]], hashes[1:] != hashes[:-1]])
             run_no = np.cumsum(new)  # 0 for rows that go on with the run of the batch before
             heads = np.flatnonzero(new)
-            first_ids = np.concatenate([[last[1] if last else 0], ids[heads]])
-            first_starts = np.concatenate([[last[2] if last else 0], starts[heads]]).astype(np.int32)
-            seen_ids, seen_starts = first_ids[run_no], first_starts[run_no]
-            last = (hashes[-1], seen_ids[-1], seen_starts[-1])
+            seen = [
+                np.concatenate([np.array([last[k + 1] if last else 0], v.dtype), v[heads]])[run_no] for k, v in enumerate(spots)
+            ]
+            last = (hashes[-1], *[v[-1] for v in seen])
             in_first = hashes == opening
-            yield give(OPEN, in_first, hashes, ids, starts, seen_ids, seen_starts)
-            later = (ids != seen_ids) | (starts - seen_starts >= length)
-            yield give(SURE, later & ~in_first, hashes, ids, starts, seen_ids, seen_starts)
+            yield give(OPEN, in_first, hashes, *spots, *seen)
+            yield give(SURE, _later(spots, seen, length) & ~in_first, hashes, *spots, *seen)
         if last is not None:
-            row = [np.array([v], d) for v, d in zip((*last, last[1], last[2]), (np.int64, np.int64, np.int32, np.int64, np.int32))]
-            yield give(BORDER, np.ones(1, bool), *row)
+            kinds = (np.int64, np.int64, np.int64, np.int32)
+            row = [np.array([v], d) for v, d in zip(last, kinds)]
+            yield give(BORDER, np.ones(1, bool), *row, *row[1:])
 
-    return sorted_rows(rows, "hash", "id", "start").mapInArrow(run, schema)
+    return sorted_rows(rows, "hash", "id", "x", "start").mapInArrow(run, schema)
+
+
+def _later(spots: list[np.ndarray], seen: list[np.ndarray], length: int) -> np.ndarray:
+    """Passages in another document than the first of their run, or beyond its end."""
+    return (spots[0] != seen[0]) | (spots[1] != seen[1]) | (spots[2] - seen[2] >= length)
 
 
 def repeated_passages(rows: DataFrame, length: int) -> DataFrame:
-    """(id, start, seen_id) of every passage whose first occurrence is another one and doesn't overlap it."""
+    """(id, x, start, seen_id) of every passage whose first occurrence is another one and doesn't overlap it."""
     rows = stash(compared(rows, length), "passages")
     # one row per range at most: (hash, range, first), the earliest range of each hash
-    border: dict[int, tuple[int, int, int]] = {}
-    for r in rows.where(F.col("kind") == BORDER).select("hash", "part", "seen_id", "seen_start").collect():
+    border: dict[int, tuple[int, int, int, int]] = {}
+    for r in rows.where(F.col("kind") == BORDER).select("hash", "part", "seen_id", "seen_x", "seen_start").collect():
         border[r[0]] = min(border.get(r[0], tuple(r[1:])), tuple(r[1:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, part, hashes, ids, starts, seen_ids, seen_starts = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            seen_ids, seen_starts, keep = seen_ids.copy(), seen_starts.copy(), kind == SURE
+            kind, part, hashes, *values = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            spots, seen, keep = values[:3], [v.copy() for v in values[3:]], kind == SURE
             opened = kind == OPEN
             for h in np.unique(hashes[opened]).tolist():  # one per range
                 if h in border:
                     mine = opened & (hashes == h) & (part > border[h][0])
-                    seen_ids[mine], seen_starts[mine] = border[h][1:]
-            keep |= opened & ((ids != seen_ids) | (starts - seen_starts >= length))
-            columns = [pa.array(c[keep]) for c in (ids, starts, seen_ids)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "seen_id"])
+                    for v, first in zip(seen, border[h][1:]):
+                        v[mine] = first
+            keep |= opened & _later(spots, seen, length)
+            columns = [pa.array(c[keep]) for c in (*spots, seen[0])]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "x", "start", "seen_id"])
 
-    return rows.mapInArrow(run, "id long, start int, seen_id long")
+    return rows.mapInArrow(run, "id long, x long, start int, seen_id long")
 
 
 def merged(found: DataFrame, length: int) -> DataFrame:
-    """(id, spans): spans (start, n_words, seen_id) of words covered by passages, in order; a list per document."""
+    """(id, x, spans): spans (start, n_words, seen_id) of words covered by passages, in order; a list per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,17 +252,20 @@ def merged(found: DataFrame, length: int) -> DataFrame:
                     ]
                 )
             kind = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("seen_id", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, kind)], names=["id", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), pa.array(out, kind)], names=["id", "x", "spans"])
 
-    lists = found.groupBy("id").agg(
+    lists = found.groupBy("id", "x").agg(
         F.collect_list(F.struct("start", "seen_id")).alias("l")  # no more than the document has words
     )
-    lists = lists.select("id", F.col("l.start").alias("starts"), F.col("l.seen_id").alias("seen"))
-    return lists.mapInArrow(run, "id long, spans array<struct<start:long,n_words:long,seen_id:long>>")
+    lists = lists.select("id", "x", F.col("l.start").alias("starts"), F.col("l.seen_id").alias("seen"))
+    return lists.mapInArrow(run, "id long, x long, spans array<struct<start:long,n_words:long,seen_id:long>>")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, spans) of the documents that repeat passages: spans (start, n_words, seen_id), counted in words from 0."""
+    """(id, x, spans) of the documents that repeat passages: spans (start, n_words, seen_id), counted in words from 0.
+
+    x is a digest of the document's words, which tells texts with the same key apart.
+    """
     if length <= PREFIX:
         raise ValueError(f"passages have more than {PREFIX} words")
     cut = stash(suffixes(docs, key, text, length).where("id is not null"), "suffixes")
@@ -253,14 +273,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     classes = long.groupBy("x", "y", "n_words").agg(F.min("id").alias("first"))
     same = long.select("id", "x", "y", "n_words").join(classes, ["x", "y", "n_words"]).where("id <> first")
     whole = same.select(
-        "id", F.array(F.struct(F.lit(0).cast("long").alias("start"), "n_words", F.col("first").alias("seen_id"))).alias("spans")
+        "id", "x", F.array(F.struct(F.lit(0).cast("long").alias("start"), "n_words", F.col("first").alias("seen_id"))).alias("spans")
     ).distinct()
     # of a class only the first goes on; of repeated rows, one
-    chosen = long.join(classes.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
-    chosen = chosen.select("id", F.explode(F.arrays_zip("keys", "places")).alias("s"))
-    found = chosen.select(F.col("s.keys").alias("key"), "id", F.col("s.places").alias("place"))
+    chosen = long.join(classes.select(F.col("first").alias("id"), "x", "y", "n_words"), ["id", "x", "y", "n_words"], "left_semi")
+    chosen = chosen.select("id", "x", F.explode(F.arrays_zip("keys", "places")).alias("s"))
+    found = chosen.select(F.col("s.keys").alias("key"), "id", "x", F.col("s.places").alias("place"))
     shared = shared_suffixes(found)
-    lists = shared.groupBy("id").agg(F.collect_set("place").alias("places"))
+    lists = shared.groupBy("id", "x").agg(F.collect_set("place").alias("places"))
     rows = passages(docs, lists, key, text, length)
     rows = stash(rows, "extended")
     return merged(repeated_passages(rows, length), length).unionByName(whole)
@@ -268,29 +288,45 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """The documents with repeated passages cut out of their text; all columns and rows stay."""
-    spans = stash(repeated_spans(docs, key, text, length), "spans")
-    rows = docs.select(carried(docs), docs[key].cast("long").alias("id"), docs[text].cast("string").alias("t"))
+    spans = repeated_spans(docs, key, text, length)
+    # a key has an entry for each of its different texts
+    spans = stash(spans.groupBy("id").agg(F.collect_list(F.struct("x", "spans")).alias("found")), "spans")
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(carried(docs, others), docs[key].cast("long").alias("id"), docs[text].cast("string").alias("t"))
     joined = rows.join(spans.withColumnRenamed("id", "found_id"), F.col("id") == F.col("found_id"), "left")
-    base = joined.select(ROW, "t", "spans")
+    base = joined.select(ROW, "t", "found")
     schema = base.select(ROW, F.col("t").alias("cut")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import bytes_of, words_of
+        from tallysieve.llm.arrow import make_room, slices
 
+        make_room(__name__)
         for batch in batches:
-            texts, spans_ = batch.column("t"), batch.column("spans")
-            changed = np.flatnonzero(~spans_.is_null().to_numpy(zero_copy_only=False))
-            out = texts.to_pylist()
-            for at in changed.tolist():
-                data, offsets = bytes_of(texts.slice(at, 1))
-                starts = np.append(words_of(data, offsets)[0], len(data))
-                body, left, kept = data.tobytes(), 0, []
-                for span in spans_[at].as_py():
-                    a, b = span["start"], span["start"] + span["n_words"]
-                    kept.append(body[left : starts[min(a, len(starts) - 1)]])
-                    left = starts[min(b, len(starts) - 1)]
-                out[at] = b"".join([*kept, body[left:]]).decode()
-            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(out, texts.type)], names=[ROW, "cut"])
+            for part in slices(batch):
+                texts, found = part.column("t"), part.column("found")
+                changed = np.flatnonzero(~found.is_null().to_numpy(zero_copy_only=False)).tolist()
+                if changed:
+                    out = texts.to_pylist()
+                    for at in changed:
+                        out[at] = _cut(texts.slice(at, 1), {f["x"]: f["spans"] for f in found[at].as_py()})
+                    texts = pa.array(out, texts.type)
+                yield pa.RecordBatch.from_arrays([part.column(ROW), texts], names=[ROW, "cut"])
 
     done = base.mapInArrow(run, schema)
     return done.select(*[F.col("cut").alias(c) if c == text else F.col(f"{ROW}.`{c}`") for c in docs.columns])
+
+
+def _cut(text: pa.Array, spans: dict[int, list[dict]]) -> str:
+    """The text without the spans that are listed for its digest."""
+    from tallysieve.llm.arrow import bytes_of, hash_words, words_of
+
+    data, offsets = bytes_of(text)
+    starts, ends, _ = words_of(data, offsets)
+    mine = spans.get(digests(hash_words(data, starts, ends))[0], ())
+    starts = np.append(starts, len(data))
+    body, left, kept = data.tobytes(), 0, []
+    for span in mine:
+        a, b = span["start"], span["start"] + span["n_words"]
+        kept.append(body[left : starts[min(a, len(starts) - 1)]])
+        left = starts[min(b, len(starts) - 1)]
+    return b"".join([*kept, body[left:]]).decode()

@@ -208,8 +208,9 @@ def periodic_runs(
     kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import bytes_of, hash_words, slices, words_of
+        from tallysieve.llm.arrow import bytes_of, hash_words, make_room, slices, words_of
 
+        make_room(__name__)
         for batch in batches:
             for part in slices(batch, size=SLICE_BYTES):
                 data, at = bytes_of(part.column("t"))

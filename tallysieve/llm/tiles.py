@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysieve.llm.common import parts
+from tallysieve.llm.common import parts, stash
 
 
 def tile_lists(members: DataFrame, block: int, same_once: bool, home: Column | None = None) -> DataFrame:
@@ -56,6 +56,76 @@ def tile_lists(members: DataFrame, block: int, same_once: bool, home: Column | N
     )
 
 
+def bucket_sizes(members: DataFrame) -> DataFrame:
+    """(key, n) of the buckets (key, id) with several members; of those with the same members (by a 128-bit digest), one."""
+    sizes = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("id")).alias("x"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
+    )
+    return sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+
+
+def mixed_lists(members: DataFrame, block: int, mixes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members of buckets with several, sizes, lists): `lists` has (id, part, tiles), a tile (key, i, j) for a small bucket and
+    `mixes` of them, in blocks dealt in different ways, for one beyond `block` members. The rows grow with the members."""
+    sizes = stash(bucket_sizes(members), "buckets")
+    # the buckets grow with the corpus: never broadcast, at any size
+    kept = stash(members.join(sizes.hint("merge"), "key"), "bucket-members")
+    blocks = F.ceil(F.col("n") / F.lit(block))
+    mix = lambda k: F.struct("key", k.cast("long").alias("i"), F.pmod(F.xxhash64("id", "key", k), blocks).alias("j"))
+    several = F.transform(F.array(*[F.lit(k) for k in range(mixes)]), mix)
+    one = F.array(F.struct("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    tiles = kept.select("id", F.when(F.col("n") > block, several).otherwise(one).alias("tiles"))
+    lists = tiles.groupBy("id").agg(F.flatten(F.collect_list("tiles")).alias("tiles"))
+    return kept, sizes, lists.select("id", F.col("id").alias("part"), "tiles")
+
+
+def unsettled_lists(members: DataFrame, sizes: DataFrame, linked: DataFrame, block: int) -> DataFrame:
+    """(id, part, tiles) for the buckets beyond `block` members that hold several components of `linked` (node, component).
+
+    A component of `block` members or more has blocks of its own, the others share blocks. Each pair of blocks is
+    a tile, but for two of the same component.
+    """
+    # the links grow with the corpus: never broadcast, at any size
+    known = members.where(F.col("n") > block).join(linked.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
+    known = stash(known.select("key", "id", F.coalesce("component", "id").alias("part")), "bucket-parts")
+    counts = known.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
+    own = F.when(F.col("m") >= block, F.col("part"))
+    open_ = counts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("parts"),
+        # a bucket of n members has n / block of these at most
+        F.collect_list(F.when(F.col("m") >= block, F.struct("part", F.ceil(F.col("m") / block).alias("blocks")))).alias("large"),
+        F.sum(F.when(F.col("m") < block, F.col("m")).otherwise(0)).alias("rest"),
+    )
+    open_ = open_.where("parts > 1").drop("parts")
+    mine = known.join(counts.select("key", "part", own.alias("own"), "m").hint("merge"), ["key", "part"])
+    mine = mine.join(open_.hint("merge"), "key")
+    shared = F.ceil(F.col("rest") / block)
+    number = F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("m") / block))).otherwise(
+        F.pmod(F.xxhash64("part", "key"), shared)
+    )
+    name = lambda part, k: F.xxhash64(F.coalesce(part, F.lit(-1).cast("long")), part.isNull(), k.cast("long"))
+    others = F.flatten(
+        F.transform(
+            F.filter("large", lambda x: F.col("own").isNull() | (x["part"] != F.col("own"))),
+            lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["blocks"] - 1), lambda k: name(x["part"], k)),
+        )
+    )
+    small = F.when(
+        F.col("rest") > 0, F.transform(F.sequence(F.lit(0).cast("long"), shared - 1), lambda k: name(F.lit(None).cast("long"), k))
+    ).otherwise(F.array().cast("array<long>"))
+    listed = mine.select("key", "id", "part", name(F.col("own"), number).alias("mine"), F.concat(others, small).alias("others"))
+    tiles = F.transform(
+        "others", lambda x: F.struct("key", F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j"))
+    )
+    return (
+        listed.select("id", "part", tiles.alias("tiles"))
+        .groupBy("id", "part")
+        .agg(F.flatten(F.collect_list("tiles")).alias("tiles"))
+    )
+
+
 def by_tile(rows: DataFrame) -> DataFrame:
     """Rows (key, i, j, ...) dealt and sorted by tile."""
     return rows.repartition(parts(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallysieve.llm.arrow import keeps
 from tallysieve.llm.common import ROW, carried
 
 SPACE = "▁"  # how the library writes a space; the character itself means one, too
@@ -90,6 +91,7 @@ def _whole(data: bytes, at: int) -> int:
 
 
 _counters: dict[str, Counter] = {}
+keeps(__name__, _counters.clear)
 
 
 def counter(path: str) -> Counter:
@@ -105,8 +107,9 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", carry: Sequence
     schema = base.select(ROW, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import bytes_of, slices
+        from tallysieve.llm.arrow import bytes_of, make_room, slices
 
+        make_room(__name__)
         for batch in batches:
             for part in slices(batch):
                 sizes = np.diff(bytes_of(part.column("t"))[1])

@@ -51,8 +51,9 @@ def count_words(docs: DataFrame, key: str, text: str, change: Change | None = No
     base = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tallysieve.llm.arrow import slices
+        from tallysieve.llm.arrow import make_room, slices
 
+        make_room(__name__)
         find = re.compile(f"[{LETTERS}]+").findall
         held: Counter[bytes] = Counter()
 

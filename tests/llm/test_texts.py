@@ -128,6 +128,39 @@ def test_odd_sketch_estimates_high_similarity():
         assert abs(near.estimate(np.array((a != b).sum())) - share) < 0.08
 
 
+def test_texts_with_one_key_keep_their_links_and_words(spark):
+    draw = random.Random(11)
+    new = lambda n: [f"w{draw.randrange(1 << 30)}" for _ in range(n)]
+    p, x, y, z, other = new(80), new(200), new(150), new(120), new(400)
+    near_x = x[:195] + new(5)
+    rows = [(1, p + x), (2, y + p + z), (2, other), (3, other[:395] + new(5)), (4, p[:3] + y + p + z)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    cut = sorted((r["doc_id"], len(WORD.findall(r["text"]))) for r in repeats.without_repeats(docs).where("doc_id < 3").collect())
+    assert cut == [(1, 280), (2, 270), (2, 400)]
+    got = {(r["id"], r["component_id"]) for r in near.near_duplicates(docs).collect()}
+    assert got == {(1, 1), (2, 2), (3, 2), (4, 2)} and near_x
+
+
+@pytest.mark.parametrize("block", [2, 4, 64])
+def test_unsettled_buckets_meet_again(spark, monkeypatch, block):
+    """Chains of likeness over blocks, and groups that share bands without a link."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "MIXES", 1)
+    draw = random.Random(block)
+    new = lambda n: [f"w{draw.randrange(1 << 30)}" for _ in range(n)]
+    texts, base = [], new(120)
+    for g in range(4):
+        start = base[:105] + new(15) if g else base
+        for _ in range(25):
+            copy = list(start)
+            copy[draw.randrange(120)] = new(1)[0]
+            texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["component_id"] for r in near.near_duplicates(docs, words=2).collect()}
+    assert got == components({i: shingles(t, 2) for i, t in rows}, 80)
+
+
 def removed_words(texts, length):
     first, gone = {}, {}
     for i in sorted(texts):
@@ -396,6 +429,15 @@ def test_licences_of_any_raw_length(spark):
     assert all(r["text_digest"] for r in got.values()) and got[3]["notices"] == ["Sub"]
 
 
+def test_many_notices_in_one_text(spark):
+    """Time grows with the notices; a text that holds the mark itself is read like any other."""
+    line = "Released under the MIT License."
+    texts = ["\n".join([line] * 20_000), f"x \ue000 {line}", f"{line}\ue000{line}", None]
+    out = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licences.default_known(spark), "doc_id")
+    got = {r["doc_id"]: (r["licence"], r["notices"]) for r in out.select(f"{ROW}.doc_id", "licence", "notices").collect()}
+    assert got == {0: (None, ["MIT"]), 1: (None, ["MIT"]), 2: (None, ["MIT"]), 3: (None, [])}
+
+
 def test_full_licences_however_wrapped(spark):
     import textwrap
 
