@@ -19,6 +19,8 @@ from tallysieve.functions import columns as C
 from tallysieve.functions.hashing import hash_bucket
 from tallysieve.operators.metrics import MARGIN_SLACK, auroc, batch_pairs
 from tallysieve.operators.ordering import hash_row_number
+from tallysieve.operators.skew import split_hot_lookup
+from tallysieve.session import materialise
 
 
 def folded_vector(bits: Column | str, width: int = 64) -> Column:
@@ -60,10 +62,12 @@ def paired_in_turn(left: DataFrame, right: DataFrame, by: Sequence[str], left_ke
         sizes = side.groupBy(*by).agg(F.count(F.lit(1)).alias(f"_{name}n"))
         sides.append((numbered, sizes))
     (ls, ln), (rs, rn) = sides
-    sizes = ln.join(rn, by)
-    turns = sizes.select(*by, "_ln", "_rn", F.explode(F.sequence(F.lit(0), F.greatest("_ln", "_rn") - 1)).alias("_t"))
-    turns = turns.select(*by, (F.col("_t") % F.col("_ln")).alias("_l"), (F.col("_t") % F.col("_rn")).alias("_r"))
-    out = turns.join(ls, [*by, "_l"]).join(rs, [*by, "_r"]).select(*by, left_key, right_key)
+    sizes = materialise(ln.join(rn, by))
+    # the rows of the larger side are numbered already; each takes the other side's row in turn
+    more = split_hot_lookup(ls, sizes.where("_ln >= _rn"), by, left_key, "_ln").withColumn("_r", F.col("_l") % F.col("_rn"))
+    fewer = split_hot_lookup(rs, sizes.where("_ln < _rn"), by, right_key, "_rn").withColumn("_l", F.col("_r") % F.col("_ln"))
+    out = more.join(rs, [*by, "_r"]).select(*by, left_key, right_key)
+    out = out.unionByName(fewer.join(ls, [*by, "_l"]).select(*by, left_key, right_key))
     for side, key, other, other_key in ((left, left_key, right, right_key), (right, right_key, left, left_key)):
         total = other.count()
         if total:
@@ -143,11 +147,13 @@ def domain_classifier_auc(
     data = df.select(
         key, in_comparison.cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]
     ).withColumn("fold", hash_bucket(F.col(key).cast("string"), seed, folds))
-    parts = None
+    data, parts = materialise(data), None
     for fold in range(folds):
         train = data.where(F.col("fold") != fold)
         counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
         total = sum(counts.values())
+        if len(counts) < 2:
+            continue  # one class only: nothing to tell apart
         weight = F.when(F.col("label") == 1, total / (2 * counts[1.0])).otherwise(total / (2 * counts[0.0]))
         pipeline = Pipeline(
             stages=[
@@ -160,6 +166,8 @@ def domain_classifier_auc(
         test = model.transform(data.where(F.col("fold") == fold).withColumn("w", F.lit(1.0)))
         scored = test.select("fold", "label", vector_to_array("rawPrediction")[1].alias("score"))
         parts = scored if parts is None else parts.unionByName(scored)
+    if parts is None:
+        parts = data.select("fold", "label", F.lit(None).cast("double").alias("score"))
     return auroc(parts, "label", "score", ["fold"])
 
 

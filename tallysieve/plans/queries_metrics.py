@@ -10,6 +10,7 @@ from tallysieve.operators import matching as MT
 from tallysieve.operators import metrics as M
 from tallysieve.operators import models as ML
 from tallysieve.operators import ranking as R
+from tallysieve.operators import resampling as RS
 from tallysieve.operators import shift as D
 from tallysieve.operators import similarity as S
 from tallysieve.plans import fixtures as X
@@ -153,9 +154,41 @@ def bootstrap_ci(spark, sf):
     return M.bootstrap_ci(X.labelled(spark, sf), 2_000, 9, "entity_id").select("metric", *rounded("low", "high"))
 
 
-@query("benchmark_metrics")
+@query("benchmark_metrics", f"""
+WITH {O.LABELLED}, {MIDRANK},
+many AS (SELECT rep, r, row_number() OVER (PARTITION BY rep ORDER BY sha256('2026|' || rep::VARCHAR || '|' || entity_id::VARCHAR)) AS i
+  FROM mid CROSS JOIN (SELECT unnest(range(1, 10001)) AS rep)),
+null_auc AS (SELECT rep, (sum(r) - max(p) * (max(p) + 1) / 2.0) / (max(p) * max(n)) AS a FROM many CROSS JOIN tot WHERE i <= p GROUP BY rep),
+noise AS (SELECT label, ('0x' || substr(sha256('2026-noise|' || entity_id::VARCHAR), 1, 15))::UBIGINT % 1099511627776 AS score FROM labelled),
+f AS (SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, stddev_pop(score) AS score_std, avg(label) AS prevalence,
+  {AUC.format(src='labelled')} AS auroc, {AP.format(src='labelled')} AS average_precision,
+  {AUC.format(src='noise')} AS random_auroc, {AP.format(src='noise')} AS random_average_precision FROM labelled),
+p AS (SELECT (count(*) FILTER (WHERE a >= auroc - 1e-12) + 1) / 10001.0 AS p_value FROM null_auc CROSS JOIN f)
+SELECT n, positives, {r6('score_std', 'prevalence', 'auroc', 'average_precision', 'random_auroc', 'random_average_precision', 'p_value')},
+  score_std > 0 AND auroc > 0.5 AND average_precision > prevalence AND p_value < 0.05 AS passed FROM f CROSS JOIN p
+""")
 def benchmark_metrics(spark, sf):
-    return M.benchmark(X.labelled(spark, sf), 10_000, 2026, "entity_id")
+    report = M.benchmark(X.labelled(spark, sf), 10_000, 2026, "entity_id")
+    return report.select(
+        "n", "positives",
+        *rounded("score_std", "prevalence", "auroc", "average_precision", "random_auroc", "random_average_precision", "p_value"),
+        "passed",
+    )
+
+
+def _evidence_scores(spark, sf):
+    rows = X.index(spark, sf).select(F.round(C.active_score(), 9).alias("score"), C.eval_label().alias("label"))
+    return materialise(rows.where("label >= 0"))
+
+
+@query("permutation_evidence")
+def permutation_evidence(spark, sf):
+    return RS.permutation_p(_evidence_scores(spark, sf), 10_000, 2026).select(*rounded("auroc", "p_value"))
+
+
+@query("bootstrap_evidence")
+def bootstrap_evidence(spark, sf):
+    return RS.bootstrap_ci(_evidence_scores(spark, sf), 2_000, 9).select("metric", *rounded("low", "high"))
 
 
 # --- pairs inside batches --------------------------------------------------
@@ -408,7 +441,7 @@ def psi(spark, sf):
     return D.psi(D.sample_counts(orders, "o_totalprice", reference)).select(*rounded("psi"))
 
 
-@query("descriptor_shift", f"""
+SHIFT_SQL = f"""
 WITH {CDF}, {PSI_SQL}, ref AS (SELECT o_totalprice AS v FROM orders WHERE {URGENT}), cmp AS (SELECT o_totalprice AS v FROM orders WHERE NOT {URGENT}),
 r AS (SELECT avg(v) AS m, stddev_samp(v) AS sd, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM ref)
 SELECT 'o_totalprice' AS descriptor, round(r.m, 4) AS reference_mean, round(r.sd, 4) AS reference_sd, round(r.med, 4) AS reference_median,
@@ -417,11 +450,15 @@ SELECT 'o_totalprice' AS descriptor, round(r.m, 4) AS reference_mean, round(r.sd
   round((SELECT sum(gap * (nv - v)) FROM cdf) / r.sd, 6) AS normalized_wasserstein, round((SELECT max(gap) FROM cdf), 6) AS ks_statistic,
   round((SELECT psi FROM psi), 6) AS psi, round(avg(CASE WHEN v < r.lo OR v > r.hi THEN 1.0 ELSE 0.0 END), 6) AS outside_1_99
 FROM cmp CROSS JOIN r GROUP BY r.m, r.sd, r.med
-""")
+"""
+DESCRIPTORS = ("o_totalprice", "o_custkey", "o_orderkey")
+
+
+@query("descriptor_shift", " UNION ALL ".join(f"SELECT * FROM ({SHIFT_SQL.replace('o_totalprice', d)})" for d in DESCRIPTORS))
 def descriptor_shift(spark, sf):
     orders, reference = _orders(spark, sf)
     r4 = [F.round(c, 4).alias(c) for c in ("reference_mean", "reference_sd", "reference_median", "comparison_mean", "comparison_median")]
-    return D.descriptor_shift(orders, ["o_totalprice"], reference).select(
+    return D.descriptor_shift(orders, DESCRIPTORS, reference).select(
         "descriptor", *r4,
         *rounded("standardized_mean_difference", "normalized_wasserstein", "ks_statistic", "psi", "outside_1_99"),
     )

@@ -426,7 +426,8 @@ def schema_groups(spark, sf):
 
 @query("duplicate_files")
 def duplicate_files(spark, sf):
-    return I.duplicate_files(I.list_files(spark, sf)).select("sha256", "files")
+    found = I.duplicate_files(I.list_files(spark, sf))
+    return found.select("sha256", F.element_at(F.split("path", "/"), -1).alias("file_name"), "files")
 
 
 @query("file_digests")

@@ -176,8 +176,9 @@ b AS (SELECT d.doc_id AS entity_id, count(bit) AS n, count(*) FILTER (WHERE bit
   count(*) FILTER (WHERE bit % 4 = 0) AS wide FROM documents d LEFT JOIN doc_bits w ON w.doc_id = d.doc_id GROUP BY d.doc_id),
 s AS (SELECT entity_id, CASE WHEN n + 400 - low = 0 THEN 0.0 ELSE low / (n + 400 - low)::DOUBLE END AS a,
   1.5 * wide / (n + 512 - wide)::DOUBLE AS b FROM b)
-SELECT entity_id, round(greatest(a, b), 6) AS reference_score, CASE WHEN a > b THEN 'low' ELSE 'wide' END AS nearest_reference FROM s
+SELECT entity_id, round(greatest(a, b), 9) AS reference_score, CASE WHEN a > b THEN 'low' ELSE 'wide' END AS nearest_reference FROM s
 """)
 def best_reference(spark, sf):
     found = S.best_reference(X.documents_fp(spark, sf), REFERENCES, "entity_id")
-    return found.select("entity_id", *rounded("reference_score"), "nearest_reference")
+    # six digits would round many ratios at a tie
+    return found.select("entity_id", F.round("reference_score", 9).alias("reference_score"), "nearest_reference")

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallysieve.operators.skew import split_hot_lookup
+from tallysieve.session import materialise
+
 FOOTER_SCHEMA = (
     "path string, file_name string, size_bytes bigint, rows bigint, row_groups int, columns array<string>, "
     "schema_signature string, error string"
@@ -129,14 +132,12 @@ def digests(files: DataFrame) -> DataFrame:
 
 
 def duplicate_files(files: DataFrame) -> DataFrame:
-    """Groups of equal files; only files that share their size are hashed."""
+    """(sha256, path, files): the members of each group of equal files, a row each; only files that share their size are hashed."""
     shared = files.groupBy("size_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size_bytes")
-    same = digests(files.join(shared, "size_bytes", "left_semi"))
-    return (
-        same.groupBy("sha256")
-        .agg(F.array_sort(F.collect_list("path")).alias("paths"), F.count(F.lit(1)).alias("files"))
-        .where("files > 1")
-    )
+    same = materialise(digests(files.join(shared, "size_bytes", "left_semi")).select("sha256", "path"))
+    groups = same.groupBy("sha256").agg(F.count(F.lit(1)).alias("files")).where("files > 1")
+    # one digest (of empty files, say) may have most of the rows
+    return split_hot_lookup(same, groups, ["sha256"], "path", "files")
 
 
 def verify_digests(files: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def test_inventory_and_duplicates(spark, tmp_path):
     by = {r.file_name: r for r in found}
     assert by["broken.parquet"].error and by["line_1.parquet"].rows == 5 and by["line_1.parquet"].family == "lines"
     twins = I.duplicate_files(I.list_files(spark, str(tmp_path), "[lb]*.parquet")).collect()
-    assert len(twins) == 1 and twins[0].files == 2
+    assert len({t.path for t in twins}) == 2 and len({t.sha256 for t in twins}) == 1 and all(t.files == 2 for t in twins)
     files = I.list_files(spark, str(tmp_path), "line*.parquet")
     recorded = spark.createDataFrame(I.digests(files).select("path", "sha256").collect())
     assert I.verify_digests(files, recorded).count() == 0
