@@ -13,8 +13,9 @@ word sequence if it has fewer. Documents are linked if 100 * intersection >= sim
    estimates the similarity (deviation about 0.02 at 0.8); pairs estimated below the threshold by more than
    MARGIN are left out, others confirmed on full sets, best first, unless they are connected
    already. A tile gives one row per member at most.
-   First round: a bucket of up to BLOCK members is one tile; a larger one is dealt into blocks, MIXES times
-   in different ways, so that a large group of near copies is connected by rows that grow with it.
+   First round: a bucket of up to BLOCK members is one tile; larger ones are dealt into blocks, and a member goes
+   to MIXES of these, of different buckets where it has several: so a large group of near copies is connected by
+   rows that grow with it.
    Second round: only buckets that still hold several components. Their blocks hold one component each
    (small components share blocks), and any two blocks of different components make a tile. A group that is one
    component meets the others of its bucket, not itself.
@@ -44,7 +45,7 @@ from tallysieve.llm.tiles import Forest, by_tile, groups, mixed_lists, unsettled
 WORDS, SIMILARITY = 5, 80
 BANDS, ROWS = 28, 5
 SAMPLES, BITS, MARGIN = 512, 2048, 0.1
-BLOCK, MIXES = 128, 3
+BLOCK, MIXES = 128, 4
 CHUNK = 4096
 SEED = 20_240_613
 

@@ -67,18 +67,24 @@ def bucket_sizes(members: DataFrame) -> DataFrame:
 
 
 def mixed_lists(members: DataFrame, block: int, mixes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members of buckets with several, sizes, lists): `lists` has (id, part, tiles), a tile (key, i, j) for a small bucket and
-    `mixes` of them, in blocks dealt in different ways, for one beyond `block` members. The rows grow with the members."""
+    """(members of buckets with several, sizes, lists): `lists` has (id, part, tiles), a tile (key, i, j) for each small bucket
+    and, for those beyond `block` members, `mixes` tiles altogether: blocks of different buckets, or of one dealt in different
+    ways. The rows grow with the members; what such blocks don't connect is left to the next round."""
     sizes = stash(bucket_sizes(members), "buckets")
     # the buckets grow with the corpus: never broadcast, at any size
     kept = stash(members.join(sizes.hint("merge"), "key"), "bucket-members")
     blocks = F.ceil(F.col("n") / F.lit(block))
     mix = lambda k: F.struct("key", k.cast("long").alias("i"), F.pmod(F.xxhash64("id", "key", k), blocks).alias("j"))
     several = F.transform(F.array(*[F.lit(k) for k in range(mixes)]), mix)
-    one = F.array(F.struct("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
-    tiles = kept.select("id", F.when(F.col("n") > block, several).otherwise(one).alias("tiles"))
-    lists = tiles.groupBy("id").agg(F.flatten(F.collect_list("tiles")).alias("tiles"))
-    return kept, sizes, lists.select("id", F.col("id").alias("part"), "tiles")
+    one = F.struct("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    listed = kept.groupBy("id").agg(
+        F.collect_list(F.when(F.col("n") <= block, one)).alias("small"),
+        F.flatten(F.collect_list(F.when(F.col("n") > block, several))).alias("large"),  # bands times mixes at most
+    )
+    # every bucket's first deal before any second one; the same buckets for all their members
+    turn = F.array_sort(F.transform("large", lambda t: F.struct(t["i"].alias("a"), F.xxhash64(t["key"]).alias("b"), t.alias("t"))))
+    chosen = F.transform(F.slice(turn, 1, mixes), lambda t: t["t"])
+    return kept, sizes, listed.select("id", F.col("id").alias("part"), F.concat("small", chosen).alias("tiles"))
 
 
 def unsettled_lists(members: DataFrame, sizes: DataFrame, linked: DataFrame, block: int) -> DataFrame:
