@@ -261,8 +261,10 @@ def near_duplicates(
     if not lists.limit(1).isEmpty():
         # few documents: they are picked before their texts move
         some = docs.join(lists.select(F.col("id").alias("__open")).distinct(), docs[key].cast("long") == F.col("__open"), "left_semi")
-        more = confirm(with_sets(some, lists, key, text, words), similarity)
-        linked = components(links.unionByName(more))
+        more = stash(confirm(with_sets(some, lists, key, text, words), similarity), "more-links")
+        if not more.limit(1).isEmpty():  # the components so far are stars
+            stars = linked.where("node > component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            linked = components(stars.unionByName(more))
     placed = classes.select("x", "y", "n_shingles", F.col("id").alias("node")).join(linked, "node", "left")
     placed = placed.select("x", "y", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component"))
     same = (F.col("s.x") == F.col("p.x")) & (F.col("s.y") == F.col("p.y")) & (F.col("s.n_shingles") == F.col("p.n"))
