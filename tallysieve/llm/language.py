@@ -11,9 +11,11 @@ backward sums give each word's expected pieces in each round. It reads a hash sa
 The table that goes to all tasks has one row per piece and one column per language: vocabulary
 times labels, whatever the corpus holds.
 
-Words are lower-cased white-space runs, written with a leading word mark, cut after LONGEST
-characters. A character outside the vocabulary is a piece of its own with a small fixed
-probability. All words of a batch are scored at once, distinct words once.
+Words are lower-cased white-space runs of any length, written with a leading word mark; pieces of all
+lengths of the vocabulary take part. A character outside the vocabulary is a piece of its own with a small fixed
+probability. All words of a batch are scored at once, distinct words once. Words beyond LONGEST characters
+go side by side, with a window of sums as long as the longest piece, rescaled on the way: time grows with
+their characters, memory for scoring does not.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without any training
 text every text is `und`; ties go to the first language by name; repeated rows are scored alike;
@@ -36,7 +38,8 @@ from tallysieve.llm.arrow import keeps
 from tallysieve.llm.common import ROW, carried, parts, stash
 
 MARK = "▁"
-LONGEST, PIECE = 32, 8  # characters of a word, of a piece
+LONGEST = 32  # characters of a word, with its mark, whose sums need no rescaling
+BLOCK, GROUP, BLANK = 1024, 1 << 17, 0xFFFFFFFF  # characters of long words looked up, and taken together; after their end
 PER_LANGUAGE, ROUNDS = 3000, 4
 SMOOTHING, OTHER = 0.1, 1e-8
 UNKNOWN = "und"
@@ -57,7 +60,7 @@ def vocabulary(path: str) -> list[str]:
 def lattice(path: str):
     from tallysieve.llm.lattice import Lattice
 
-    return Lattice(vocabulary(path), PIECE)
+    return Lattice(vocabulary(path))
 
 
 keeps(__name__, lambda: (vocabulary.cache_clear(), lattice.cache_clear()))
@@ -71,17 +74,12 @@ def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return flat.dictionary, flat.indices.to_numpy(zero_copy_only=False), offsets
 
 
-def pieces_of(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words cut after LONGEST characters, with the word mark, and which word each belongs to."""
-    out = [MARK + w for w in words]
-    long = [at for at, w in enumerate(out) if len(w) > LONGEST]
-    owner = list(range(len(out)))
-    for at in long:
-        word, out[at] = out[at], out[at][:LONGEST]
-        more = [word[a : a + LONGEST] for a in range(LONGEST, len(word), LONGEST)]
-        out += more
-        owner += [at] * len(more)
-    return out, np.array(owner, np.int64)
+def by_kind(words: list[str]) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """Words of up to LONGEST characters and longer ones, with the word mark, each with their numbers."""
+    marked = [MARK + w for w in words]
+    long = np.fromiter((len(w) > LONGEST for w in marked), bool, len(marked))
+    short, wide = np.flatnonzero(~long), np.flatnonzero(long)
+    return [marked[i] for i in short], short, [marked[i] for i in wide], wide
 
 
 def by_length(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -102,8 +100,9 @@ def forward(edges: dict, n: int, rows: int, table: np.ndarray) -> list[np.ndarra
     total = [np.ones((rows, table.shape[1]))]
     for j in range(1, n + 1):
         now = np.zeros_like(total[0])
-        for i in range(max(0, j - PIECE), j):
-            now += total[i] * _weight(edges[i, j], table, j - i == 1)
+        for i in range(j):
+            if (i, j) in edges:
+                now += total[i] * _weight(edges[i, j], table, j - i == 1)
         total.append(now)
     return total
 
@@ -115,34 +114,125 @@ def _weight(piece: np.ndarray, table: np.ndarray, single: bool) -> np.ndarray:
     return weight
 
 
+def side_by_side(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which words, their code points, BLANK after the end of each) for words of similar lengths, about GROUP characters at once."""
+    from tallysieve.llm.lattice import codes_of
+
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    while order:
+        n = len(words[order[-1]])
+        some = order[-max(1, GROUP // n) :]
+        del order[-len(some) :]
+        m = np.full((len(some), n), BLANK, np.uint32)
+        for row, i in enumerate(some):
+            m[row, : len(words[i])] = codes_of([words[i]])[0]
+        yield np.array(some), m
+
+
+def starting(m: np.ndarray, a: int, b: int, path: str) -> np.ndarray:
+    """[length - 1, row, start - a]: the piece of each length at each start from a to b, -1 for none."""
+    pieces, (rows, n) = lattice(path), m.shape
+    out = np.full((pieces.longest, rows, b - a), -1, np.int32)
+    h = np.zeros((rows, b - a), np.uint64)
+    for k in range(min(pieces.longest, n - a)):
+        width = min(b, n - k) - a
+        h = pieces._step(h[:, :width], m[:, a + k : a + k + width])
+        out[k, :, :width] = pieces.lookup(h.ravel()).reshape(h.shape)
+    return out
+
+
+def _weights(pieces: np.ndarray, codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """[length - 1, row, language]; a blank costs nothing, so that shorter words wait at their end."""
+    weight = table[pieces]
+    none = pieces[0] < 0
+    if none.any():
+        weight[0, none] = np.where(codes[none] == BLANK, 1.0, OTHER)[:, None]
+    return weight
+
+
+def long_forward(m: np.ndarray, table: np.ndarray, path: str, left: np.ndarray | None = None) -> np.ndarray:
+    """[rows, languages] log sums over all segmentations; `left` takes those of the first 0..n characters for one language."""
+    rows, n = m.shape
+    ahead = np.zeros((lattice(path).longest, rows, table.shape[1]))  # sums so far of the next positions
+    now, scale = np.ones(ahead.shape[1:]), np.zeros(ahead.shape[1:])
+    for a in range(0, n, BLOCK):
+        pieces = starting(m, a, min(n, a + BLOCK), path)
+        for c in range(pieces.shape[2]):
+            if left is not None:
+                left[:, a + c] = np.log(now[:, 0]) + scale[:, 0]
+            ahead += now * _weights(pieces[:, :, c], m[:, a + c], table)
+            now = ahead[0].copy()
+            ahead[:-1] = ahead[1:]
+            ahead[-1] = 0
+            if c % 8 == 7:
+                top = np.maximum(now, ahead.max(0))
+                now, scale = now / top, scale + np.log(top)
+                ahead /= top
+    out = np.log(now) + scale
+    if left is not None:
+        left[:, n] = out[:, 0]
+    return out
+
+
+def long_expected(m: np.ndarray, counts: np.ndarray, table: np.ndarray, path: str) -> np.ndarray:
+    """As expected_pieces, for long words side by side."""
+    (rows, n), longest = m.shape, lattice(path).longest
+    out = np.zeros(len(table))
+    left, right = np.empty((rows, n + 1)), np.full((rows, n + longest), -np.inf)
+    whole = long_forward(m, table, path, left)[:, 0]
+    right[:, n] = 0
+    behind, scale = np.zeros((longest, rows)), np.zeros(rows)
+    behind[0] = 1
+    with np.errstate(divide="ignore"):
+        logs = np.log(table[:, 0])
+    for a in range((n - 1) // BLOCK * BLOCK, -1, -BLOCK):
+        b = min(n, a + BLOCK)
+        pieces = starting(m, a, b, path)
+        for c in range(b - a - 1, -1, -1):
+            now = (behind * _weights(pieces[:, :, c], m[:, a + c], table)[:, :, 0]).sum(0)
+            right[:, a + c] = np.log(now) + scale
+            behind[1:] = behind[:-1]
+            behind[0] = now
+            if c % 8 == 0:
+                top = behind.max(0)
+                behind, scale = behind / top, scale + np.log(top)
+        for k in range(longest):
+            share = left[:, a:b] + logs[pieces[k]] + right[:, a + k + 1 : b + k + 1] - whole[:, None]
+            found = pieces[k] >= 0
+            out += np.bincount(pieces[k][found], (np.exp(share) * counts[:, None])[found], len(out))
+    return out
+
+
 def word_scores(words: list[str], table: np.ndarray, path: str) -> np.ndarray:
     """[words, languages] log probabilities."""
-    texts, owner = pieces_of(words)
-    out = np.zeros((len(words), table.shape[1] ))
-    for which, m in by_length(texts):
+    short, at, wide, long_at = by_kind(words)
+    out = np.zeros((len(words), table.shape[1]))
+    for which, m in by_length(short):
         n = m.shape[1]
         total = forward(lattice(path).edges(m), n, len(m), table)[n]
-        np.add.at(out, owner[which], np.log(np.maximum(total, 1e-300)))
+        out[at[which]] = np.log(np.maximum(total, 1e-300))
+    for which, m in side_by_side(wide):
+        out[long_at[which]] = long_forward(m, table, path)
     return out
 
 
 def expected_pieces(words: list[str], counts: np.ndarray, table: np.ndarray, path: str) -> np.ndarray:
     """Expected number of each piece in words of one language with the given counts; `table` has one column."""
-    texts, owner = pieces_of(words)
+    short, at, wide, long_at = by_kind(words)
     out = np.zeros(len(table))
-    for which, m in by_length(texts):
+    for which, m in by_length(short):
         n, rows = m.shape[1], len(m)
         edges = lattice(path).edges(m)
         left = forward(edges, n, rows, table)
         right = [None] * n + [np.ones((rows, 1))]
         for i in range(n - 1, -1, -1):
-            right[i] = sum(
-                right[j] * _weight(edges[i, j], table, j - i == 1) for j in range(i + 1, min(n, i + PIECE) + 1)
-            )
-        scale = counts[owner[which]] / np.maximum(left[n][:, 0], 1e-300)
+            right[i] = sum(right[j] * _weight(edges[i, j], table, j - i == 1) for j in range(i + 1, n + 1) if (i, j) in edges)
+        scale = counts[at[which]] / np.maximum(left[n][:, 0], 1e-300)
         for (i, j), piece in edges.items():
             share = left[i][:, 0] * table[piece, 0] * right[j][:, 0] * scale
             out += np.bincount(piece + 1, share, len(out) + 1)[1:]
+    for which, m in side_by_side(wide):
+        out += long_expected(m, counts[long_at[which]], table, path)
     return out
 
 
@@ -171,7 +261,7 @@ def train(
     words = stash(words.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")).repartition(parts(labelled.sparkSession)), "words")
     table = np.zeros((size + 1, len(languages)))
     for i, piece in enumerate(vocabulary(path)):
-        table[i] = 0 < len(piece) <= PIECE
+        table[i] = len(piece) > 0
     usable = table[:, :1].copy()
     table /= table.sum(0)
     for _ in range(rounds):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from decimal import Decimal
 
 import numpy as np
 import public_tokenizers
@@ -377,24 +378,56 @@ def test_language_of_odd_rows(spark, docs, empty):
     assert {r["lang_pred"] for r in language.identify_fold(unlabelled, MODEL).collect()} == {"und"}
 
 
-def test_forward_sums_all_segmentations():
+def plain_sums(text, weight_of, longest):
+    """(log total, expected pieces) over all segmentations, by plain recursion from both ends."""
+    n = len(text)
+    edges = {(i, j): w for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if (w := weight_of(text[i:j]))}
+    left, right = [Decimal(1)] + [Decimal(0)] * n, [Decimal(0)] * n + [Decimal(1)]
+    for j in range(1, n + 1):
+        left[j] = sum((left[i] * edges[i, j] for i in range(max(0, j - longest), j) if (i, j) in edges), Decimal(0))
+    for i in range(n - 1, -1, -1):
+        right[i] = sum((right[j] * edges[i, j] for j in range(i + 1, min(n, i + longest) + 1) if (i, j) in edges), Decimal(0))
+    found = Counter()
+    for (i, j), w in edges.items():
+        found[text[i:j]] += float(left[i] * w * right[j] / left[n])
+    return float(left[n].ln()), found
+
+
+def test_sums_over_all_segmentations():
     names = language.vocabulary(MODEL)
-    at = {n: i for i, n in enumerate(names) if n and len(n) <= language.PIECE}
+    at = {n: i for i, n in enumerate(names) if n}
+    longest = max(map(len, at))
+    assert longest > 8 and language.lattice(MODEL).longest == longest
     table = np.zeros((len(names) + 1, 1))
-    table[list(at.values())] = np.random.default_rng(0).random((len(at), 1))
-
-    def total(text):
-        if not text:
-            return 1.0
-        out = 0.0
-        for k in range(1, min(language.PIECE, len(text)) + 1):
-            w = text[:k]
-            weight = table[at[w], 0] if w in at else language.OTHER if k == 1 else 0.0
-            out += weight * total(text[k:]) if weight else 0.0
-        return out
-
-    for word in ("the", "interest", "é", "日x", "q\x00"):
-        assert np.isclose(language.word_scores([word], table, MODEL)[0, 0], np.log(total("▁" + word)))
+    table[list(at.values())] = np.random.default_rng(0).random((len(at), 1)) * 0.01
+
+    def weight_of(piece):
+        return Decimal(float(table[at[piece], 0])) if piece in at else Decimal(language.OTHER) if len(piece) == 1 else None
+
+    words = ["", "the", "é", "日x", "q\x00", "information", "responsibility", "i" * 31, "i" * 32, "information" * 4]
+    words += ["internationalinformation" * 9, "日本語" * 70, "nationalé\U0001F600" * 20, "responsibilities" * 80]
+    scores = language.word_scores(words, table, MODEL)[:, 0]
+    counts = np.arange(1.0, len(words) + 1)
+    expected = np.zeros(len(table))
+    for word, score, count in zip(words, scores, counts):
+        total, found = plain_sums("▁" + word, weight_of, longest)
+        assert np.isclose(score, total, rtol=1e-9), word
+        for piece, number in found.items():
+            if piece in at:
+                expected[at[piece]] += count * number
+    assert np.allclose(language.expected_pieces(words, counts, table, MODEL), expected, rtol=1e-7, atol=1e-12)
+
+
+def test_long_words_in_blocks_and_groups(monkeypatch):
+    table = np.random.default_rng(1).random((len(language.vocabulary(MODEL)) + 1, 2)) * 0.01
+    table[-1] = 0
+    words = ["information" * 9, "x" * 333, "relation" * 30, "日" * 50]
+    counts = np.array([2.0, 1.0, 3.0, 1.0])
+    whole = language.word_scores(words, table, MODEL), language.expected_pieces(words, counts, table[:, :1], MODEL)
+    monkeypatch.setattr(language, "BLOCK", 37)
+    monkeypatch.setattr(language, "GROUP", 1)
+    assert np.allclose(language.word_scores(words, table, MODEL), whole[0])
+    assert np.allclose(language.expected_pieces(words, counts, table[:, :1], MODEL), whole[1])
 
 
 def test_licences(spark, empty):
