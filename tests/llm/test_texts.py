@@ -378,6 +378,22 @@ def test_language_of_odd_rows(spark, docs, empty):
     assert {r["lang_pred"] for r in language.identify_fold(unlabelled, MODEL).collect()} == {"und"}
 
 
+def test_language_over_several_slices(spark, sf):
+    plain = {r["doc_id"]: r["lang_pred"] for r in queries.op6_language_id(spark, sf).collect()}
+    rows = small(spark, sf).select("doc_id", "lang", F.concat(F.repeat(F.concat("text", F.lit(" ")), 1500), F.col("text")).alias("text"))
+    some = rows.where("doc_id < 40").unionByName(rows.where("doc_id < 3").withColumn("text", F.lit(None).cast("string"))).coalesce(1)
+    model = language.Model(*trained(spark, sf))
+    found = language.identify(some, model).select(f"{ROW}.doc_id", f"{ROW}.text", "lang_pred").collect()
+    assert len(found) == some.count() and sum(len(r["text"] or "") for r in found) > 3 * arrow.WIDE
+    assert all(r["lang_pred"] == (plain[r["doc_id"]] if r["text"] and re.search(r"[^\W\d_]", r["text"]) else "und") for r in found)
+
+
+def trained(spark, sf):
+    rows = small(spark, sf).where("lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    model = language.train(rows, MODEL)
+    return model.languages, model.table, model.path
+
+
 def plain_sums(text, weight_of, longest):
     """(log total, expected pieces) over all segmentations, by plain recursion from both ends."""
     n = len(text)
