@@ -236,3 +236,33 @@ def test_unobserved_pairs_broadcast_nothing_that_grows(spark, tmp_path):
     found = P.unobserved_pairs(df.where("count_target > 20"), df, df.where("count_target > 20"), nobody)
     assert found.count() > 0
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("crowd", [0, 10_000])
+def test_shared_part_rows_are_slim_and_copies_dropped_in_crowded_keys(spark, monkeypatch, crowd):
+    df, rows = entities(spark, n=60, seed=9)
+    copies = df.where("entity_key < 'e030'")
+    right = copies.unionByName(copies.withColumn("entity_key", F.concat("entity_key", F.lit("x"))))
+    sides, plain = [], P.split_hot_join
+    monkeypatch.setattr(P, "split_hot_join", lambda l, r, *a: (sides.extend([l, r]), plain(l, r, *a))[1])
+    left = df.where("entity_key >= 'e030'")
+    found = P.shared_part_join(left, right, "l_", "r_", None, 1, crowd=crowd).collect()
+    assert not any("fp_" in c for side in sides for c in side.columns)
+    got = {(r.l_entity_key, r.r_entity_key): r.similarity for r in found}
+    want = {
+        (a, b + x): jaccard(rows[a][6], rows[b][6])
+        for a in rows for b in rows for x in ("", "x")[: 2 if crowd else 1] if b < "e030" <= a and shared(rows[a], rows[b])
+    }
+    best = lambda pairs: {k: v for k, v in pairs.items() if not k[1].endswith("x")}
+    assert len(got) == len(found) and best(got) == pytest.approx(best(want)) and want
+    assert crowd == 0 or got == pytest.approx(want)
+
+
+def test_code_similarity_is_that_of_the_fingerprints(spark):
+    from tallysieve.plans import fixtures as X
+
+    df = X.with_code_fingerprint(X.with_parts(spark.createDataFrame([(f"lib{i % 2}-{i % 3}-{i}-{i % 5}",) for i in range(12)], "code string")))
+    a, b = (df.select(*[F.col(c).alias(p + c) for c in ("code", "fp_words", "fp_size")]) for p in "ab")
+    plain = FP.tanimoto("afp_words", "bfp_words", F.col("afp_size"), F.col("bfp_size"))
+    both = a.crossJoin(b).select(plain.alias("x"), X.code_similarity("acode", "bcode").alias("y"))
+    assert both.where("x <> y").count() == 0 and both.count() == 144
