@@ -292,3 +292,10 @@ def test_fallback_pairs_brute_force(spark, monkeypatch, tile):
         want |= {(f[3], n[0]) for f in sorted(found)[:1]}
     got = P.competition_pairs_fallback(anchors, binders, covered, 0.3).collect()
     assert {(r.positive_key, r.negative_key) for r in got} == want and want and len(got) == len(want)
+
+
+def test_best_reference_equal_weighted_scores_are_ties(spark):
+    """9/10 and 1.5 * 6/10 are equal; 6/10 * 1.5 falls short by a rounding."""
+    df = spark.createDataFrame([("e", list(range(9)))], "entity_key string, fp_bits array<int>")
+    references = [("low", [*range(9), 100], 1.0), ("wide", [*range(6), 200], 1.5)]
+    assert S.best_reference(df, references).first()[1:] == (0.9, "wide")
