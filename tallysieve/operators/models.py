@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -17,10 +18,10 @@ from pyspark.sql import types as T
 
 from tallysieve.functions import columns as C
 from tallysieve.functions.hashing import hash_bucket
-from tallysieve.operators.metrics import MARGIN_SLACK, auroc, batch_pairs
+from tallysieve.operators.metrics import MARGIN_SLACK, auroc
 from tallysieve.operators.ordering import hash_row_number
 from tallysieve.operators.skew import split_hot_lookup
-from tallysieve.session import materialise
+from tallysieve.session import materialise, store
 
 
 def folded_vector(bits: Column | str, width: int = 64) -> Column:
@@ -82,31 +83,73 @@ def pair_ranker(
     batched: DataFrame, groups: Sequence[str], temperature: float = 0.1, margin: float = C.LN2, iterations: int = 50,
     columns: int | None = None,
 ) -> list[float]:
-    """Coefficients of a linear score under the batch pair loss.
+    """Coefficients of a linear score under the batch pair loss: Newton steps from zero to the full-batch optimum.
 
     softplus(-difference / T) is the logistic loss of a model without intercept on the
-    difference vector; each pair enters twice, as (+d, 1) and (-d, 0), at half weight.
-    Rows carry proxy, confidence and x (array<double>).
+    difference vector. The batches are written once, a list of rows each; a step reads them, forms the pairs of a
+    few batches at a time in memory and sums loss, gradient and curvature, so no pair is ever written.
+    Rows carry proxy, confidence and x (array<double>) of `columns` numbers; without any pair all coefficients are 0.
     """
-    pairs = batch_pairs(batched, groups, ["proxy", "confidence", "x"])
-    delta = F.col("a.proxy") - F.col("b.proxy")
-    kept = pairs.where((F.abs(delta) >= margin - MARGIN_SLACK) & (F.col("a.confidence") > 0) & (F.col("b.confidence") > 0))
-    direction = F.signum(delta)
-    d = F.zip_with("a.x", "b.x", lambda p, q: (p - q) * direction / temperature)
-    weight = F.least("a.confidence", "b.confidence") / 2
-    both = kept.select(
-        weight.alias("weight"),
-        F.explode(
-            F.array(
-                F.struct(d.alias("d"), F.lit(1.0).alias("label")),
-                F.struct(F.transform(d, lambda v: -v).alias("d"), F.lit(0.0).alias("label")),
-            )
-        ).alias("r"),
-    ).select("weight", "r.label", array_to_vector("r.d").alias("features"))
-    model = LogisticRegression(
-        weightCol="weight", fitIntercept=False, maxIter=iterations, standardization=False
-    ).fit(both)
-    return [float(v) for v in model.coefficients]
+    usable = batched.where((F.col("confidence") > 0) & F.col("proxy").isNotNull())
+    rows = F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("proxy", "confidence")], "x")).alias("rows")
+    packed = store(usable.groupBy(*groups, "batch").agg(rows).where(F.size("rows") > 1).select("rows"))
+    if columns is None:
+        seen = packed.select(F.size(F.col("rows")[0]["x"])).first()
+        columns = seen[0] if seen else 0
+    best, at = None, np.zeros(columns)
+    for _ in range(iterations):
+        found = packed.mapInArrow(_pair_sums(at, temperature, margin), "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
+        sums = np.zeros(2 + columns + columns * columns)
+        for k, v in found.collect():
+            sums[k] = v
+        if sums[0] == 0:
+            break  # no pair
+        loss, *slopes = sums[1:] / sums[0]
+        if best is not None and not loss <= best[0] * (1 + 1e-12):
+            at = (at + best[1]) / 2  # too far: half the way back
+            continue
+        best = loss, at
+        gradient, curvature = np.array(slopes[:columns]), np.array(slopes[columns:]).reshape(columns, columns)
+        step = np.linalg.lstsq(curvature, -gradient, rcond=1e-12)[0]
+        at = at + step
+        if -gradient @ step < 1e-10 * loss:  # the next step would be about the square of this one
+            return at.tolist()
+    return (np.zeros(columns) if best is None else best[1]).tolist()
+
+
+def _pair_sums(at: np.ndarray, temperature: float, margin: float):
+    """Sums over a task's pairs (k, v): 0 the weight, 1 the loss, then gradient and curvature at `at`."""
+    width = len(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(2 + width + width * width)
+        for batch in batches:
+            lists = batch.column("rows")
+            flat = lists.flatten()
+            proxy, confidence = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("proxy", "confidence"))
+            x = flat.field("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            sizes = lists.value_lengths().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            for size in np.unique(sizes):
+                i, j = np.triu_indices(size, 1)
+                alike = starts[sizes == size]
+                few = max(1, 65_536 // len(i))
+                for k in range(0, len(alike), few):
+                    a, b = (alike[k : k + few, None] + i).ravel(), (alike[k : k + few, None] + j).ravel()
+                    delta = proxy[a] - proxy[b]
+                    kept = np.abs(delta) >= margin - MARGIN_SLACK
+                    a, b, delta = a[kept], b[kept], delta[kept]
+                    d = (x[a] - x[b]) * (np.sign(delta) / temperature)[:, None]
+                    weight = np.minimum(confidence[a], confidence[b])
+                    z = d @ at
+                    lost = np.exp(-np.logaddexp(0, z))  # the loss falls by this for a unit of z
+                    sums[0] += weight.sum()
+                    sums[1] += weight @ np.logaddexp(0, -z)
+                    sums[2 : 2 + width] -= (weight * lost) @ d
+                    sums[2 + width :] += (d.T @ (d * (weight * lost * (1 - lost))[:, None])).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], names=["k", "v"])
+
+    return run
 
 
 def multi_target(

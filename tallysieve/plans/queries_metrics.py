@@ -551,7 +551,7 @@ def pair_ranker(spark, sf):
     names = ("z_target", "z_competitor", "z_control")
     index, channels = _channels(spark, sf)
     rows = channels.where("channel = 0").join(index.select("entity_key", F.array(*names).alias("x")), "entity_key")
-    fitted = ML.pair_ranker(_train_batches(rows), ["channel", "shard"])
+    fitted = ML.pair_ranker(_train_batches(rows), ["channel", "shard"], columns=len(names))
     return index.select(
         "entity_key", sum((F.col(n) * w for n, w in zip(names[1:], fitted[1:])), F.col(names[0]) * fitted[0]).alias("score")
     ).select("entity_key", *rounded("score"))
