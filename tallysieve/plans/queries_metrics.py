@@ -197,10 +197,16 @@ def bootstrap_evidence(spark, sf):
 SHARD_ROWS = 5000
 
 
-def _channels(spark, sf, zero_cap=0):
-    """(entity, channel) rows with proxies, intervals, confidence, a score and its shard."""
-    index = E.prepared_evidence(X.index(spark, sf, row_ids=True), zero_cap)
-    index = materialise(index)
+# what the channels are made of
+CHANNEL_INPUTS = [
+    "split", "source_rows", "supplement_rows", *C.COUNT_COLUMNS, "count_control_supplement", "historic_hits", *C.Z_COLUMNS,
+]
+
+
+def _channels(spark, sf, zero_cap=0, again=False):
+    """(entity, channel) rows with proxies, intervals, confidence, a score and its shard; the index is written if read `again`."""
+    index = X.index(spark, sf, row_ids=True, keep=CHANNEL_INPUTS)
+    index = E.prepared_evidence(store(index) if again else index, zero_cap)
     rows = F.array(
         *[
             F.struct(
@@ -275,7 +281,7 @@ v AS (SELECT shard, count(DISTINCT entity_key) AS unique_ranked_train FROM tbat
 SELECT 1 AS pass, el.shard, eligible_train, unique_ranked_train, added_zero_competitor_train FROM el JOIN v ON v.shard = el.shard
 """)
 def training_coverage(spark, sf):
-    index, channels = _channels(spark, sf, 5)
+    index, channels = _channels(spark, sf, 5, again=True)
     visits = _train_batches(channels).withColumn("pass", F.lit(1))
     return E.training_coverage(visits, index)
 
@@ -549,7 +555,7 @@ def pointwise_ranker(spark, sf):
 @query("pair_ranker")
 def pair_ranker(spark, sf):
     names = ("z_target", "z_competitor", "z_control")
-    index, channels = _channels(spark, sf)
+    index, channels = _channels(spark, sf, again=True)
     rows = channels.where("channel = 0").join(index.select("entity_key", F.array(*names).alias("x")), "entity_key")
     fitted = ML.pair_ranker(_train_batches(rows), ["channel", "shard"], columns=len(names))
     return index.select(
@@ -559,7 +565,7 @@ def pair_ranker(spark, sf):
 
 @query("multi_target")
 def multi_target(spark, sf):
-    index = materialise(X.index(spark, sf))
+    index = store(X.index(spark, sf).select("entity_key", *CHANNEL_INPUTS, "z_control_supplement", "informative", "sample_bucket"))
     scope = (F.col("split") == "train") & C.ablation_scope()
     return ML.multi_target(index, scope, ["count_target", "count_competitor", "count_control", "historic_hits"]).select(
         "entity_key", *rounded("predicted_active_score")

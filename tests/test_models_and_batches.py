@@ -1,5 +1,6 @@
 """Models fitted on batches, and what they and the index write."""
 
+import hashlib
 import itertools
 import math
 
@@ -42,3 +43,31 @@ def test_pair_ranker_reaches_the_optimum_and_writes_batches_only(spark, monkeypa
 def test_pair_ranker_without_pairs(spark):
     _, cut = batched(spark)
     assert ML.pair_ranker(cut.withColumn("proxy", F.lit(1.0)), ["shard"]) == [0.0, 0.0, 0.0]
+
+
+def test_numbering_writes_what_is_kept_and_no_digest(spark, sf, monkeypatch):
+    from tallysieve.operators import ordering as O
+    from tallysieve.plans import fixtures as X
+    from tallysieve.plans import queries_metrics as Q
+
+    written, store = [], O.store
+    monkeypatch.setattr(O, "store", lambda df: written.append(df.columns) or store(df), raising=False)
+    index, channels = Q._channels(spark, sf)
+    assert written == [["entity_key", *Q.CHANNEL_INPUTS]]
+    whole = X.index(spark, sf, row_ids=True).orderBy("entity_id").select("entity_id", "entity_key").collect()
+    assert [(r.entity_id, r.entity_key) for r in index.orderBy("entity_id").select("entity_id", "entity_key").collect()] == whole
+    assert [r.entity_key for r in sorted(whole, key=lambda r: hashlib.sha256(r.entity_key.encode()).hexdigest())] == [r.entity_key for r in whole]
+
+
+def test_stratified_sample_orders_few_rows(spark, monkeypatch):
+    from tallysieve.functions.hashing import order_hash
+    from tallysieve.operators import splits as L
+
+    df = spark.range(20_000).select("id", (F.col("id") % 3).alias("s"), F.when(F.col("id") % 5 > 0, F.lit("x")).alias("t"))
+    found = L.stratified_sample(df, ["s", "t"], 7, 11, "id")
+    assert "_last" in found._jdf.queryExecution().optimizedPlan().toString()
+    best = {}
+    for r in df.withColumn("h", order_hash(11, "id")).collect():
+        best.setdefault((r.s, r.t), []).append((r.h, r.id))
+    assert {(r.s, r.t, r.id) for r in found.collect()} == {(*k, i) for k, v in best.items() for _, i in sorted(v)[:7]}
+    assert L.stratified_sample(df.where("id < 4"), ["s"], 7, 11, "id").count() == 4
