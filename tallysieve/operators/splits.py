@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallysieve.functions.hashing import order_hash
 from tallysieve.operators.ordering import hash_row_number
+from tallysieve.session import store
 
 
 def hash_sample(df: DataFrame, n: int, seed: int | str, key: str) -> DataFrame:
@@ -27,9 +30,23 @@ def hash_slice(df: DataFrame, offset: int, length: int | None, seed: int | str,
 
 
 def stratified_sample(df: DataFrame, strata: list[str], n: int, seed: int | str, key: str) -> DataFrame:
-    """n rows of lowest seeded hash per stratum."""
-    w = Window.partitionBy(*strata).orderBy(order_hash(seed, key), key)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    """n rows of lowest seeded hash per stratum.
+
+    Few strata may hold all rows, so no task orders a stratum: rows are written and counted by stratum and
+    first digits of the hash, and only those up to the digits that hold the n-th row are ordered.
+    """
+    rows = store(df)
+    h, digits = order_hash(seed, key), [*strata, "_d"]
+    counted = rows.withColumn("_d", F.substring(h, 1, 3)).groupBy(*digits).agg(F.count(F.lit(1)).alias("_n"))
+    up_to = Window.partitionBy(*strata).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.withColumn("_before", F.coalesce(F.sum("_n").over(up_to), F.lit(0))).where(F.col("_before") < n)
+    last = store(before.groupBy(*strata).agg(F.max("_d").alias("_last")))
+    names = [f"_s{i}" for i in range(len(strata))]
+    last = last.select(*[F.col(c).alias(x) for c, x in zip(strata, names)], "_last")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(x)) for c, x in zip(strata, names)], F.lit(True))
+    near = rows.withColumn("_h", h).join(last, same & (F.substring("_h", 1, 3) <= F.col("_last"))).drop(*names, "_last")
+    w = Window.partitionBy(*strata).orderBy("_h", key)
+    return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r", "_h")
 
 
 def group_holdout(df: DataFrame, group: str, fraction: float, seed: int | str) -> DataFrame:
