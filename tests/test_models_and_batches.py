@@ -71,3 +71,24 @@ def test_stratified_sample_orders_few_rows(spark, monkeypatch):
         best.setdefault((r.s, r.t), []).append((r.h, r.id))
     assert {(r.s, r.t, r.id) for r in found.collect()} == {(*k, i) for k, v in best.items() for _, i in sorted(v)[:7]}
     assert L.stratified_sample(df.where("id < 4"), ["s"], 7, 11, "id").count() == 4
+
+
+def test_lookup_broadcasts_no_table_that_grows(spark):
+    from tallysieve.operators.skew import split_hot_lookup
+
+    fact = spark.range(900).select("id", (F.col("id") % 30).alias("k"))
+    table = fact.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for room, broadcasts in ((100, 0), (10, 1)):
+        found = split_hot_lookup(fact, table, ["k"], "id", "n", 1000, room)
+        assert {(r.id, r.k, r.n) for r in found.collect()} == {(i, i % 30, 30) for i in range(900)}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("BroadcastHashJoin") == broadcasts and "SortMergeJoin" in plan
+
+
+def test_components_hand_no_plan_on(spark):
+    from tallysieve.operators import similarity as S
+
+    links = spark.range(1, 40).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
+    found = S.components(links)
+    assert "LogicalRDD" not in found._jdf.queryExecution().logical().toString()
+    assert {(r.u, r.v) for r in found.collect()} == {(i, 0) for i in range(1, 40)}
