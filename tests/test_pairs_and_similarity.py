@@ -299,3 +299,43 @@ def test_best_reference_equal_weighted_scores_are_ties(spark):
     df = spark.createDataFrame([("e", list(range(9)))], "entity_key string, fp_bits array<int>")
     references = [("low", [*range(9), 100], 1.0), ("wide", [*range(6), 200], 1.5)]
     assert S.best_reference(df, references).first()[1:] == (0.9, "wide")
+
+
+def test_pairs_by_bins_equal_all_pairs_and_few_pass_the_bins(monkeypatch):
+    import numpy as np
+    from tallysieve.operators import similarity as S
+
+    rng = np.random.default_rng(5)
+    rows = lambda n: np.packbits(rng.random((n, 2048)) < 0.045, axis=1, bitorder="little").view("<i8")
+    q, r = rows(400), rows(600)
+    q[0] = r[0] = 0
+    r[1:40] = q[1:40]
+    want = S._jaccard(q, r)
+    wide = []
+    matrix = S._bit_matrix
+    monkeypatch.setattr(S, "_bit_matrix", lambda words: wide.append(len(words)) or matrix(words))
+    for least in (0.0, 0.05, 0.5, 1.0):
+        asking = np.arange(0, 400, 2) if least == 0.5 else np.arange(400)
+        found = S._jaccard_pairs(q)(r, asking, np.full(len(asking), least - 1e-6))
+        got = {(a, b): s for part in found for a, b, s in zip(*part)}
+        assert got == {(a, b): want[a, b] for a in asking for b in range(600) if want[a, b] >= least - 1e-6}
+        if least == 0.5:
+            wide.clear()
+    assert not wide  # at a high similarity no full product is made
+
+
+def test_bound_comes_from_several_groups_of_a_cell(spark):
+    """One group in turn missed the nearest leaf of most queries."""
+    import numpy as np
+    from tallysieve.operators import metric as M, similarity as S
+
+    rng = np.random.default_rng(7)
+    base = rng.random((40, 2048)) < 0.045
+    rows = [(i, (base[i % 40] ^ (rng.random(2048) < 0.001))) for i in range(800)]
+    pack = lambda m: [int(x) for x in np.packbits(m, bitorder="little").view("<i8")]
+    df = spark.createDataFrame([(i, "", pack(m), int(m.sum())) for i, m in rows], "id long, block string, vec array<long>, size int")
+    index = M.Index.build(df, S.JACCARD, leaf_rows=8)
+    home = index.at_home(df, 1.0, 1)
+    bounds = [row.bound for row in index.tightened(home, 1).collect()]
+    assert len(bounds) == 800
+    assert np.mean(np.array(bounds) < 0.2) > 0.95
