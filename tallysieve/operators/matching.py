@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallysieve.functions.hashing import order_hash
 from tallysieve.operators.ordering import hash_row_number
-from tallysieve.session import ensure_checkpoint_dir, materialise
+from tallysieve.session import ensure_checkpoint_dir, materialise, shuffled
 
 
 def standardised(df: DataFrame, features: Sequence[str], base: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def matched_controls(
         for scale in scales:
             width = base * scale
             mine = around(gridded(open_rows.where(F.col("scale") == scale).select("p", "turn", "pf", "n0", "d0"), "pf", width))
-            near = mine.join(gridded(n, "nf", width), "cell").withColumn("d2", distance)
+            near = mine.join(shuffled(gridded(n, "nf", width)), "cell").withColumn("d2", distance)
             # adjacent cells are complete up to `width`; rows farther off wait for a wider pass
             if width <= 2 * span:
                 near = near.where(F.col("d2") <= width * width)
@@ -88,14 +88,14 @@ def matched_controls(
             near = near.where(later).select("p", "turn", "n", "d2")
             offers = near if offers is None else offers.unionByName(near)
         # a negative held by an earlier turn refuses for good
-        free = offers.join(holders, F.col("n") == F.col("_n"), "left").where("held_turn is null or held_turn > turn")
+        free = offers.join(shuffled(holders), F.col("n") == F.col("_n"), "left").where("held_turn is null or held_turn > turn")
         best = free.groupBy("p").agg(F.min(F.struct("d2", "n")).alias("o"))
-        asked = state.join(best, "p", "left").select(
+        asked = state.join(shuffled(best), "p", "left").select(
             "p", "turn", "pf", "n0", "d0", "scale",
             F.coalesce("n", "o.n").alias("n"), F.coalesce("d2", "o.d2").alias("d2"),
         )
         first = asked.where("n is not null").groupBy("n").agg(F.min("turn").alias("_first"))
-        judged = asked.join(first, "n", "left")
+        judged = asked.join(shuffled(first), "n", "left")
         wins, silent = F.col("turn") == F.col("_first"), F.col("n").isNull()
         refused = ~silent & ~wins
         state = materialise(

@@ -339,3 +339,17 @@ def test_bound_comes_from_several_groups_of_a_cell(spark):
     bounds = [row.bound for row in index.tightened(home, 1).collect()]
     assert len(bounds) == 800
     assert np.mean(np.array(bounds) < 0.2) > 0.95
+
+
+def test_matched_controls_broadcast_no_table_that_grows(spark, monkeypatch):
+    from tallysieve.operators import matching as MT
+
+    plans, plain = [], MT.materialise
+    run = lambda df: (plain(df), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0]
+    monkeypatch.setattr(MT, "materialise", run)
+    rng = random.Random(3)
+    rows = [(i, rng.random(), rng.random()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    got = MT.matched_controls(df.where("id < 20"), df.where("id >= 20"), ["a", "b"], "id", 7).collect()
+    rounds = [p for p in plans if "held_turn" in p]
+    assert len(got) == 20 and rounds and not any("BroadcastHashJoin" in p for p in rounds)
