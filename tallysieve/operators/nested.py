@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from tallysieve.functions import columns as C
 
+# compared pairs of a task; about a sixth lies within the cutoff
+PAIRS_OF_A_TASK, MOST_PARTITIONS = 4_000_000, 100_000
+
 
 def pack(rows: DataFrame, keys: Sequence[str], position: str, fields: Sequence[str], name: str) -> DataFrame:
     """Rows -> one ordered array of structs per entity."""
@@ -81,12 +84,27 @@ def _side(atoms: DataFrame, prefix: str, on: Sequence[str], fields: Sequence[str
     return atoms.select(*on, *[F.col(c).alias(f"{prefix}{c}") for c in (*fields, "x", "y", "z")])
 
 
+def _cell_sides(
+    a: DataFrame, b: DataFrame, cutoff: float, on: Sequence[str], a_fields: Sequence[str], b_fields: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    left = _around(_cells(_side(a, "a_", on, a_fields), cutoff, "a_"))
+    return left, _cells(_side(b, "b_", on, b_fields), cutoff, "b_")
+
+
+def pair_partitions(a: DataFrame, b: DataFrame, cutoff: float, on: Sequence[str]) -> int:
+    """Partitions for about PAIRS_OF_A_TASK compared pairs each, from the rows per cell; no fewer than Spark's own."""
+    keys = [*on, "cx", "cy", "cz"]
+    left, right = (side.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for side, n in zip(_cell_sides(a, b, cutoff, on, (), ()), "ab"))
+    compared = left.join(right, keys).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+    least = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_PARTITIONS, max(least, -(-compared // PAIRS_OF_A_TASK)))
+
+
 def near_atoms(
     a: DataFrame, b: DataFrame, cutoff: float, on: Sequence[str], a_fields: Sequence[str], b_fields: Sequence[str]
 ) -> DataFrame:
     """Atom pairs within the cutoff in the same structure, by grid cells of that size."""
-    left = _around(_cells(_side(a, "a_", on, a_fields), cutoff, "a_"))
-    right = _cells(_side(b, "b_", on, b_fields), cutoff, "b_")
+    left, right = _cell_sides(a, b, cutoff, on, a_fields, b_fields)
     joined = left.join(right, [*on, "cx", "cy", "cz"]).withColumn("distance", _distance())
     return joined.where(F.col("distance") <= cutoff).drop("cx", "cy", "cz")
 
@@ -98,10 +116,12 @@ def contacts(atoms: DataFrame, cutoff: float) -> DataFrame:
     """
     protein = atoms.where("role = 'protein'")
     ligand = atoms.where("role = 'ligand'")
-    pairs = near_atoms(protein, ligand, cutoff, ["structure", "chain"], ["residue"], ["residue"])
-    return pairs.groupBy(
-        "structure", "chain", F.col("b_residue").alias("ligand_residue"), F.col("a_residue").alias("residue")
-    ).agg(F.round(F.min("distance"), 3).alias("min_distance"))
+    on = ["structure", "chain"]
+    pairs = near_atoms(protein, ligand, cutoff, on, ["residue"], ["residue"])
+    # pairs grow faster than atoms, so tasks do too: a task groups the same number of pairs at any size
+    keys = [*on, "ligand_residue", "residue"]
+    pairs = pairs.select(*on, F.col("b_residue").alias("ligand_residue"), F.col("a_residue").alias("residue"), "distance")
+    return pairs.repartition(pair_partitions(protein, ligand, cutoff, on), *keys).groupBy(*keys).agg(F.round(F.min("distance"), 3).alias("min_distance"))
 
 
 def contact_union(found: DataFrame, direct: float) -> DataFrame:

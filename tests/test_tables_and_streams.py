@@ -238,3 +238,14 @@ def test_benchmark_runs_as_many_permutations_as_permutation_p(monkeypatch):
     monkeypatch.setattr(Q.M, "benchmark", lambda df, replicates, *rest: asked.append(replicates))
     Q.benchmark_metrics(None, "")
     assert asked == [10_000]
+
+
+def test_contacts_get_more_tasks_as_pairs_grow(spark, monkeypatch):
+    from tallysieve.operators import nested as G
+
+    rows = [(1, "A", i, "protein" if i % 2 else "ligand", (i % 7) * 0.3, (i % 5) * 0.3, 0.0) for i in range(80)]
+    atoms = spark.createDataFrame(rows, "structure long, chain string, residue long, role string, x double, y double, z double")
+    plain = {tuple(r) for r in G.contacts(atoms, 1.0).collect()}
+    monkeypatch.setattr(G, "PAIRS_OF_A_TASK", 50)
+    found = G.contacts(atoms, 1.0)
+    assert {tuple(r) for r in found.collect()} == plain and found.rdd.getNumPartitions() > 8
