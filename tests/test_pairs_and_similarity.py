@@ -353,3 +353,60 @@ def test_matched_controls_broadcast_no_table_that_grows(spark, monkeypatch):
     got = MT.matched_controls(df.where("id < 20"), df.where("id >= 20"), ["a", "b"], "id", 7).collect()
     rounds = [p for p in plans if "held_turn" in p]
     assert len(got) == 20 and rounds and not any("BroadcastHashJoin" in p for p in rounds)
+
+
+def coded(spark, n, seed, alone=0):
+    """Entities named by their code: parts are few, so that most share two with others; `alone` more share less."""
+    from tallysieve.plans import fixtures as X
+
+    rng = random.Random(seed)
+    codes = {"lib%d-%d-%d-%d" % (s % 2, rng.randrange(4), rng.randrange(12), s) for s in (rng.randrange(12) for _ in range(n))}
+    codes |= {f"lib{i % 2}-{50 + i}-{90 + i}-{70 + i}" for i in range(alone)}
+    rows = [(c, c, rng.randint(1, 30), rng.randint(0, 9), rng.randint(0, 2), rng.randint(0, 5)) for c in sorted(codes)]
+    df = spark.createDataFrame(rows, "entity_key string, code string, count_target int, count_competitor int, control_evidence int, historic_hits int")
+    ready = materialise(X.with_code_fingerprint(X.with_parts(df)))
+    return ready, {r.entity_key: r for r in ready.collect()}
+
+
+@pytest.mark.parametrize("alone", [0, 3])
+def test_broad_pairs_of_composed_fingerprints_compare_few_rows(spark, monkeypatch, alone):
+    from tallysieve.plans import fixtures as X
+
+    df, rows = coded(spark, 260, 12, alone)
+    searched = []
+    monkeypatch.setattr(P, "nearest_tanimoto", None)  # no search of the whole pool
+    plain = P.nearest_of_few
+    monkeypatch.setattr(P, "nearest_of_few", lambda q, *a: (searched.append(q.count()), plain(q, *a))[1])
+    slim = materialise(df.drop("fp_bits", "fp_size", "fp_words"))
+    positives, pool = "count_target > 22 or code like 'lib_-5_-%'", "count_target between 4 and 22 and code not like 'lib_-5_-%'"
+    got = P.broad_pairs(slim.where(positives), slim.where(pool), slim.where("count_target <= 3"), made=X.CODE_PARTS).collect()
+    near = {r.positive_key: (r.negative_key, r.similarity) for r in got if r.negative_source == "local_counter"}
+    members = [r.entity_key for r in df.where(pool).collect()]
+    asked = [r.entity_key for r in df.where(positives).collect()]
+    compared = 0
+    for p in asked:
+        s, n = min((-jaccard(rows[p].fp_bits, rows[n].fp_bits), n) for n in members)
+        if p in near:
+            assert near[p] == (n, pytest.approx(-s))
+            compared += 1
+    assert compared > 10 and len(members) > 60
+    assert sum(searched) < len(asked) / 3 and (not alone or sum(searched) >= alone)
+
+
+def test_common_bits_with_other_parts(spark):
+    from tallysieve.operators import composed as K
+    from tallysieve.plans import fixtures as X
+
+    df, rows = coded(spark, 60, 4)
+    left, right = df.where("count_target > 15"), df.where("count_target <= 15")
+    got = {r.entity_key: r for r in K.common_with_others(left, right, X.CODE_PARTS, held_parts=5, passing_rows=7).collect()}
+    assert got.keys() == {r.entity_key for r in left.collect()}
+    others = [r for r in right.collect()]
+    for key, found in got.items():
+        mine, bits = rows[key], set(rows[key].fp_bits)
+        assert found.size == len(bits)
+        for k, column in enumerate(X.CODE_PARTS.columns):
+            part = lambda v: set(X.CODE_PARTS.bits(column, v).tolist())
+            assert found.own[k] == len(part(mine[column]))
+            assert found.others[k] == max((len(bits & part(o[column])) for o in others if o[column] != mine[column]), default=0)
+            assert bool(found.abroad[k]) == any(o[column] == mine[column] and o.library != mine.library for o in others)
