@@ -410,3 +410,39 @@ def test_common_bits_with_other_parts(spark):
             assert found.own[k] == len(part(mine[column]))
             assert found.others[k] == max((len(bits & part(o[column])) for o in others if o[column] != mine[column]), default=0)
             assert bool(found.abroad[k]) == any(o[column] == mine[column] and o.library != mine.library for o in others)
+
+
+@pytest.mark.parametrize("tile_rows", [10, 40])
+def test_search_over_several_tiles_and_turns(bits, monkeypatch, tile_rows):
+    from tallysieve.operators import metric as M
+
+    monkeypatch.setattr(M, "LEAST_TILE_ROWS", tile_rows)
+    monkeypatch.setattr(M, "LEAST_ASK_ROWS", tile_rows)
+    monkeypatch.setattr(M, "HELD_PAIRS", 50)
+    df, data = bits
+    distinct = materialise(S.distinct_fingerprints(df))
+    ids = [r.entity_id for r in distinct.collect()]
+    near = {(a, b): jaccard(data[a], data[b]) for a in ids for b in ids if a < b and jaccard(data[a], data[b]) >= 0.5}
+    got = [(tuple(r[:2]), r[2]) for r in S.similar_pairs(distinct, 0.5, leaf_rows=4).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == pytest.approx(near)
+    assert {r.entity_id: r.series_id for r in S.series_components(df, 0.5, leaf_rows=4).collect()} == plain_series(data, 0.5)
+    left, right = df.where("entity_id < 40 or entity_id = 300"), df.where("entity_id between 40 and 299")
+    found = {}
+    for r in S.nearest_tanimoto(sided(left, "q_"), sided(right, "r_"), "q_", "r_", 3, "entity_id", leaf_rows=4).collect():
+        found.setdefault(r.q_entity_id, []).append((r["rank"], r.r_entity_id))
+    refs = [i for i in data if 40 <= i < 300]
+    for q in [i for i in data if i < 40 or i == 300]:
+        assert [r for _, r in sorted(found[q])] == sorted(refs, key=lambda r: (-jaccard(data[q], data[r]), r))[:3]
+
+
+def test_queries_are_copied_by_tiles_not_by_groups(bits):
+    """Each of many small groups in reach took a copy of a query."""
+    from tallysieve.operators import metric as M
+
+    df, _ = bits
+    index = M.Index.build(M.side(df, "entity_id", "fp_words", "fp_size", None), S.JACCARD, leaf_rows=2)
+    queries = M._queries(M.side(df, "entity_id", "fp_words", "fp_size", None))
+    home = materialise(index.tightened(materialise(index.at_home(queries, 1.0, 1)), 1))
+    groups = index.rows.select("cell", "group").distinct().count()
+    asked, _ = index.asked(home.withColumn("bound", F.lit(1.0)))
+    assert groups > 8 and asked.count() == home.count()
