@@ -446,3 +446,22 @@ def test_queries_are_copied_by_tiles_not_by_groups(bits):
     groups = index.rows.select("cell", "group").distinct().count()
     asked, _ = index.asked(home.withColumn("bound", F.lit(1.0)))
     assert groups > 8 and asked.count() == home.count()
+
+
+def test_fallback_of_composed_fingerprints_compares_a_library_for_few(spark, monkeypatch):
+    from tallysieve.plans import fixtures as X
+
+    df, _ = coded(spark, 260, 14, alone=4)
+    df = materialise(df.withColumn("historic_hits", F.lit(0)).withColumn("count_target", F.when(F.col("code").like("lib_-5_-%"), 12).otherwise(F.col("count_target"))))
+    df = materialise(df.withColumn("count_competitor", F.when(F.col("code").like("lib_-5_-%"), 9).otherwise(F.col("count_competitor"))))
+    anchors, binders = df.where("count_competitor <= 2"), df.where("count_competitor >= 6")
+    nobody = df.select(F.col("entity_key").alias("negative_key")).where("false")
+    asked, plain = [], P.best_in_block
+    monkeypatch.setattr(P, "best_in_block", lambda q, *a, **k: (asked.append(q), plain(q, *a, **k))[1])
+    want = P.competition_pairs_fallback(anchors, binders, nobody, 0.15).collect()
+    whole = asked.pop().count()
+    slim = lambda side: side.drop("fp_bits", "fp_size", "fp_words")
+    got = P.competition_pairs_fallback(slim(anchors), slim(binders), nobody, 0.15, made=X.CODE_PARTS).collect()
+    assert sorted(got) == sorted(want) and len(got) > 40
+    assert len(asked) == 2 and 4 <= asked[1].count() < whole / 2  # only those for which shared parts are not enough
+    assert any(r.negative_key.startswith(("lib0-5", "lib1-5")) for r in got)
