@@ -465,3 +465,24 @@ def test_fallback_of_composed_fingerprints_compares_a_library_for_few(spark, mon
     assert sorted(got) == sorted(want) and len(got) > 40
     assert len(asked) == 2 and 4 <= asked[1].count() < whole / 2  # only those for which shared parts are not enough
     assert any(r.negative_key.startswith(("lib0-5", "lib1-5")) for r in got)
+
+
+def test_coded_rows_meet_by_hash_and_others_stay_out(spark, monkeypatch):
+    from tallysieve.operators.skew import may_meet
+    from tallysieve.plans import fixtures as X
+
+    df, _ = coded(spark, 200, 21, alone=30)
+    left, right = df.where("count_target > 24"), df.where("count_target <= 24")
+    want = P.shared_part_join(left, right, "l_", "r_", C.dominates("l_", "r_")).collect()
+    sides, plain = [], P.split_hot_join
+    monkeypatch.setattr(P, "split_hot_join", lambda l, r, *a: (sides.extend([l, r]), plain(l, r, *a))[1])
+    got = P.shared_part_join(left, right, "l_", "r_", C.dominates("l_", "r_"), similarity=X.code_similarity("l_code", "r_code")).collect()
+    fields = lambda rows: sorted((r.l_entity_key, r.r_entity_key, r.part_key, r.similarity) for r in rows)
+    assert fields(got) == fields(want) and got
+    # slim rows without the keys themselves, and none that meets nothing
+    assert not {"part_key", "r_first"} & set(sides[1].columns)
+    hashes = {(r.key_kind, r.key_hash) for r in sides[0].collect()}
+    kept = [(r.key_kind, r.key_hash) for r in sides[1].collect()]
+    assert hashes & set(kept) == {x for x in kept if x in hashes}
+    assert len(kept) < 3 * right.count() and sum(x not in hashes for x in kept) < len(kept) / 4
+    assert may_meet(sides[1], sides[0].limit(0), "key_hash").count() == 0
